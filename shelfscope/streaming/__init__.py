@@ -1,0 +1 @@
+"""Empty on purpose: every analysis of this library is a batch job, none keeps streaming state."""
