@@ -68,13 +68,17 @@ def retrieval_completeness(t):
     return E.completeness_report(E.complete_requests(t.listing, retrieved, "rid"))
 
 
-_TOP = f"""{RANKED}, c AS (SELECT rid, sku, champ AS at FROM ranked WHERE champ <= 4),
-  h AS (SELECT rid, sku, chal AS at FROM ranked WHERE chal <= 4)"""
+@bind(
+    "clicked_requests",
+    f"WITH {LISTING} SELECT rid, sku, click FROM listing WHERE rid IN (SELECT rid FROM listing WHERE click > 0)",
+)
+def clicked_requests(t):
+    return E.clicked_requests(t.listing, "rid", "click").select("rid", "sku", "click")
 
 
 @bind(
     "array_set_ops",
-    f"""WITH {_TOP}, n AS (SELECT rid, count(*) FILTER (champ <= 4) AS nc, count(*) FILTER (chal <= 4) AS nh,
+    f"""WITH {RANKED}, n AS (SELECT rid, count(*) FILTER (champ <= 4) AS nc, count(*) FILTER (chal <= 4) AS nh,
       count(*) FILTER (champ <= 4 AND chal <= 4) AS n_both FROM ranked GROUP BY rid)
     SELECT rid, CAST(nh - n_both AS INTEGER) AS n_inserted, CAST(n_both AS INTEGER) AS n_kept,
     nc = n_both AND nh = n_both AS same_items FROM n""",
@@ -107,8 +111,7 @@ _PLER = f"""{RANKED}, per AS (
 
 
 def pler(t):
-    clicked = E.clicked_requests(t.listing, "rid", "click")
-    return E.classify_errors(E.top_lists(clicked, "rid", "sku", t.champion, t.challenger, "click"), "rid")
+    return E.classify_errors(E.top_lists(t.listing, "rid", "sku", t.champion, t.challenger, "click"), "rid")
 
 
 @bind("pler_classify", f"WITH {_PLER} SELECT * FROM pler")
@@ -162,8 +165,7 @@ def pler_share_by_brand(t):
     FROM pler LEFT JOIN part ON item = p_partkey JOIN lists USING (rid)""",
 )
 def pler_enriched(t):
-    clicked = E.clicked_requests(t.listing, "rid", "click")
-    top = E.top_lists(clicked, "rid", "sku", t.champion, t.challenger, "click")
+    top = E.top_lists(t.listing, "rid", "sku", t.champion, t.challenger)
     lists = top.select("rid", _text_lists("champ_skus", c("champ_items")), _text_lists("chal_skus", c("chal_items")))
     return _enriched(t).join(lists, "rid")
 

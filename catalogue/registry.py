@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from catalogue.tables import Tables
-from shelfscope.session import ship_package
+from shelfscope.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -18,7 +18,7 @@ def bind(name: str, sql: str | None = None):
 
     def register(build: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return build(Tables(spark, folder))
 
         QUERIES[name] = run

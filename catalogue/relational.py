@@ -12,7 +12,7 @@ from shelfscope.plans.attribution import drill_down, product_list_by_brand
 from shelfscope.plans.exposure import households_by_state
 from shelfscope.plans.inventory import active_entities, cross_platform_total, inventory_by, live_campaigns
 from shelfscope.session import scratch_path
-from shelfscope.sources.readers import scan, scan_csv
+from shelfscope.sources.readers import literal_column, scan, scan_csv
 from shelfscope.sources.workspace import Dimension, Log, Workspace
 from shelfscope.sources.writers import export_csv, export_pipe, materialize
 
@@ -208,7 +208,7 @@ def filter_or_chain(t):
 
 @bind("filter_isin_values", "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD')")
 def filter_isin_values(t):
-    wanted = t.spark.createDataFrame([("BUILDING",), ("HOUSEHOLD",)], "segment string")
+    wanted = literal_column(t.spark, ["BUILDING", "HOUSEHOLD"], "segment")
     return R.filter_by_list(t.customer, "c_mktsegment", wanted, "segment").select("c_custkey")
 
 

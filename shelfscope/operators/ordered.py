@@ -20,6 +20,8 @@ from shelfscope.session import cut_lineage, input_bytes
 HOT_GROUP_ROWS = 20_000_000
 # Most slices that large groups are cut into; beyond it slices grow.
 MOST_SLICES = 10_000
+# Keys of large groups are broadcast while there are at most this many; there is one per HOT_GROUP_ROWS rows at most.
+BROADCAST_GROUPS = 100_000
 # Inputs up to this size are never probed for large groups: one task could sort all of it.
 ONE_TASK_BYTES = 256 << 20
 
@@ -74,6 +76,8 @@ def _accumulate(df, keys, order, amount, local, name, hot_rows):
     if not keys:
         return _in_slices(df, keys, order, amount, local, name, slices)
     hot_keys = hot.select(*keys)
+    if groups <= BROADCAST_GROUPS:
+        hot_keys = F.broadcast(hot_keys)
     large = _in_slices(_match_keys(df, hot_keys, keys, "left_semi"), keys, order, amount, local, name, slices)
     small = plain(_match_keys(df, hot_keys, keys, "left_anti"))
     return small.unionByName(large)
@@ -171,7 +175,7 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int = 30) -> DataFram
     Returns (bin, n_rows). When all values are equal they fall in bin 0.
     """
     known = df.filter(F.col(value).isNotNull())
-    low, high = known.agg(F.min(value)).scalar(), known.agg(F.max(value)).scalar()
-    slot = F.floor(F.try_divide((F.col(value) - low) * bins, high - low))
+    ends = known.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
+    slot = F.floor(F.try_divide((F.col(value) - ends["low"]) * bins, ends["high"] - ends["low"]))
     numbered = known.select(F.coalesce(F.least(slot, F.lit(bins - 1)), F.lit(0)).cast("int").alias("bin"))
     return numbered.groupBy("bin").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -35,7 +35,7 @@ def keyword_coverage(frequency: DataFrame, count: str = "n_requests", hot_rows:
     """Share of all requests that the keywords down to each one cover, from the most frequent on."""
     order = [F.col(count).desc(), F.col("keyword").asc()]
     covered = running_total(frequency, [], order, count, "n_covered", hot_rows)
-    total = frequency.agg(F.sum(count)).scalar()
+    total = covered.agg(F.max("n_covered")).scalar()
     return covered.withColumn("coverage", F.try_divide(F.col("n_covered").cast("double"), total.cast("double")))
 
 

@@ -33,6 +33,9 @@ SUBSTITUTION = "Substitution Error"
 INSERTION_1 = "Insertion Error Type 1"
 INSERTION_2 = "Insertion Error Type 2"
 DELETION = "Deletion Error"
+RESULT_CLASSES = (
+    SAME_RANK, BETTER_RANK, INSERTED, CORRECT_SUBSTITUTION, SUBSTITUTION, INSERTION_1, INSERTION_2, DELETION,
+)
 
 
 def challenger_items(retrieval: DataFrame, request: str, results: str, score: str = "score", item: str = "sku"):
@@ -111,7 +114,7 @@ def top_lists(
 def classify_errors(top: DataFrame, request: str) -> DataFrame:
     """Result class of every clicked champion item, and of every clicked item that the challenger brings in.
 
-    Works on :func:`top_lists` with clicks. For a clicked item at place p of the champion and q of the challenger:
+    Works on :func:`top_lists` with clicks; a request without clicks gives no rows, so it need not be removed before. For a clicked item at place p of the champion and q of the challenger:
     absent from the challenger; the same place; a better place; same items in another order; nothing unclicked at or
     above q; an inserted item above q; anything else.
     """
@@ -155,12 +158,21 @@ def classify_errors(top: DataFrame, request: str) -> DataFrame:
 def error_breakdown(errors: DataFrame, request: str) -> DataFrame:
     """Requests per result class and their percentage of all graded requests.
 
-    A request may have several classes, so the percentages may add up to more than 100.
+    A request may have several classes, so the percentages may add up to more than 100. One flag per class and request
+    gives all the distinct counts in a single pass; classes without a request are not listed.
     """
-    total = errors.agg(F.count_distinct(request)).scalar()
-    counts = errors.groupBy("result_type").agg(F.count_distinct(request).alias("n_requests"))
-    share = F.try_divide(F.col("n_requests").cast("double"), total.cast("double"))
-    return counts.withColumn("percentage", share * 100)
+    flags = [F.max(F.col("result_type") == name).alias(f"__c{i}") for i, name in enumerate(RESULT_CLASSES)]
+    counts = [F.count_if(f"__c{i}").alias(f"__n{i}") for i in range(len(RESULT_CLASSES))]
+    totals = errors.groupBy(request).agg(*flags).agg(F.count(F.lit(1)).alias("__all"), *counts)
+    rows = F.array(
+        *[
+            F.struct(F.lit(name).alias("result_type"), F.col(f"__n{i}").alias("n_requests"))
+            for i, name in enumerate(RESULT_CLASSES)
+        ]
+    )
+    share = F.try_divide(F.col("n_requests").cast("double"), F.col("__all").cast("double"))
+    listed = totals.select("__all", F.inline(rows)).filter(F.col("n_requests") > 0)
+    return listed.select("result_type", "n_requests", (share * 100).alias("percentage"))
 
 
 def enrich_errors(errors: DataFrame, items: DataFrame, item: str, attributes: Sequence[str]) -> DataFrame:

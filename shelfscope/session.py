@@ -58,12 +58,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int | None:
-    """Size of everything ``df`` reads, from the optimizer's own statistics; None where they are out of reach."""
+    """Size of ``df`` from the optimizer's own statistics; None where they are out of reach.
+
+    The larger of two figures: all that the plan reads, which column pruning does not shrink, and the estimate for its
+    output, which multiplies the sides of a join.
+    """
     plan = getattr(df, "_jdf", None)
     if plan is None:
         return None
-    leaves = plan.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    optimized = plan.queryExecution().optimizedPlan()
+    leaves = optimized.collectLeaves()
+    read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return max(read, int(optimized.stats().sizeInBytes()))
+
+
+def prepare(spark: SparkSession) -> None:
+    """What the library expects of a session, set once per application.
+
+    Skewed join partitions are split also where a later step needs the join key together, at the price of one more
+    shuffle for the skewed case. The package is sent to the executors for the tasks that use numpy.
+    """
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    ship_package(spark)
 
 
 def ship_package(spark: SparkSession) -> None:

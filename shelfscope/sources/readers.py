@@ -23,6 +23,11 @@ def scan_csv(
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
+def literal_column(spark: SparkSession, values: list, name: str) -> DataFrame:
+    """A short list of literals as a table of one column, built without a Python task."""
+    return spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+
+
 def _day(value: str | date) -> date:
     return value if isinstance(value, date) else datetime.strptime(value, "%Y-%m-%d").date()
 
