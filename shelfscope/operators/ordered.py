@@ -172,10 +172,11 @@ def exact_median(df: DataFrame, value: str, name: str = "median", hot_rows: int
 def equal_width_histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
     """Counts in ``bins`` equal bins over [min, max]; the last bin is closed and empty bins are not listed.
 
-    Returns (bin, n_rows). When all values are equal they fall in bin 0.
+    Returns (bin, n_rows). When all values are equal they fall in the middle bin.
     """
     known = df.filter(F.col(value).isNotNull())
     ends = known.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
-    slot = F.floor(F.try_divide((F.col(value) - ends["low"]) * bins, ends["high"] - ends["low"]))
-    numbered = known.select(F.coalesce(F.least(slot, F.lit(bins - 1)), F.lit(0)).cast("int").alias("bin"))
+    low, high = ends["low"], ends["high"]
+    slot = F.least(F.floor(F.try_divide((F.col(value) - low) * bins, high - low)), F.lit(bins - 1))
+    numbered = known.select(F.when(low == high, bins // 2).otherwise(slot).cast("int").alias("bin"))
     return numbered.groupBy("bin").agg(F.count(F.lit(1)).alias("n_rows"))
