@@ -156,18 +156,26 @@ def pler_share_by_brand(t):
     return _share(t, "p_brand")
 
 
+def _lists_sql(prefix, rank, columns):
+    return ", ".join(f"string_agg(CAST({c} AS VARCHAR), ',' ORDER BY {rank}) AS {prefix}_{c}" for c in columns)
+
+
+_LISTED = ["sku", "click", "p_brand"]
+
+
 @bind(
     "pler_enriched",
-    f"""WITH {_PLER}, lists AS (SELECT rid, string_agg(CASE WHEN champ <= 4 THEN CAST(sku AS VARCHAR) END, ',' ORDER BY champ)
-      AS champ_skus, string_agg(CASE WHEN chal <= 4 THEN CAST(sku AS VARCHAR) END, ',' ORDER BY chal) AS chal_skus
-      FROM ranked GROUP BY rid)
-    SELECT rid, result_type, item, p_name, p_brand, p_type, champ_skus, chal_skus
-    FROM pler LEFT JOIN part ON item = p_partkey JOIN lists USING (rid)""",
+    f"""WITH {_PLER}, lists AS (SELECT rid, string_agg(CAST(chal AS VARCHAR), ',' ORDER BY champ) AS corresp_chal_rank,
+      {_lists_sql("champ", "champ", _LISTED)}, {_lists_sql("chal", "chal", _LISTED)}
+      FROM ranked JOIN part ON sku = p_partkey GROUP BY rid)
+    SELECT rid, result_type, item, p_name, p_brand, p_type, corresp_chal_rank, champ_sku, champ_click, champ_p_brand,
+      chal_sku, chal_click, chal_p_brand FROM pler LEFT JOIN part ON item = p_partkey JOIN lists USING (rid)""",
 )
 def pler_enriched(t):
-    top = E.top_lists(t.listing, "rid", "sku", t.champion, t.challenger)
-    lists = top.select("rid", _text_lists("champ_skus", c("champ_items")), _text_lists("chal_skus", c("chal_items")))
-    return _enriched(t).join(lists, "rid")
+    items = t.ranked.join(t.part, c("sku") == c("p_partkey"), "left")
+    lists = E.evaluation_lists(items, "rid", "champ", "chal", _LISTED)
+    names = ["corresp_chal_rank", *[f"{side}_{n}" for side in ("champ", "chal") for n in _LISTED]]
+    return _enriched(t).join(lists.select("rid", *[_text_lists(n, c(n)) for n in names]), "rid")
 
 
 # --- overlap and rank correlation

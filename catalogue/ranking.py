@@ -99,10 +99,10 @@ def topk_per_group(t):
 @bind(
     "sample_fixed_n",
     f"""WITH {LISTING} SELECT rid, sku, score FROM listing
-    ORDER BY md5('8451|' || CAST(rid AS VARCHAR) || '|' || CAST(sku AS VARCHAR)), rid, sku LIMIT 800""",
+    ORDER BY md5('2024|' || CAST(rid AS VARCHAR) || '|' || CAST(sku AS VARCHAR)), rid, sku LIMIT 800""",
 )
 def sample_fixed_n(t):
-    return O.fixed_sample(t.listing, ["rid", "sku"], 800, 8451).select("rid", "sku", "score")
+    return O.fixed_sample(t.listing, ["rid", "sku"], 800, 2024).select("rid", "sku", "score")
 
 
 @bind("sample_fraction")

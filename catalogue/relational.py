@@ -8,7 +8,7 @@ from catalogue.registry import bind
 from catalogue.tables import EVENT_LOG, HOUSEHOLD, LISTING, VIEWS
 from shelfscope.functions import columns as C
 from shelfscope.operators import relational as R
-from shelfscope.plans.attribution import drill_down, product_list_by_brand
+from shelfscope.plans.attribution import campaign_impressions, drill_down, product_list_by_brand
 from shelfscope.plans.exposure import households_by_state
 from shelfscope.plans.inventory import active_entities, cross_platform_total, inventory_by, live_campaigns
 from shelfscope.session import scratch_path
@@ -299,6 +299,18 @@ def join_inner_multikey(t):
     return t.listing.join(t.views, ["rid", "sku"]).select("rid", "sku", "pos", "click")
 
 
+@bind(
+    "join_inner_two_names",
+    """WITH offers AS (SELECT DISTINCT l_partkey AS part, l_suppkey AS source FROM lineitem WHERE l_discount > 0.05)
+    SELECT l_orderkey, part, source FROM lineitem JOIN offers ON l_partkey = part AND l_suppkey = source""",
+)
+def join_inner_two_names(t):
+    offers = t.lineitem.filter(c("l_discount") > 0.05)
+    offers = offers.select(c("l_partkey").alias("part"), c("l_suppkey").alias("source")).distinct()
+    both = (c("l_partkey") == c("part")) & (c("l_suppkey") == c("source"))
+    return t.lineitem.join(offers, both).select("l_orderkey", "part", "source")
+
+
 @bind("join_left_outer", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
 def join_left_outer(t):
     return t.customer.join(t.orders, c("c_custkey") == c("o_custkey"), "left").select("c_custkey", "o_orderkey")
@@ -529,6 +541,19 @@ def campaign_filter(t):
     return live_campaigns(campaigns, min_budget=20_000, draft="F").select("id", "budget", "status")
 
 
+@bind(
+    "campaign_impressions",
+    f"""WITH {EVENT_LOG} SELECT event_id, ehhn, dt, c_mktsegment FROM event_log
+    JOIN (SELECT c_custkey AS ehhn, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) USING (ehhn)
+    WHERE event_type = 'view' AND dt BETWEEN DATE '2024-01-03' AND DATE '2024-01-28'""",
+)
+def impressions_of_campaigns(t):
+    campaigns = drill_down(t.customer, "c_mktsegment", ["BUILDING", "MACHINERY"])
+    campaigns = campaigns.select(c("c_custkey").alias("ehhn"), "c_mktsegment")
+    rows = campaign_impressions(workspace(t), "2024-01-03", "2024-01-28", campaigns, "events", "IMPRESSION", "ehhn")
+    return rows.select("event_id", "ehhn", "dt", "c_mktsegment")
+
+
 @bind(
     "request_drilldown",
     "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')",

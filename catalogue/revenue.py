@@ -134,6 +134,21 @@ def targeted_revenue_by_label_state(t):
     return _targeted(t, E.stores_in(t.store, _STATES))
 
 
+@bind(
+    "targeted_revenue_with_paths",
+    f"""WITH {_TARGETED}, spend AS (SELECT label, {_CENTS} AS dollars_paid_impressions FROM hits GROUP BY 1),
+    named AS (SELECT DISTINCT path, category, upper(regexp_extract(path, '[0-9]{{5,}}\\s+(.*)$', 1)) AS sub_category FROM (
+      SELECT category, unnest(string_split(taxonomy, ',')) AS path FROM product WHERE category IN ('PROMO', 'SMALL')))
+    SELECT label, dollars_paid_impressions, path, category FROM spend JOIN named ON label = sub_category""",
+)
+def targeted_revenue_with_paths(t):
+    listed = t.product.filter(c("category").isin("PROMO", "SMALL"))
+    named = T.explode_sub_categories(listed, "taxonomy").select("sub_category", "path", "category").distinct()
+    spend = _targeted(t)
+    joined = spend.join(named, spend["label"] == named["sub_category"])
+    return joined.select("label", "dollars_paid_impressions", "path", "category")
+
+
 @bind(
     "spend_by_region",
     f"""WITH {EVENT_LOG}, {HOUSEHOLD}, {STORE}, located AS (SELECT event_type, clearing_price, state FROM event_log

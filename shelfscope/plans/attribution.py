@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.functions.columns import pad_code, sheet_safe
+from shelfscope.operators.relational import broadcast_join
+from shelfscope.sources.workspace import Workspace
 
 
 def padded_allow_list(products: DataFrame, code: str) -> DataFrame:
@@ -47,6 +49,13 @@ def product_list_by_brand(
     )
 
 
+def campaign_impressions(
+    workspace: Workspace, start: str, end: str, campaigns: DataFrame, log: str, log_type: str, key: str = "campaign_id"
+) -> DataFrame:
+    """Log rows of some campaigns in a period, with the columns of the campaign table."""
+    return broadcast_join(workspace.log(log, start, end, log_type), campaigns, [key])
+
+
 def drill_down(log: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
     """Everything a log holds about some requests or campaigns."""
     return log.filter(F.col(column).isin(list(values)))

@@ -86,6 +86,29 @@ def ranked_lists(
     return lists.select(request, "segment", *[F.col(f"__entries.{c}").alias(c) for c in [position, *columns]])
 
 
+def evaluation_lists(
+    items: DataFrame,
+    request: str,
+    champion_rank: str,
+    challenger_rank: str,
+    columns: Sequence[str],
+    segment_rows: int = 10_000,
+) -> DataFrame:
+    """Both rankings of each request side by side, as aligned arrays.
+
+    In champion order: ``champ_rank``, ``corresp_chal_rank`` (the challenger's rank of the same items) and
+    ``champ_<column>``; in challenger order ``chal_rank`` and ``chal_<column>``. Segments as in :func:`ranked_lists`.
+    """
+    columns = list(columns)
+    ours = ranked_lists(items, request, champion_rank, [challenger_rank, *columns], segment_rows)
+    theirs = ranked_lists(items, request, challenger_rank, columns, segment_rows)
+    named = lambda prefix: [F.col(c).alias(f"{prefix}_{c}") for c in columns]
+    ranks = [F.col(champion_rank).alias("champ_rank"), F.col(challenger_rank).alias("corresp_chal_rank")]
+    left = ours.select(request, "segment", *ranks, *named("champ"))
+    right = theirs.select(request, "segment", F.col(challenger_rank).alias("chal_rank"), *named("chal"))
+    return left.join(right, [request, "segment"])
+
+
 def _top(items, request, order, columns, k, prefix):
     top = top_k_per_group(items, [request], order, k, "__at")
     entries = F.sort_array(F.collect_list(F.struct("__at", *columns.values())))

@@ -96,7 +96,7 @@ def test_shares_add_up(spark):
 
 def test_samples(spark, rows):
     df = spark.range(500)
-    first, again = O.fixed_sample(df, ["id"], 50, 8451), O.fixed_sample(df.repartition(7), ["id"], 50, 8451)
+    first, again = O.fixed_sample(df, ["id"], 50, 2024), O.fixed_sample(df.repartition(7), ["id"], 50, 2024)
     assert rows(first) == rows(again) and len(set(rows(first))) == 50
     assert rows(first) != rows(O.fixed_sample(df, ["id"], 50, 1))
     assert 150 < O.fraction_sample(df, 0.5, 1).count() < 350
