@@ -37,7 +37,7 @@ def window_row_number_tiebreak(t):
     f"WITH {LISTING} SELECT rid, sku, rank() OVER (PARTITION BY rid ORDER BY qty) AS tied_rank FROM listing",
 )
 def window_rank(t):
-    return O.rank_with_ties(t.listing, ["rid"], [c("qty").asc()], "tied_rank").select("rid", "sku", "tied_rank")
+    return O.rank_with_ties(t.listing, ["rid"], "qty", "tied_rank").select("rid", "sku", "tied_rank")
 
 
 @bind(

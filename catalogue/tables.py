@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.functions.columns import MICROS_PER_DOLLAR, pad_code
-from shelfscope.operators.ordered import rank_rows
+from shelfscope.operators.ordered import rank_rows_by
 
 
 class Tables:
@@ -47,8 +47,7 @@ class Tables:
     @cached_property
     def ranked(self) -> DataFrame:
         """Listings with the ranks of both models."""
-        champ = rank_rows(self.listing, ["rid"], self.champion, "champ")
-        return rank_rows(champ, ["rid"], self.challenger, "chal")
+        return rank_rows_by(self.listing, ["rid"], {"champ": self.champion, "chal": self.challenger})
 
     @cached_property
     def views(self) -> DataFrame:

@@ -91,13 +91,12 @@ _LANGUAGE = f"""words AS (SELECT *, string_split_regex(lower(text), '[^\\p{{L}}]
     for lang in FUNCTION_WORDS)} END AS language FROM hits)"""
 
 
-def _searches(t):
-    return L.search_texts(t.documents, ["doc_id", "text", "source"], "text")
+_SEARCH_COLUMNS = ["doc_id", "text", "source"]
 
 
 @bind("language_frequency", f"WITH {_LANGUAGE} SELECT language, count(*) AS n_searches FROM spoken GROUP BY 1")
 def language_frequency(t):
-    return L.language_frequency(_searches(t), "text")
+    return L.language_frequency(t.documents, _SEARCH_COLUMNS, "text")
 
 
 @bind(
@@ -105,7 +104,7 @@ def language_frequency(t):
     f"WITH {_LANGUAGE} SELECT language, text, count(*) AS n_searches FROM spoken GROUP BY 1, 2",
 )
 def language_text_frequency(t):
-    return L.language_text_frequency(_searches(t), "text")
+    return L.language_text_frequency(L.search_texts(t.documents, _SEARCH_COLUMNS, "text"), "text")
 
 
 @bind(

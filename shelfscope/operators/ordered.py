@@ -9,10 +9,13 @@ it is added. The result is the same row for row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from shelfscope.session import cut_lineage, input_bytes
 
@@ -24,18 +27,18 @@ MOST_SLICES = 10_000
 BROADCAST_GROUPS = 100_000
 # Inputs up to this size are never probed for large groups: one task could sort all of it.
 ONE_TASK_BYTES = 256 << 20
+# Longest cut per group that Spark applies before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+# Longest cut of a whole table that one task merges.
+ONE_TASK_TOP = 10_000
 
 _SLICE, _AMOUNT, _BEFORE = "__slice", "__amount", "__before"
 
 
-def _window(keys: Sequence[str], order: Sequence[Column]):
+def _window(keys: Sequence[str], order: Sequence[Column]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def _running_rows(window):
-    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def _match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Null-safe join on ``keys`` that keeps the left names only."""
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
@@ -45,80 +48,121 @@ def _match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def _in_slices(df, keys, order, amount, local, name, slices):
-    """Rank or add up within range slices, then shift every slice by what lies before it."""
-    # The checkpoint fixes which slice a row is in: both readers below must agree, also after a lost executor.
-    sliced = cut_lineage(
-        df.repartitionByRange(slices, *[F.col(k) for k in keys], *order).withColumn(_SLICE, F.spark_partition_id())
-    )
-    # At most one row per slice and one per large group.
-    totals = sliced.groupBy(*keys, _SLICE).agg(F.sum(amount).alias(_AMOUNT))
-    earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*keys, _SLICE, F.coalesce(F.sum(_AMOUNT).over(earlier), F.lit(0)).alias(_BEFORE))
-    ranked = sliced.withColumn(name, local(_window([*keys, _SLICE], order)))
-    shifted = _match_keys(ranked, before, [*keys, _SLICE], "inner")
-    return shifted.withColumn(name, F.col(name) + F.col(_BEFORE)).drop(_SLICE, _BEFORE)
+@dataclass(frozen=True)
+class _Step:
+    """One running figure: its name, its order, what a row adds to it and its value within one window."""
 
+    name: str
+    order: list[Column]
+    amount: Column
+    local: Callable[[WindowSpec], Column]
 
-def _accumulate(df, keys, order, amount, local, name, hot_rows):
-    keys, order = list(keys), list(order)
-    limit = HOT_GROUP_ROWS if hot_rows is None else hot_rows
+    def plain(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        return df.withColumn(self.name, self.local(_window(keys, self.order)))
+
+    def sliced(self, df: DataFrame, keys: list[str], slices: int) -> DataFrame:
+        """Work within range slices, then shift every slice by what lies before it."""
+        ranges = [*[F.col(k) for k in keys], *self.order]
+        # The checkpoint fixes which slice a row is in: both readers below must agree, also after a lost executor.
+        cut = cut_lineage(df.repartitionByRange(slices, *ranges).withColumn(_SLICE, F.spark_partition_id()))
+        # At most one row per slice and one per large group.
+        totals = cut.groupBy(*keys, _SLICE).agg(F.sum(self.amount).alias(_AMOUNT))
+        earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        before = totals.select(*keys, _SLICE, F.coalesce(F.sum(_AMOUNT).over(earlier), F.lit(0)).alias(_BEFORE))
+        shifted = _match_keys(self.plain(cut, [*keys, _SLICE]), before, [*keys, _SLICE], "inner")
+        return shifted.withColumn(self.name, F.col(self.name) + F.col(_BEFORE)).drop(_SLICE, _BEFORE)
+
+
+def _large_groups(df: DataFrame, keys: list[str], hot_rows: int | None) -> tuple[DataFrame, int, int] | None:
+    """Keys of the groups that one task should not sort, their number and their rows; None if there are none."""
     size = input_bytes(df) if hot_rows is None else None
-    plain = lambda rows: rows.withColumn(name, local(_window(keys, order)))
     if size is not None and size <= ONE_TASK_BYTES:
-        return plain(df)
+        return None
+    limit = HOT_GROUP_ROWS if hot_rows is None else hot_rows
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_AMOUNT)).filter(F.col(_AMOUNT) > limit)
     hot = cut_lineage(counts)
     groups, rows = hot.agg(F.count(F.lit(1)), F.sum(_AMOUNT)).first()
     if not groups:
-        return plain(df)
-    slices = min(MOST_SLICES, max(2, -(-rows // max(1, limit))))
-    if not keys:
-        return _in_slices(df, keys, order, amount, local, name, slices)
+        return None
     hot_keys = hot.select(*keys)
-    if groups <= BROADCAST_GROUPS:
-        hot_keys = F.broadcast(hot_keys)
-    large = _in_slices(_match_keys(df, hot_keys, keys, "left_semi"), keys, order, amount, local, name, slices)
-    small = plain(_match_keys(df, hot_keys, keys, "left_anti"))
-    return small.unionByName(large)
+    return F.broadcast(hot_keys) if groups <= BROADCAST_GROUPS else hot_keys, rows, max(1, limit)
+
+
+def _accumulate(df: DataFrame, keys: Sequence[str], steps: Sequence[_Step], hot_rows: int | None) -> DataFrame:
+    keys = list(keys)
+    found = _large_groups(df, keys, hot_rows)
+    if found is None:
+        return reduce(lambda rows, step: step.plain(rows, keys), steps, df)
+    hot_keys, rows, limit = found
+    slices = min(MOST_SLICES, max(2, -(-rows // limit)))
+    large = _match_keys(df, hot_keys, keys, "left_semi") if keys else df
+    large = reduce(lambda part, step: step.sliced(part, keys, slices), steps, large)
+    if not keys:
+        return large
+    small = _match_keys(df, hot_keys, keys, "left_anti")
+    return reduce(lambda part, step: step.plain(part, keys), steps, small).unionByName(large)
 
 
-def rank_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, hot_rows: int | None = None
+def rank_rows_by(
+    df: DataFrame, keys: Sequence[str], ranks: dict[str, Sequence[Column]], hot_rows: int | None = None
 ) -> DataFrame:
-    """Add ``row_number`` of each row in its group as a bigint. ``order`` must be total for a repeatable result."""
+    """Add several row numbers over the same groups, as bigints: name to order. A later order may use earlier names.
+
+    Every order must be total, for a repeatable result and because equal rows cannot be split. The large groups are
+    looked up once, and in the plain case all windows share one shuffle.
+    """
+    number = lambda window: F.row_number().over(window).cast("bigint")
     one = F.lit(1).cast("bigint")
-    return _accumulate(df, keys, order, one, lambda w: F.row_number().over(w).cast("bigint"), name, hot_rows)
+    return _accumulate(df, keys, [_Step(name, list(order), one, number) for name, order in ranks.items()], hot_rows)
 
 
-def rank_with_ties(
+def rank_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, hot_rows: int | None = None
 ) -> DataFrame:
-    """Add ``rank`` (equal rows share a rank, gaps follow) as a bigint. Equal rows never span two slices."""
-    one = F.lit(1).cast("bigint")
-    return _accumulate(df, keys, order, one, lambda w: F.rank().over(w).cast("bigint"), name, hot_rows)
+    """Add the row number of each row in its group, see :func:`rank_rows_by`."""
+    return rank_rows_by(df, keys, {name: order}, hot_rows)
 
 
 def running_total(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    value: str,
-    name: str,
-    hot_rows: int | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str, hot_rows: int | None = None
 ) -> DataFrame:
     """Add the running sum of ``value`` up to and including each row. ``order`` must be total."""
-    return _accumulate(
-        df, keys, order, F.col(value), lambda w: F.sum(F.col(value)).over(_running_rows(w)), name, hot_rows
-    )
+    rows_so_far = lambda window: window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = _Step(name, list(order), F.col(value), lambda window: F.sum(value).over(rows_so_far(window)))
+    return _accumulate(df, keys, [step], hot_rows)
+
+
+def rank_with_ties(
+    df: DataFrame, keys: Sequence[str], value: str, name: str, ascending: bool = True, hot_rows: int | None = None
+) -> DataFrame:
+    """Add the rank of ``value`` in its group as a bigint: equal values share a rank and a gap follows.
+
+    In large groups equal values are counted first, so a value that most rows share is no heavier than another.
+    """
+    keys = list(keys)
+    order = [F.col(value).asc() if ascending else F.col(value).desc()]
+    plain = lambda rows: rows.withColumn(name, F.rank().over(_window(keys, order)).cast("bigint"))
+    found = _large_groups(df, keys, hot_rows)
+    if found is None:
+        return plain(df)
+    hot_keys = found[0]
+    large = _match_keys(df, hot_keys, keys, "left_semi") if keys else df
+    counted = large.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__equal"))
+    upto = running_total(counted, keys, order, "__equal", "__upto", hot_rows)
+    first = upto.select(*keys, value, (F.col("__upto") - F.col("__equal") + 1).alias(name))
+    ranked = _match_keys(large, first, [*keys, value], "inner")
+    return plain(_match_keys(df, hot_keys, keys, "left_anti")).unionByName(ranked) if keys else ranked
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str) -> DataFrame:
-    """The first ``k`` rows of each group, with their position.
+    """The first ``k`` rows of each group, with their position as a bigint.
 
     The filter sits directly on ``row_number``, so Spark keeps k rows per group in every map task before the
-    shuffle and a large group costs no more than k rows per task.
+    shuffle and a large group costs no more than k rows per task. It does so up to a thousand rows; a longer cut ranks
+    all rows.
     """
+    if k > GROUP_LIMIT:
+        return rank_rows(df, keys, order, name).filter(F.col(name) <= k)
     position = F.row_number().over(_window(list(keys), list(order)))
     return df.withColumn(name, position).filter(F.col(name) <= k).withColumn(name, F.col(name).cast("bigint"))
 
@@ -128,9 +172,15 @@ def pick_one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]
     return top_k_per_group(df, keys, order, 1, "__pick").drop("__pick")
 
 
-def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of the whole table; each task keeps n rows, no full sort."""
-    return df.orderBy(*order).limit(n)
+def top_n(df: DataFrame, order: Sequence[Column], n: int, hot_rows: int | None = None) -> DataFrame:
+    """The first ``n`` rows of the whole table, in order.
+
+    Up to ten thousand rows every task keeps n rows and one task merges them. More rows are cut by rank, so that no
+    single task sees n rows of every other one.
+    """
+    if n <= ONE_TASK_TOP:
+        return df.orderBy(*order).limit(n)
+    return rank_rows(df, [], order, "__at", hot_rows).filter(F.col("__at") <= n).drop("__at").orderBy(*order)
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], value: str, total: str, percent: str) -> DataFrame:

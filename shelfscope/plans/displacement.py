@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.functions.columns import ratio
-from shelfscope.operators.ordered import rank_rows, rank_with_ties
+from shelfscope.operators.ordered import rank_rows_by, rank_with_ties
 from shelfscope.operators.relational import drop_groups_with
 
 
@@ -39,9 +39,8 @@ def rank_displacement(
     """
     complete = complete_groups(listings, page, score)
     shown_order = [F.col(position).asc(), *[F.col(c).asc() for c in tie_break]]
-    shown = rank_rows(complete, [page], shown_order, "shown_rank", hot_rows)
     by_score = [F.col(score).desc(), F.col("shown_rank").asc()]
-    ranked = rank_rows(shown, [page], by_score, "relevance_rank", hot_rows)
+    ranked = rank_rows_by(complete, [page], {"shown_rank": shown_order, "relevance_rank": by_score}, hot_rows)
     with_diff = ranked.withColumn("rank_diff", F.col("relevance_rank") - F.col("shown_rank"))
     return with_diff.filter(F.col(monetized))
 
@@ -56,7 +55,7 @@ def rank_displacement_by_raw_position(
 ) -> DataFrame:
     """The early variant: a rank with ties by ascending score, minus the position as logged."""
     complete = complete_groups(listings, page, score)
-    ranked = rank_with_ties(complete, [page], [F.col(score).asc()], "relevance_rank", hot_rows)
+    ranked = rank_with_ties(complete, [page], score, "relevance_rank", hot_rows=hot_rows)
     with_diff = ranked.withColumn("rank_diff", F.col("relevance_rank") - F.col(position))
     return with_diff.filter(F.col(monetized))
 

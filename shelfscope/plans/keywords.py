@@ -26,9 +26,11 @@ def keyword_frequency(log: DataFrame, keyword: str, count: str = "n_requests") -
     return clean.groupBy("keyword").agg(F.count(F.lit(1)).alias(count))
 
 
-def most_frequent(frequency: DataFrame, n: int = 100_000, count: str = "n_requests") -> DataFrame:
+def most_frequent(
+    frequency: DataFrame, n: int = 100_000, count: str = "n_requests", hot_rows: int | None = None
+) -> DataFrame:
     """The n most frequent keywords; equal counts in alphabetical order."""
-    return top_n(frequency, [F.col(count).desc(), F.col("keyword").asc()], n)
+    return top_n(frequency, [F.col(count).desc(), F.col("keyword").asc()], n, hot_rows)
 
 
 def keyword_coverage(frequency: DataFrame, count: str = "n_requests", hot_rows: int | None = None) -> DataFrame:

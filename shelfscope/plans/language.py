@@ -21,10 +21,13 @@ def language_text_frequency(searches: DataFrame, text: str) -> DataFrame:
     return counted.select(detect_language(F.col(text)).alias("language"), text, "n_searches")
 
 
-def language_frequency(searches: DataFrame, text: str) -> DataFrame:
-    """Searches per language."""
-    return (
-        searches.select(detect_language(F.col(text)).alias("language"))
-        .groupBy("language")
-        .agg(F.count(F.lit(1)).alias("n_searches"))
-    )
+def language_frequency(clicks: DataFrame, columns: Sequence[str], text: str) -> DataFrame:
+    """Searches per language, straight from the records; ``columns`` other than the text identify a search.
+
+    Long texts do not travel: the language is found where a record is read, and a SHA-256 of the text stands in for it
+    when repeated records are removed.
+    """
+    others = [c for c in columns if c != text]
+    known = clicks.filter(F.col(text).isNotNull())
+    searches = known.select(*others, F.sha2(text, 256).alias("__text"), detect_language(F.col(text)).alias("language"))
+    return searches.distinct().groupBy("language").agg(F.count(F.lit(1)).alias("n_searches"))

@@ -17,7 +17,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from shelfscope.functions.arrays import common_in_first, larger_before, same_set, select_where
-from shelfscope.operators.ordered import rank_rows, top_k_per_group
+from shelfscope.operators.ordered import rank_rows, rank_rows_by, top_k_per_group
 
 # Lists longer than this are counted in blocks, see kendall_tau.
 BLOCK = 256
@@ -264,9 +264,9 @@ def kendall_tau(
     else from the normal approximation.
     """
     rows = items.select(request, F.col(x).alias("__rx"), F.col(y).alias("__ry"))
-    pairs = rank_rows(rows, [request], [F.col("__rx").asc(), F.col("__ry").asc()], "__x", hot_rows)
     # Equal y keep their order in x, so a tie is never out of order.
-    pairs = rank_rows(pairs, [request], [F.col("__ry").asc(), F.col("__x").asc()], "__y", hot_rows)
+    orders = {"__x": [F.col("__rx").asc(), F.col("__ry").asc()], "__y": [F.col("__ry").asc(), F.col("__x").asc()]}
+    pairs = rank_rows_by(rows, [request], orders, hot_rows)
     pairs = pairs.select(request, "__x", "__y")
 
     longest = rows.groupBy(request).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0

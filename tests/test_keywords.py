@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shelfscope.operators import ordered as O
 from shelfscope.operators.nearest import similar_topk
 from shelfscope.plans import keywords as K
 from shelfscope.plans import language as L
@@ -17,6 +18,14 @@ def test_cleaning_and_frequency(spark, rows):
     assert K.most_frequent(frequency, 2).collect() == [("milk", 3), ("a" * 14, 1)]
 
 
+@pytest.mark.parametrize("hot_rows", [None, 3])
+def test_long_cut_by_rank_equals_the_short_one(spark, monkeypatch, hot_rows):
+    frequency = spark.createDataFrame([(f"k{i}", i % 4) for i in range(20)], "keyword string, n_requests int")
+    short = K.most_frequent(frequency, 7).collect()
+    monkeypatch.setattr(O, "ONE_TASK_TOP", 1)
+    assert K.most_frequent(frequency, 7, hot_rows=hot_rows).collect() == short
+
+
 @pytest.mark.parametrize("hot_rows", [None, 2])
 def test_coverage(spark, hot_rows):
     frequency = spark.createDataFrame([("a", 5), ("b", 3), ("c", 1), ("d", 1)], "keyword string, n_requests bigint")
@@ -105,6 +114,7 @@ def test_language_counts(spark, rows):
         [("c1", "the milk", "x"), ("c1", "the milk", "x"), ("c2", "the milk", "x"), ("c3", None, "x"), ("c4", "le lait et", "x")],
         "click_id string, text string, banner string",
     )
-    searches = L.search_texts(clicks, ["click_id", "text", "banner"], "text")
-    assert rows(L.language_frequency(searches, "text")) == [("en", 2), ("fr", 1)]
+    columns = ["click_id", "text", "banner"]
+    searches = L.search_texts(clicks, columns, "text")
+    assert rows(L.language_frequency(clicks, columns, "text")) == [("en", 2), ("fr", 1)]
     assert rows(L.language_text_frequency(searches, "text")) == [("en", "the milk", 2), ("fr", "le lait et", 1)]

@@ -28,9 +28,25 @@ def test_sliced_row_number_equals_window(skewed, rows, hot_rows):
 
 
 def test_sliced_rank_keeps_ties(skewed, rows):
-    order = [F.col("value").asc()]
-    plain = O.rank_with_ties(skewed, ["key"], order, "r", hot_rows=10**9)
-    assert rows(O.rank_with_ties(skewed, ["key"], order, "r", hot_rows=7), "id", "r") == rows(plain, "id", "r")
+    for keys in (["key"], []):
+        plain = O.rank_with_ties(skewed, keys, "value", "r", ascending=False, hot_rows=10**9)
+        sliced = O.rank_with_ties(skewed, keys, "value", "r", ascending=False, hot_rows=4)
+        assert rows(sliced, "id", "r") == rows(plain, "id", "r")
+
+
+def test_several_ranks_share_one_shuffle(skewed, rows):
+    orders = {"a": [F.col("value").desc(), F.col("id").asc()], "b": [F.col("a").desc()]}
+    plain = O.rank_rows_by(skewed, ["key"], orders, hot_rows=10**9)
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    sliced = O.rank_rows_by(skewed, ["key"], orders, hot_rows=9)
+    assert rows(sliced, "id", "a", "b") == rows(plain, "id", "a", "b")
+
+
+def test_long_cut_per_group(skewed, rows, monkeypatch):
+    order = [F.col("value").asc(), F.col("id").asc()]
+    short = rows(O.top_k_per_group(skewed, ["key"], order, 5, "place"), "id", "place")
+    monkeypatch.setattr(O, "GROUP_LIMIT", 2)
+    assert rows(O.top_k_per_group(skewed, ["key"], order, 5, "place"), "id", "place") == short
 
 
 def test_sliced_total_over_the_whole_table(skewed, rows):
