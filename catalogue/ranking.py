@@ -8,6 +8,7 @@ from catalogue.registry import bind
 from catalogue.tables import LISTING, RANKED, SCORED, VIEWS
 from shelfscope.operators import ordered as O
 from shelfscope.plans import displacement as D
+from shelfscope.schemas import conform
 
 c = F.col
 
@@ -130,6 +131,31 @@ def rank_displacement(t):
     return displaced(t).select("rid", "sku", "shown_rank", "relevance_rank", "rank_diff")
 
 
+@bind(
+    "rank_displacement_text_columns",
+    f"""WITH {SCORED} SELECT CAST(rid AS VARCHAR) AS click_id, lpad(CAST(sku AS VARCHAR), 13, '0') AS upc, shown_rank,
+    relevance_rank, rank_diff FROM displaced""",
+)
+def rank_displacement_text_columns(t):
+    """The same from a clickstream record, in which every column is text."""
+    page, shown = c("rid").cast("string"), c("pos").cast("string")
+    raw = t.scored.select(
+        page.alias("session"),
+        page.alias("click_id"),
+        F.lit("2024-01-01").alias("click_date"),
+        F.lpad(c("sku").cast("string"), 13, "0").alias("upc"),
+        shown.alias("item_index"),
+        F.when(c("monetized"), "true").otherwise("false").alias("monetized"),
+        c("score").cast("string").alias("relevance_score"),
+        F.lit("internal-search").alias("scenario"),
+        F.lit(None).cast("string").alias("component"),
+        F.lit(None).cast("string").alias("text_typed"),
+        F.lit(None).cast("string").alias("banner"),
+    )
+    ranked = D.rank_displacement(conform(raw, "search_listing"))
+    return ranked.select("click_id", "upc", "shown_rank", "relevance_rank", "rank_diff")
+
+
 @bind(
     "rank_displacement_raw_position",
     f"""WITH {SCORED}, early AS (SELECT *, rank() OVER (PARTITION BY rid ORDER BY score) AS relevance_rank FROM complete)

@@ -10,6 +10,7 @@ from shelfscope.functions.language import FUNCTION_WORDS, detect_language
 from shelfscope.operators.nearest import similar_topk as nearest
 from shelfscope.plans import keywords as K
 from shelfscope.plans import language as L
+from shelfscope.session import cut_lineage
 
 c = F.col
 
@@ -72,11 +73,33 @@ def keyword_concept_map(t):
     named = near.join(keys.select(c("vec_id").alias("key"), "keyword"), "key").join(
         keys.select(c("vec_id").alias("match"), c("keyword").alias("match_word")), "match"
     )
-    matches = K.drop_digit_matches(named.select("keyword", c("match_word").alias("match"), "place"))
+    matches = cut_lineage(K.drop_digit_matches(named.select("keyword", c("match_word").alias("match"), "place")))
     heads = K.concept_map(keys, matches, ["label", "vec_id"])
     return heads.select("keyword", F.array_join("matches", ",").alias("matches"))
 
 
+_TYPED = f"""WITH RECURSIVE {_NEAR},
+  typed AS (SELECT 'word' || json_extract_string(props, '$.k') AS keyword, count(*) AS n FROM events GROUP BY 1),
+  queue AS (SELECT keyword, row_number() OVER (ORDER BY n DESC, keyword) AS turn FROM typed ORDER BY turn LIMIT 60),
+  lists AS (SELECT turn, q.keyword, list('word' || CAST(match AS VARCHAR) ORDER BY place) FILTER (place <= 5) AS matches
+    FROM queue q LEFT JOIN top ON q.keyword = 'word' || CAST(key AS VARCHAR) GROUP BY 1, 2),
+  walk(turn, seen, head) AS (
+    SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), false
+    UNION ALL
+    SELECT l.turn, CASE WHEN list_contains(seen, l.keyword) THEN seen ELSE list_concat(seen, coalesce(l.matches, [])) END,
+      NOT list_contains(seen, l.keyword) FROM walk w JOIN lists l ON l.turn = w.turn + 1)
+  SELECT keyword, array_to_string(matches, ',') AS matches FROM walk JOIN lists USING (turn)
+  WHERE head AND len(matches) > 0"""
+
+
+@bind("keyword_map", _TYPED)
+def keyword_map(t):
+    typed = t.events.select(F.concat(F.lit("Word"), F.get_json_object("props", "$.k")).alias("typed"))
+    vectors = t.embeddings.select(F.concat(F.lit("word"), c("vec_id").cast("string")).alias("key"), "embedding")
+    heads = K.keyword_map(typed, "typed", vectors, "key", "embedding", n=60)
+    return heads.select("keyword", F.array_join("matches", ",").alias("matches"))
+
+
 # --- languages
 
 _HITS = ",\n  ".join(

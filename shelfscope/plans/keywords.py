@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfscope.operators.nearest import similar_topk
 from shelfscope.operators.ordered import running_total, top_n
 from shelfscope.session import cut_lineage
 
@@ -55,7 +56,7 @@ def concept_map(
     Going through the keywords in ascending ``order``, a keyword that an earlier head lists as a match belongs to that
     head and is skipped; any other keyword becomes a head. Heads without matches are left out.
 
-    All keywords are decided in a few parallel rounds: one that no undecided earlier keyword lists is a head, and
+    All keywords are decided in parallel rounds, usually a handful: one that no undecided earlier keyword lists is a head, and
     whatever a head lists is not. Each round is written to the checkpoint folder. ``order`` must be total; a keyword
     has at most k matches, so the final arrays are short.
     """
@@ -82,3 +83,20 @@ def concept_map(
         F.sort_array(F.collect_list(F.struct(place, match))).alias("__m")
     )
     return kept.join(lists, "keyword").select("keyword", F.col(f"__m.{match}").alias("matches"))
+
+
+def keyword_map(
+    log: DataFrame, keyword: str, vectors: DataFrame, key: str, vector: str, n: int = 100_000, k: int = 5
+) -> DataFrame:
+    """From a search log to the concept map of its n most frequent keywords: (keyword, matches).
+
+    ``vectors`` holds one vector per known key. Frequent keywords without a vector have no matches and head nothing.
+    """
+    # The cut list is read twice below.
+    top = cut_lineage(most_frequent(keyword_frequency(log, keyword), n))
+    asked = top.select(F.col("keyword").alias(key), F.lit(True).alias("asked"))
+    flagged = vectors.join(asked, key, "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    near = similar_topk(flagged, key, vector, k, is_query="asked")
+    # At most n * k rows, read once for the edges and once for the lists.
+    matches = cut_lineage(drop_digit_matches(near.select(F.col("key").alias("keyword"), "match", "place")))
+    return concept_map(top.withColumn("fewer", -F.col("n_requests")), matches, ["fewer", "keyword"])

@@ -269,15 +269,17 @@ def kendall_tau(
     pairs = rank_rows_by(rows, [request], orders, hot_rows)
     pairs = pairs.select(request, "__x", "__y")
 
-    longest = rows.groupBy(request).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    sizes = rows.groupBy(request).agg(F.count(F.lit(1)).alias("n"))
+    longest = sizes.agg(F.max("n")).first()[0] or 0
     parts = _discordant_within(pairs, request, block)
     half = block
     while half < longest:
-        parts = parts.unionByName(_discordant_across(pairs, request, half, hot_rows))
+        long_enough = sizes.filter(F.col("n") > half).select(request)
+        halves = pairs.join(long_enough, request, "left_semi")
+        parts = parts.unionByName(_discordant_across(halves, request, half, hot_rows))
         half *= 2
     discordant = parts.groupBy(request).agg(F.sum("__out").alias("discordant"))
 
-    sizes = rows.groupBy(request).agg(F.count(F.lit(1)).alias("n"))
     joined = sizes.join(discordant, request)
     n, zero = F.col("n"), F.lit(0).cast("bigint")
     pairs_in_all = F.floor(n * (n - 1) / 2)
