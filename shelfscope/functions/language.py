@@ -28,18 +28,21 @@ def _is_one_of(listed: tuple[str, ...]):
 
 
 def _best(found: Column) -> Column:
-    """The (score, -place, language) struct with the highest score for one array of words."""
+    """The (score, place, language) struct with the highest score for one array of words.
+
+    On equal scores the greater place wins: languages in their order, and before them ``und``, which scores nothing.
+    """
+    scores = {UNKNOWN: F.lit(0)} | {lang: F.size(F.filter(found, _is_one_of(w))) for lang, w in FUNCTION_WORDS.items()}
     candidates = [
-        F.struct(
-            F.size(F.filter(found, _is_one_of(listed))).alias("score"), F.lit(-place).alias("place"), F.lit(lang).alias("lang")
-        )
-        for place, (lang, listed) in enumerate(FUNCTION_WORDS.items())
+        F.struct(score.alias("score"), F.lit(-place).alias("place"), F.lit(lang).alias("lang"))
+        for place, (lang, score) in enumerate(scores.items())
     ]
     return F.array_max(F.array(*candidates))
 
 
 def detect_language(text: Column) -> Column:
     """The language with most function words, counted with repetition; ``und`` if there are none."""
-    # The one-element transform splits the text once for all languages.
-    best = F.get(F.transform(F.array(words(text)), _best), 0)
-    return F.when(best["score"] > 0, best["lang"]).otherwise(UNKNOWN)
+    # The one-element transform prepares the words once for all languages; most words belong to none. The result is
+    # referred to once, as these functions are evaluated at every reference.
+    listed = tuple(sorted(set().union(*FUNCTION_WORDS.values())))
+    return F.get(F.transform(F.array(F.filter(words(text), _is_one_of(listed))), _best), 0)["lang"]

@@ -6,6 +6,9 @@ orders neighbours as the cosine does, so the pivot method for nearest-neighbour
 first pass finds, inside each block, a distance that the k-th neighbour of a query cannot exceed. The second pass sends
 a query only to cells that the triangle inequality cannot rule out, and only neighbours within that distance leave a
 pair of blocks. No pruning is approximate: the result is that of a full comparison.
+
+A block is one row of about two megabytes, and Spark hands such rows to Python in batches of at most 64 MB
+(``spark.sql.execution.arrow.maxBytesPerBatch``), so a task holds a few dozen blocks whatever the size of the table.
 """
 
 from __future__ import annotations

@@ -212,7 +212,7 @@ def exact_median(df: DataFrame, value: str, name: str = "median", hot_rows: int
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
     reached = running_total(counted, [], [F.col(value).asc()], "__n", "__upto", hot_rows)
-    total = counted.agg(F.sum("__n")).scalar()
+    total = reached.agg(F.max("__upto")).scalar()
     low, high = F.floor((total + 1) / 2), F.floor((total + 2) / 2)
     first = F.col("__upto") - F.col("__n") + 1
     middle = reached.filter((first <= high) & (F.col("__upto") >= low))

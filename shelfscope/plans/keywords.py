@@ -11,14 +11,15 @@ from shelfscope.operators.nearest import similar_topk
 from shelfscope.operators.ordered import running_total, top_n
 from shelfscope.session import cut_lineage
 
-# Fixed value: text like a coupon code, fifteen or more letters and digits without a blank.
+# Text like a coupon code, fifteen or more letters and digits without a blank, and digits only.
+CODE_LENGTH = 15
 CODE_LIKE = "^[a-zA-Z0-9]{15,}$"
 ALL_DIGITS = "^[0-9]+$"
 
 
 def is_keyword(text: Column) -> Column:
-    """True for text that does not look like a coupon code; null for null."""
-    return ~text.rlike(CODE_LIKE)
+    """True for text that does not look like a coupon code; null for null. Short text needs no pattern match."""
+    return (F.length(text) < CODE_LENGTH) | ~text.rlike(CODE_LIKE)
 
 
 def keyword_frequency(log: DataFrame, keyword: str, count: str = "n_requests") -> DataFrame:

@@ -72,6 +72,16 @@ def test_concept_map_equals_the_sequential_walk(spark, seed):
     assert concept_map(spark, order, matches) == sequential_map(order, matches)
 
 
+def test_map_from_a_log(spark):
+    """Two groups of near-equal keys; the most frequent key of each heads it, digits never match."""
+    typed = ["Apple"] * 5 + ["apples"] * 3 + ["milk"] * 4 + ["mlk"] * 2 + ["b" * 20] * 9 + ["nothing"] * 8
+    log = spark.createDataFrame([(t,) for t in typed], "q string")
+    vectors = {"apple": (1, 0), "apples": (1, 0.1), "appel": (1, 0.2), "milk": (0, 1), "mlk": (0.1, 1), "12": (0, 1.0)}
+    table = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in vectors.items()], "w string, v array<double>")
+    heads = {r.keyword: r.matches for r in K.keyword_map(log, "q", table, "w", "v", n=5, k=2).collect()}
+    assert heads == {"apple": ["apples", "appel"], "milk": ["mlk"]}
+
+
 def test_digit_matches_are_dropped(spark, rows):
     df = spark.createDataFrame([("a", "12"), ("a", "12x"), ("a", "x")], "keyword string, match string")
     assert rows(K.drop_digit_matches(df), "match") == [("12x",), ("x",)]

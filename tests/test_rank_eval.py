@@ -219,3 +219,12 @@ def test_long_lists_continue_in_segments(spark, rows):
 def test_clicked_requests(spark, rows):
     df = spark.createDataFrame([(1, "a", 0), (1, "b", 2), (2, "a", 0)], "request_id int, sku string, click int")
     assert rows(E.clicked_requests(df, "request_id", "click"), "request_id", "sku") == [(1, "a"), (1, "b")]
+
+
+def test_both_rankings_side_by_side(spark):
+    data = [("r", "a", 1, 3, "x"), ("r", "b", 2, 1, None), ("r", "c", 3, 2, "z")]
+    df = spark.createDataFrame(data, "request_id string, sku string, champ int, chal int, brand string")
+    row = E.evaluation_lists(df, "request_id", "champ", "chal", ["sku", "brand"]).first()
+    assert (row.champ_sku, row.corresp_chal_rank, row.champ_brand) == (["a", "b", "c"], [3, 1, 2], ["x", None, "z"])
+    assert (row.chal_sku, row.chal_rank, row.chal_brand) == (["b", "c", "a"], [1, 2, 3], [None, "z", "x"])
+    assert E.evaluation_lists(df, "request_id", "champ", "chal", ["sku"], segment_rows=2).count() == 2

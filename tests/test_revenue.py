@@ -5,6 +5,7 @@ from shelfscope.plans import attribution as A
 from shelfscope.plans import exposure as E
 from shelfscope.plans import impact as I
 from shelfscope.plans import inventory as N
+from shelfscope.sources.workspace import Log, Workspace
 
 
 def test_backfill_pads_dedupes_and_fans_out(spark, rows):
@@ -27,6 +28,17 @@ def test_product_list_and_drill_down(spark, rows):
     assert rows(A.drill_down(products, "upc", ["008"]), "description") == [("nuts",)]
 
 
+def test_campaign_impressions(spark, rows):
+    log = spark.createDataFrame(
+        [("c1", "2024-01-01", "IMP"), ("c1", "2024-01-02", "CLICK"), ("c2", "2024-01-02", "IMP"), ("c1", "2024-02-01", "IMP")],
+        "campaign_id string, dt string, kind string",
+    )
+    space = Workspace({"ads": Log(log, "dt", "kind", {"IMPRESSION": "IMP"})})
+    campaigns = spark.createDataFrame([("c1", "summer")], "campaign_id string, name string")
+    found = A.campaign_impressions(space, "2024-01-01", "2024-01-31", campaigns, "ads", "IMPRESSION")
+    assert rows(found, "dt", "name") == [("2024-01-01", "summer")]
+
+
 @pytest.fixture(scope="module")
 def ads(spark):
     clicks = spark.createDataFrame(
