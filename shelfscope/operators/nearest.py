@@ -27,6 +27,10 @@ MOST_PIVOTS = 256
 BLOCK_ROWS = 2048
 # Similarities are compared at this many decimals, so that equal vectors tie exactly.
 DECIMALS = 9
+# Visited cells that leave a task in one batch, which bounds its memory.
+CELLS_AT_ONCE = 16
+# More candidates than this many times k per query are thinned out before they are sorted.
+FEW_PER_QUERY = 4
 # Slack on distances against rounding in the last places.
 SLACK = 1e-6
 
@@ -35,6 +39,11 @@ def _matrix(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, dtype="float64") for v in vectors])
 
 
+def _unpack(flat, n: int) -> np.ndarray:
+    """The matrix of a block, whose vectors are stored one after the other."""
+    return np.asarray(flat, dtype="float64").reshape(n, -1)
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
@@ -66,7 +75,10 @@ def _assign_cells(pivots: np.ndarray, key_type: str):
 
 
 def _route_queries(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, key_type: str):
-    """Bound the k-th distance of each query by its own block, then list the cells it has to visit."""
+    """Bound the k-th distance of each query by its own block, then send it to the cells it has to visit.
+
+    One row per block and visited cell, with the queries of the block that go there.
+    """
     between = _distances(pivots, pivots)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,7 +87,7 @@ def _route_queries(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, k: int
                 flags = np.asarray(flags, dtype=bool)
                 if not flags.any():
                     continue
-                units = _matrix(units)
+                units = _unpack(units, len(keys))
                 asked = np.flatnonzero(flags)
                 queries = units[asked]
                 if len(units) > k:
@@ -90,17 +102,22 @@ def _route_queries(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, k: int
                 apart = np.where(between[cell] > 0, between[cell], np.inf)
                 plane = (to_pivot**2 - to_pivot[:, [cell]] ** 2) / (2 * apart[None, :])
                 visits = np.maximum(least, plane) <= bound[:, None] + SLACK
-                row, target = np.nonzero(visits & (high >= 0)[None, :])
-                yield pd.DataFrame(
-                    {
-                        "key": [keys[i] for i in asked[row]],
-                        "unit": [queries[i] for i in row],
-                        "bound": bound[row],
-                        "cell": target.astype("int32"),
-                    }
-                )
-
-    return route, f"key {key_type}, unit array<double>, bound double, cell int"
+                visits &= (high >= 0)[None, :]
+                keys = np.asarray(keys)[asked]
+                targets = np.flatnonzero(visits.any(axis=0))
+                for start in range(0, len(targets), CELLS_AT_ONCE):
+                    some = targets[start : start + CELLS_AT_ONCE]
+                    chosen = [np.flatnonzero(visits[:, t]) for t in some]
+                    yield pd.DataFrame(
+                        {
+                            "cell": some.astype("int32"),
+                            "q_keys": [keys[i] for i in chosen],
+                            "q_units": [queries[i].ravel() for i in chosen],
+                            "bounds": [bound[i] for i in chosen],
+                        }
+                    )
+
+    return route, f"cell int, q_keys array<{key_type}>, q_units array<double>, bounds array<double>"
 
 
 def _compare_blocks(k: int, key_type: str):
@@ -111,14 +128,17 @@ def _compare_blocks(k: int, key_type: str):
             for q_keys, q_units, bounds, keys, units in zip(
                 batch["q_keys"], batch["q_units"], batch["bounds"], batch["keys"], batch["units"]
             ):
-                similarity = _matrix(q_units) @ _matrix(units).T
+                similarity = _unpack(q_units, len(q_keys)) @ _unpack(units, len(keys)).T
                 reach = 1.0 - np.asarray(bounds) ** 2 / 2.0 - SLACK
-                if similarity.shape[1] > k + 1:
-                    # The query itself may be among the keys, hence one more.
+                close = similarity >= reach[:, None]
+                if similarity.shape[1] > k + 1 and np.count_nonzero(close) > FEW_PER_QUERY * k * len(q_keys):
+                    # Loose bounds: no more than k of this block can matter, plus the query itself and ties.
                     reach = np.maximum(reach, np.partition(similarity, -(k + 1), axis=1)[:, -(k + 1)] - SLACK)
-                keys, q_keys = np.asarray(keys), np.asarray(q_keys)
-                close = (similarity >= reach[:, None]) & (q_keys[:, None] != keys[None, :])
+                    close = similarity >= reach[:, None]
                 row, column = np.nonzero(close)
+                keys, q_keys = np.asarray(keys), np.asarray(q_keys)
+                other = q_keys[row] != keys[column]
+                row, column = row[other], column[other]
                 score = np.round(similarity[row, column], DECIMALS)
                 found = pd.DataFrame({"key": q_keys[row], "match": keys[column], "similarity": score})
                 found = found.sort_values(["similarity", "match"], ascending=[False, True], kind="stable")
@@ -146,7 +166,8 @@ def similar_topk(
     rows = table.select(F.col(key).alias("key"), F.col(vector).alias("vector"), flag.alias("is_query"))
     rows = rows.filter(F.col("key").isNotNull() & F.col("vector").isNotNull())
     squares = F.aggregate("vector", F.lit(0.0), lambda total, v: total + v.cast("double") * v)
-    count = pivots or min(MOST_PIVOTS, max(1, int(rows.count() ** 0.5)))
+    # Cells of about one block: smaller ones would only send queries to more places.
+    count = pivots or min(MOST_PIVOTS, max(1, rows.count() // block_rows))
     # At most MOST_PIVOTS rows, whatever the size of the table.
     chosen = rows.filter(squares > 0).orderBy(F.xxhash64("key"), "key").limit(count).select("vector").collect()
     if not chosen:
@@ -172,25 +193,13 @@ def similar_topk(
         .groupBy("cell", "block")
         .agg(F.collect_list(F.struct("key", "unit", "is_query")).alias("m"))
         .select(
-            "cell", "block", F.col("m.key").alias("keys"), F.col("m.unit").alias("units"),
+            "cell", "block", F.col("m.key").alias("keys"), F.flatten("m.unit").alias("units"),
             F.col("m.is_query").alias("flags"),
         )
     )
     key_blocks = cut_lineage(key_blocks)
-    routed = cut_lineage(key_blocks.mapInPandas(*_route_queries(centres, low, high, k, key_type)))
-    visitors = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = F.get(
-        F.array(*[F.lit(max(1, -(-visitors.get(c, 0) // block_rows))) for c in range(len(centres))]), F.col("cell")
-    )
-    query_blocks = (
-        routed.withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), parts).cast("int"))
-        .groupBy("cell", "part")
-        .agg(F.collect_list(F.struct("key", "unit", "bound")).alias("m"))
-        .select(
-            "cell", F.col("m.key").alias("q_keys"), F.col("m.unit").alias("q_units"), F.col("m.bound").alias("bounds"),
-            F.explode(F.sequence(F.lit(0), blocks_of - 1)).alias("block"),
-        )
-    )
+    visits = key_blocks.mapInPandas(*_route_queries(centres, low, high, k, key_type))
+    query_blocks = visits.withColumn("block", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
     pairs = query_blocks.join(key_blocks.drop("flags"), ["cell", "block"])
     found = pairs.select("q_keys", "q_units", "bounds", "keys", "units").mapInPandas(*_compare_blocks(k, key_type))
     return top_k_per_group(found, ["key"], [F.col("similarity").desc(), F.col("match").asc()], k, "place")
