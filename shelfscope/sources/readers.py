@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, TimestampNTZType, TimestampType
 
 
-def scan(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | None = None, **options):
-    """Read a table of any installed format; a directory may be hive-partitioned."""
+def scan(
+    spark: SparkSession, path: str | None = None, fmt: str = "parquet", schema: StructType | None = None, **options
+) -> DataFrame:
+    """Read a table of any installed format; a directory may be hive-partitioned.
+
+    Sources without a path, such as a table behind JDBC, are described by their options alone.
+    """
     reader = spark.read.format(fmt).options(**options)
     return (reader.schema(schema) if schema else reader).load(path)
 

@@ -15,8 +15,13 @@ def dated_path(base: str, start: str, end: str) -> str:
 def materialize(
     df: DataFrame, path: str, mode: str = "errorifexists", fmt: str = "parquet", partition_by: Sequence[str] = ()
 ) -> DataFrame:
-    """Write a stage and read it back, so that later steps start from the files. Fails if the path exists."""
-    df.write.mode(mode).format(fmt).partitionBy(*partition_by).save(path)
+    """Write a stage and read it back, so that later steps start from the files. Fails if the path exists.
+
+    Rows for a partitioned stage are gathered by partition first, so that not every task writes a file to every one of
+    them; a partition with a large share of the rows is spread over several tasks.
+    """
+    rows = df.hint("rebalance", *partition_by) if partition_by else df
+    rows.write.mode(mode).format(fmt).partitionBy(*partition_by).save(path)
     return df.sparkSession.read.format(fmt).load(path)
 
 

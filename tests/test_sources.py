@@ -61,6 +61,12 @@ def test_date_filter_prunes_partitions(spark, log, tmp_path):
     assert kept.count() == 3
 
 
+def test_partitioned_stage_has_few_files(spark, tmp_path):
+    rows = spark.range(0, 800, 1, 8).withColumn("day", F.concat(F.lit("d"), F.col("id") % 4))
+    writers.materialize(rows, str(tmp_path / "s"), partition_by=["day"])
+    assert len(list((tmp_path / "s").glob("day=*/part-*"))) == 4
+
+
 def test_timestamp_filter_is_pushed(spark, log, tmp_path):
     path = str(tmp_path / "ts")
     writers.materialize(log.select("id", "ts"), path)
