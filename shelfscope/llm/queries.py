@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import exact_dedup, packing, token_counts
+from shelfscope.llm import exact_dedup, near_dedup, packing, substring_dedup, token_counts
 from shelfscope.llm.common import begin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,28 @@ def op3(table):
 def op7(table):
     packed = packing.pack(table("documents"), public_tokenizers.path("word_bpe_49k.json"), separator=2)
     return packed.withColumnRenamed("__id", "doc_id")
+
+
+@bind("op6_near_dedup")
+def op6(table):
+    return near_dedup.near_duplicates(table("documents")).withColumnRenamed("__id", "doc_id")
+
+
+@bind(
+    "op8_substring_dedup",
+    r"""
+    WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    starts AS (SELECT doc_id, unnest(range(0, len(ws) - 34)) AS s, ws FROM split WHERE len(ws) >= 35),
+    windows AS (SELECT doc_id, s, array_to_string(ws[s + 1 : s + 35], ' ') AS w FROM starts),
+    hit AS (SELECT doc_id, s FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)),
+    covered AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM hit),
+    placed AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS p FROM split),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+             FROM placed ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id)
+    SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM split LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op8(table):
+    cleaned = substring_dedup.remove_repeats(table("documents"), window=35)
+    return cleaned.withColumnsRenamed({"__id": "doc_id", "kept": "kept_sha256"})
