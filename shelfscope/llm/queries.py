@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import exact_dedup, near_dedup, packing, substring_dedup, token_counts
+from shelfscope.llm import decontamination, exact_dedup, near_dedup, packing, substring_dedup, token_counts
 from shelfscope.llm.common import begin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,30 @@ def op7(table):
     return packed.withColumnRenamed("__id", "doc_id")
 
 
+@bind(
+    "op4_decontamination",
+    r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+    iw AS (SELECT item_id, least(len(ws), 13) AS m, unnest(range(0, greatest(len(ws) - 12, 1))) AS s, ws FROM i WHERE len(ws) > 0),
+    windows AS (SELECT DISTINCT item_id, m, array_to_string(ws[s + 1 : s + m], ' ') AS t FROM iw),
+    dw AS (SELECT doc_id, m, unnest(range(0, len(ws) - m + 1)) AS s, ws FROM w, (SELECT DISTINCT m FROM windows) WHERE len(ws) >= m),
+    hit AS (SELECT doc_id, s, d.m, item_id FROM (SELECT doc_id, m, s, array_to_string(ws[s + 1 : s + m], ' ') AS t FROM dw) d
+            JOIN windows ON d.m = windows.m AND d.t = windows.t),
+    covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + m)) AS p FROM hit) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS l
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+    SELECT doc_id, len(ws) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256,
+           coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(ws) AS contaminated
+    FROM w LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
+    """,
+)
+def op4(table):
+    return decontamination.contamination(table("documents"), table("benchmark")).withColumnRenamed("__id", "doc_id")
+
+
 @bind("op6_near_dedup")
 def op6(table):
     return near_dedup.near_duplicates(table("documents")).withColumnRenamed("__id", "doc_id")
