@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import decontamination, exact_dedup, near_dedup, packing, substring_dedup, token_counts
+from shelfscope.llm import decontamination, exact_dedup, language_id, license_scan, near_dedup, packing, substring_dedup, token_counts
 from shelfscope.llm.common import begin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,14 @@ def op6(table):
 def op8(table):
     cleaned = substring_dedup.remove_repeats(table("documents"), window=35)
     return cleaned.withColumnsRenamed({"__id": "doc_id", "kept": "kept_sha256"})
+
+
+@bind("op9_language_id")
+def op9(table):
+    docs = table("documents")
+    return language_id.identify(docs, declared=docs["lang"], host=docs["source"]).withColumnRenamed("__id", "doc_id")
+
+
+@bind("op10_license_scan")
+def op10(table):
+    return license_scan.license_labels(table("documents")).withColumnRenamed("__id", "doc_id")
