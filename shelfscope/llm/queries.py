@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import decontamination, exact_dedup, language_id, license_scan, near_dedup, packing, substring_dedup, token_counts
+from shelfscope.llm import decontamination, exact_dedup, html_extract, language_id, license_scan, near_dedup, packing, substring_dedup, token_counts
 from shelfscope.llm.common import begin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,11 @@ def op1(table):
     return found.select(F.col("__id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+@bind("op2_html_extraction")
+def op2(table):
+    return html_extract.main_text(table("pages")).withColumnRenamed("__id", "page_id")
+
+
 @bind("op3_token_counts")
 def op3(table):
     counted = token_counts.token_counts(table("documents"), public_tokenizers.path("piece_bpe_32k.model"))
