@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import decontamination, exact_dedup, html_extract, language_id, license_scan, near_dedup, packing, substring_dedup, token_counts
+from shelfscope.llm import chat_format, decontamination, exact_dedup, html_extract, language_id, license_scan, near_dedup, packing, substring_dedup, token_counts
 from shelfscope.llm.common import begin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,39 @@ def op4(table):
     return decontamination.contamination(table("documents"), table("benchmark")).withColumnRenamed("__id", "doc_id")
 
 
+@bind(
+    "op5_chat_format",
+    r"""
+    WITH RECURSIVE raw AS (SELECT row_number() OVER () AS m, conv_id, turn, coalesce(trim(role), 'unknown') AS role,
+                        string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM conversations),
+    lines AS (SELECT m, conv_id, turn, role, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM raw),
+    marked AS (SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)*)', 1), '[^>]', '', 'g')) AS level,
+                      regexp_replace(line, '^[ \t]*((?:>[ \t]?)*)', '') AS body FROM lines),
+    ahead AS (SELECT *, regexp_matches(line, '^.*\bwrote:[ \t]*$')
+                        AND coalesce(lead(level) OVER (PARTITION BY m ORDER BY i), 0) > level AS says FROM marked),
+    kept AS (SELECT m, conv_id, turn, role, i, level, body FROM ahead WHERE NOT says),
+    passages AS (SELECT DISTINCT conv_id, turn, level, whole, trim(regexp_replace(lower(body), '[ \t\n\r\f\x{00a0}]+', ' ', 'g')) AS p FROM (
+        SELECT conv_id, turn, level, 0 AS whole, body FROM kept
+        UNION ALL SELECT conv_id, turn, level, 1, string_agg(body, chr(10) ORDER BY i) FROM kept GROUP BY m, conv_id, turn, level)),
+    replies AS (SELECT conv_id, turn, arg_max(source, ROW(-level, whole, source)) AS parent_turn FROM (
+        SELECT q.conv_id, q.turn, q.level, q.whole, o.turn AS source FROM passages q JOIN passages o
+        ON q.conv_id = o.conv_id AND q.p = o.p AND o.level = 0 AND o.turn < q.turn WHERE q.level > 0 AND q.p <> '') GROUP BY conv_id, turn),
+    up AS (SELECT conv_id, turn, parent_turn AS thread_turn, 1 AS depth FROM replies
+           UNION ALL SELECT up.conv_id, up.turn, r.parent_turn, depth + 1 FROM up JOIN replies r ON r.conv_id = up.conv_id AND r.turn = up.thread_turn),
+    top AS (SELECT conv_id, turn, min(thread_turn) AS thread_turn, max(depth) AS depth FROM up GROUP BY ALL),
+    content AS (SELECT m, conv_id, turn, role, count(*) FILTER (level > 0) AS n_quoted, regexp_replace(trim(regexp_replace(
+        coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0), ''), '\n{3,}', chr(10) || chr(10), 'g')), '^\s+|\s+$', '', 'g') AS content
+        FROM kept GROUP BY ALL),
+    placed AS (SELECT c.conv_id, c.turn, c.role, r.parent_turn, coalesce(t.thread_turn, c.turn) AS thread_turn, coalesce(t.depth, 0) AS depth,
+                      c.n_quoted, c.content FROM content c LEFT JOIN replies r USING (conv_id, turn) LEFT JOIN top t USING (conv_id, turn))
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY thread_turn NULLS FIRST, turn NULLS FIRST, role, content, n_quoted) AS position,
+           '<|' || role || '|>' || chr(10) || content || chr(10) || '<|end|>' AS formatted FROM placed
+    """,
+)
+def op5(table):
+    return chat_format.format_chats(table("conversations"))
+
+
 @bind("op6_near_dedup")
 def op6(table):
     return near_dedup.near_duplicates(table("documents")).withColumnRenamed("__id", "doc_id")
