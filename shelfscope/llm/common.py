@@ -44,6 +44,15 @@ def hinted(small: DataFrame, row_bytes: int, rows: int | None = None) -> DataFra
     return F.broadcast(small) if rows * row_bytes <= BROADCAST_BYTES else small
 
 
+def without(docs: DataFrame, id_column: str, lost: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is not in the one column of ``lost``, all columns unchanged; rows without an id stay."""
+    name = "__lost"
+    while name in docs.columns:
+        name += "_"
+    gone = stage(lost.toDF(name).distinct(), "lost")
+    return docs.join(hinted(gone, 32), docs[id_column] == gone[name], "left_anti")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often a lambda inside ``body`` refers to it."""
     return F.transform(F.array(value), body)[0]

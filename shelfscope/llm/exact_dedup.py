@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import hinted, stage, texts
+from shelfscope.llm.common import stage, texts, without
 from shelfscope.llm.ragged import BLOCK, mix, slices, text_bytes
 
 WINDOW = 32
@@ -99,7 +99,8 @@ def _variants(docs: DataFrame, clashes: DataFrame, hash_bits: int) -> DataFrame:
     numbered = contents.withColumn("variant", F.row_number().over(order))
     named = chunks.join(numbered, ["chunk_hash", "chunk"], "left")
     return (
-        named.groupBy("__id")
+        named.dropDuplicates(["__id", "seq", "chunk_hash", "chunk"])
+        .groupBy("__id")
         .agg(F.max("variant").alias("any"), F.array_sort(F.collect_list(F.struct("seq", F.coalesce("variant", F.lit(0)).alias("v")))).alias("l"))
         .filter(F.col("any").isNotNull())
         .select("__id", F.transform("l", lambda x: x["v"]).alias("variants"))
@@ -133,5 +134,5 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
 def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows of ``docs`` with one document for each text, all columns unchanged."""
-    lost = stage(exact_duplicates(docs, id_column, text_column).filter(~F.col("kept")).select(F.col("__id").alias("__lost")), "dropped")
-    return docs.join(hinted(lost, 16), docs[id_column] == F.col("__lost"), "left_anti")
+    found = exact_duplicates(docs, id_column, text_column)
+    return without(docs, id_column, found.filter(~F.col("kept")).select("__id"))

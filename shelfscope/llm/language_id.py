@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import hinted, stage
+from shelfscope.llm.common import hinted, stage, without
 from shelfscope.llm.ragged import BLOCK, slices, text_bytes
 
 # Rows of each language that the text model is fitted on, about: chosen by a hash of the text, the same at any order.
@@ -172,5 +172,4 @@ def identify(
 def drop_rejected(docs: DataFrame, declared: Column, host: Column, suffix: Column | None = None, id_column: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose language is accepted, all columns unchanged; rows without an id stay."""
     found = identify(docs, declared, host, suffix, id_column)
-    lost = stage(found.filter(~F.col("accepted")).select(F.col("__id").alias("__lost")).distinct(), "rejected")
-    return docs.join(hinted(lost, 32), docs[id_column] == F.col("__lost"), "left_anti")
+    return without(docs, id_column, found.filter(~F.col("accepted")).select("__id"))

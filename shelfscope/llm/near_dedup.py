@@ -7,8 +7,8 @@ samples are banded, and every link is verified on the full shingle sets.
 
 A bucket of a band is not expanded into pairs. All members are held against its smallest and its largest member; linked
 documents become components; only members that lie in another component than the bucket's smallest are then compared
-with the bucket's other members, in blocks, by their sketches, and what is close enough there is verified too. So families of thousands
-cost a few comparisons a member, and no link between different components of a bucket is lost to a size limit.
+with the bucket's other members, in blocks, by their sketches first and in full where those are close. So families of
+thousands cost a few comparisons a member, and no link between components of a bucket is lost to a size limit.
 """
 
 from __future__ import annotations
@@ -18,17 +18,19 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import hinted, stage, texts
+from shelfscope.llm.common import hinted, stage, texts, without
 from shelfscope.llm.components import components
 from shelfscope.llm.ragged import alphanumeric, as_signed, mix, rows_of, runs, slices, text_bytes, valid_starts, words
 
-BLOCK_MEMBERS = 1024
+# Members of a block, and the share of equal samples from which two members are compared in full: a pair at the
+# similarity asked for falls below it about once in ten thousand.
+BLOCK_MEMBERS = 512
+SKETCH_SHARE = 0.6
 _VARIATES = 1 << 16
 
 
@@ -53,6 +55,8 @@ def shingles(part: pa.RecordBatch, settings: Settings, column: str = "__text"):
 
     A text with fewer words than a shingle has one shingle, all its words.
     """
+    if part.num_rows >= 1 << 12:
+        raise ValueError("a part must have less than 4096 rows")
     found = words(*text_bytes(part.column(column)), alphanumeric())
     k, lengths = settings.words, np.diff(found.offsets)
     hashes = runs(found.hash, k)
@@ -212,29 +216,47 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _cross_pairs(least_equal: int):
-    """Pairs in a block whose members lie in different components and whose sketches agree in enough places."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, comp, probe = group["rep"].to_numpy(), group["component"].to_numpy(), group["probe"].to_numpy()
-        sketch = np.stack([np.frombuffer(s, np.uint8) for s in group["sketch"]])
-        a, b = [], []
-        for i in np.flatnonzero(probe):
-            rest = ~probe | (ids > ids[i])
-            hit = np.flatnonzero(rest & (comp != comp[i]) & ((sketch == sketch[i]).sum(1) >= least_equal))
-            a += [ids[i]] * len(hit)
-            b += ids[hit].tolist()
-        return pd.DataFrame({"a": np.array(a, ids.dtype), "b": np.array(b, ids.dtype)})
+def _cross_links(idf: np.ndarray, settings: Settings):
+    """Links of a block between members of different components: close by sketch, then verified on whole texts."""
+    least = int(SKETCH_SHARE * settings.bands * settings.rows)
+
+    def run(block: pa.Table) -> pa.Table:
+        ids, comp = np.array(block.column("rep").to_pylist()), np.array(block.column("component").to_pylist())
+        probe = np.array(block.column("probe").to_pylist(), bool)
+        sketch = np.ascontiguousarray(np.stack([np.frombuffer(x, np.uint8) for x in block.column("sketch").to_pylist()]).T)
+        first, second, vectors = [], [], None
+        for i in np.flatnonzero(probe).tolist():
+            alike = np.add.reduce((sketch == sketch[:, i : i + 1]).view(np.uint8), axis=0, dtype=np.uint8)
+            hits = np.flatnonzero((alike >= least) & (comp != comp[i]) & (~probe | (ids > ids[i])))
+            if not len(hits):
+                continue
+            if vectors is None:
+                part = pa.record_batch({"__text": block.column("__text").combine_chunks()})
+                hashes, counts, offsets, _ = shingles(part, settings)
+                number = np.unique(hashes, return_inverse=True)[1]
+                weight = _weights(hashes, counts, idf).astype(np.float64)
+                vectors, total, held = number, _sums(weight, offsets), np.zeros(len(hashes) + 1)
+            own = slice(offsets[i], offsets[i + 1])
+            held[vectors[own]] = weight[own]
+            for j in hits.tolist():
+                other = slice(offsets[j], offsets[j + 1])
+                common = np.minimum(held[vectors[other]], weight[other]).sum()
+                if common >= settings.similarity * (total[i] + total[j] - common) - 1e-9:
+                    first.append(ids[i]), second.append(ids[j])
+            held[vectors[own]] = 0
+        kind = block.schema.field("rep").type
+        return pa.table({"a": pa.array(first, kind), "b": pa.array(second, kind)})
 
     return run
 
 
-def _residual(members: DataFrame, names: DataFrame, settings: Settings, kind: str) -> DataFrame:
-    """Pairs of a bucket across its components, found by sketches in blocks of bounded size.
+def _residual(members: DataFrame, names: DataFrame, vectors: DataFrame, idf: np.ndarray, settings: Settings) -> DataFrame:
+    """Links of a bucket across its components, found in blocks of bounded size.
 
-    Members outside the component of the bucket's smallest member are probes. A block holds up to about a thousand probes
-    and as many others; each probe block meets each block of the bucket.
+    Members outside the component of the bucket's smallest member are probes. A block holds up to about ``BLOCK_MEMBERS``
+    probes and as many others, with their texts; each probe block meets each block of the bucket.
     """
+    kind = members.schema["rep"].dataType.simpleString()
     known = members.join(names, members["rep"] == names["node"], "left").select("band", "value", "rep", "sketch", F.coalesce("component", "rep").alias("component"))
     known = stage(known, "known")
     of_bucket = known.groupBy("band", "value").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min_by("component", "rep").alias("main"), F.count(F.lit(1)).alias("n"))
@@ -256,8 +278,8 @@ def _residual(members: DataFrame, names: DataFrame, settings: Settings, kind: st
     columns = [*keys, "rep", "component", "sketch", "probe"]
     paired = first.drop("mine", "other").withColumnsRenamed({"x": "mine", "y": "other"})
     rows = to_others.select(columns).unionByName(others.select(columns)).unionByName(paired.select(columns))
-    least = int(0.55 * settings.bands * settings.rows)
-    found = rows.groupBy(*keys).applyInPandas(_cross_pairs(least), f"a {kind}, b {kind}")
+    texts_of = vectors.select(F.col("__id").alias("rep"), "__text")
+    found = rows.join(texts_of, "rep").groupBy(*keys).applyInArrow(_cross_links(idf, settings), f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -271,7 +293,6 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_column:
     columns are not read.
     """
     rows = texts(docs, id_column, text_column)
-    kind = rows.schema["__id"].dataType.simpleString()
     frequencies, n = document_frequencies(rows, settings)
     idf = slot_weights(frequencies, n, settings.gain)
     signed = stage(signatures(rows, idf, settings), "signatures")
@@ -289,10 +310,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_column:
     links = stage(verified(stars.filter("a != b").distinct(), vectors, idf, settings), "links")
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     names = components(links)
-    rest = stage(_residual(members.drop("low", "high"), names, settings, kind), "rest")
-    if not rest.isEmpty():
-        more = stage(verified(rest, vectors, idf, settings), "more")
-        links = links.unionByName(more.select("a", "b")).distinct()
+    more = stage(_residual(members.drop("low", "high"), names, vectors, idf, settings), "more")
+    if not more.isEmpty():
+        links = links.unionByName(more).distinct()
         names = components(links)
 
     ends = links.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("n_links"))
@@ -306,5 +326,4 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_column:
 def drop_near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:  # noqa: B008
     """Rows of ``docs`` with one document for each group, all columns unchanged."""
     found = near_duplicates(docs, settings, id_column, text_column)
-    lost = stage(found.filter(~F.col("kept")).select(F.col("__id").alias("__lost")), "dropped")
-    return docs.join(hinted(lost, 32), docs[id_column] == F.col("__lost"), "left_anti")
+    return without(docs, id_column, found.filter(~F.col("kept")).select("__id"))

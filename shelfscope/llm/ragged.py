@@ -172,14 +172,15 @@ def rows_of(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
-    """Consecutive parts of a batch with at most ``most`` bytes of text each; a longer text is a part of its own."""
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20, rows: int = 2000):
+    """Consecutive parts of a batch with at most ``most`` bytes of text and ``rows`` rows each; a longer text is a part of its own."""
     array = batch.column(batch.schema.get_field_index(column))
     _, offsets = text_bytes(array)
     at = 0
     while at < len(array):
         stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
-        yield batch.slice(at, min(stop, len(array)) - at)
+        stop = min(stop, at + rows, len(array))
+        yield batch.slice(at, stop - at)
         at = stop
 
 
