@@ -8,11 +8,12 @@ with a shared stretch. Each hit is then extended: the windows around it are comp
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import hinted, let, stage, texts
+from shelfscope.llm.common import hinted, let, stage, texts, without
 
 WINDOW = 13
 GRAM = 6
@@ -67,10 +68,21 @@ def benchmark_windows(benchmark: DataFrame, window: int, id_column: str, text_co
     return each.select(F.col("__id").alias("item"), F.array_join("w", " ").alias("words"), F.size("w").alias("m")).distinct()
 
 
-def _windows_at(near: Column, m: int, gram: int) -> Column:
-    """(start, m) of all windows of ``m`` words around runs of ``gram`` words that start at ``near``."""
-    window = lambda s: F.struct(s.alias("start"), F.lit(m).alias("m"))
-    return F.flatten(F.transform(near, lambda p: F.transform(F.sequence(p - (m - gram), p), window)))
+def _windows_around(near: Column, lengths: list[int], gram: int, n_words: Column) -> Column:
+    """(start, m) of the windows inside a text around runs of ``gram`` words that start at ``near``, each once.
+
+    A window is a number until the repeated ones are gone: Spark finds distinct numbers by hash, distinct structs by
+    comparing all with all.
+    """
+    wide = max(lengths) + 1
+
+    def of_length(m: int) -> Column:
+        return F.flatten(F.transform(near, lambda p: F.transform(F.sequence(F.greatest(p - (m - gram), F.lit(0)), p), lambda s: s * wide + m)))
+
+    start, m = lambda x: F.floor(x / wide).cast("int"), lambda x: (x % wide).cast("int")
+    each = F.array_distinct(F.concat(*[of_length(n) for n in lengths]))
+    inside = F.filter(each, lambda x: start(x) + m(x) <= n_words)
+    return F.transform(inside, lambda x: F.struct(start(x).alias("start"), m(x).alias("m")))
 
 
 def _covered(places: Column) -> Column:
@@ -84,6 +96,35 @@ def _covered(places: Column) -> Column:
     return F.aggregate(F.array_sort(places), zero, add)["n"]
 
 
+def _prints(rows: DataFrame, gram: int, span: int) -> DataFrame:
+    """Number of words and fingerprint of each document.
+
+    Folding all letters finds all pairs that are equal with A-Z folded, and more; it only serves to find candidates.
+    """
+    found = let(split_words(F.lower("__text")), lambda ws: F.struct(F.size(ws).alias("n_words"), winnowed(ws, gram, span).alias("prints")))
+    return rows.select("__id", "text_hash", found.alias("f")).select("__id", "text_hash", F.col("f.n_words").cast("long").alias("n_words"), F.col("f.prints").alias("prints"))
+
+
+def _occurring(rows: DataFrame, prints: DataFrame, windows: DataFrame, lengths: list[int], gram: int, span: int) -> DataFrame:
+    """(__id, text_hash, start, m, words) of every occurrence of a benchmark window in a document."""
+    kept = windows.select(F.explode(winnowed(F.split(F.lower("words"), " "), gram, span)).alias("print")).distinct()
+    kept = stage(kept, "benchmark")
+    candidates = prints.select("__id", "text_hash", F.explode("prints").alias("print")).join(hinted(kept, 32), "print")
+    candidates = candidates.groupBy("__id", "text_hash").agg(F.collect_set("print").alias("hits"))
+    candidates = stage(candidates.select(F.col("__id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "hits"), "candidates")
+
+    same = F.col("__id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
+    hit = rows.join(hinted(candidates, 400), same).select("__id", "text_hash", "__text", "hits")
+    grams = gram_hashes(split_words(F.lower("__text")), gram)
+    near = let(grams, lambda g: F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda p: F.array_contains(F.col("hits"), F.get(g, p))))
+    hit = hit.select("__id", "text_hash", near.alias("near"), split_words(ascii_lower(F.col("__text"))).alias("ws"))
+    places = hit.select("__id", "text_hash", "ws", _windows_around(F.col("near"), lengths, gram, F.size("ws")).alias("places"))
+    text = lambda ws: lambda x: F.struct(x["start"].alias("start"), x["m"].alias("m"), F.array_join(F.slice(ws, x["start"] + 1, x["m"]), " ").alias("words"))
+    tried = places.select("__id", "text_hash", F.explode(let(F.col("ws"), lambda ws: F.transform("places", text(ws)))).alias("x")).select("__id", "text_hash", "x.*")
+    distinct = stage(windows.select("words").distinct(), "texts")
+    return tried.join(hinted(distinct, 160), "words").select("__id", "text_hash", "start", "m", "words").distinct()
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text",
     item_column: str = "item_id", item_text_column: str = "text",
@@ -93,35 +134,20 @@ def contamination(
     Words are lower-cased for A-Z only. A document word is hit if an occurrence of a benchmark window covers it. Null and
     empty texts have no words and are clean; items without words are ignored; repeated items count once; repeated rows of
     ``docs`` are returned each with the same figures. Empty tables give no rows, or clean ones. Other columns are not read.
-    The guaranteed span is the window, or the shortest item if that is shorter.
+    The guaranteed span is the window; items shorter than a window are found by fingerprints of a shorter span.
     """
     windows = stage(benchmark_windows(benchmark, window, item_column, item_text_column), "windows")
     lengths = sorted(r["m"] for r in windows.select("m").distinct().collect())  # at most ``window`` numbers
-    span = lengths[0] if lengths else window
-    gram = min(gram, span)
     rows = texts(docs, id_column, text_column).select("__id", F.xxhash64("__text").alias("text_hash"), "__text")
-
-    # Folding all letters finds all pairs that are equal with A-Z folded, and more; it is only used to find candidates.
-    found = let(split_words(F.lower("__text")), lambda ws: F.struct(F.size(ws).alias("n_words"), winnowed(ws, gram, span).alias("prints")))
-    base = stage(rows.select("__id", "text_hash", found.alias("f")).select("__id", "text_hash", F.col("f.n_words").cast("long").alias("n_words"), F.col("f.prints").alias("prints")), "prints")
-    kept = windows.select(F.explode(winnowed(F.split(F.lower("words"), " "), gram, span)).alias("print")).distinct()
-    kept = stage(kept, "benchmark")
-    candidates = base.select("__id", "text_hash", F.explode("prints").alias("print")).join(hinted(kept, 32), "print")
-    candidates = candidates.groupBy("__id", "text_hash").agg(F.collect_set("print").alias("hits"))
-    candidates = stage(candidates.select(F.col("__id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "hits"), "candidates")
-
-    same = F.col("__id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
-    hit = rows.join(hinted(candidates, 400), same).select("__id", "text_hash", "__text", "hits")
-    near = let(
-        gram_hashes(split_words(F.lower("__text")), gram),
-        lambda g: F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda p: F.array_contains(F.col("hits"), F.get(g, p))),
-    )
-    hit = hit.select("__id", "text_hash", near.alias("near"), split_words(ascii_lower(F.col("__text"))).alias("ws"))
-    around = [_windows_at(F.col("near"), m, gram) for m in lengths]
-    inside = F.filter(F.array_distinct(F.concat(*around)), lambda x: (x["start"] >= 0) & (x["start"] + x["m"] <= F.size("ws"))) if lengths else F.array().cast("array<struct<start:int,m:int>>")
-    tried = hit.select("__id", "text_hash", F.explode(F.transform(inside, lambda x: F.struct(x["start"].alias("start"), x["m"].alias("m"), F.array_join(F.slice("ws", x["start"] + 1, x["m"]), " ").alias("words")))).alias("x")).select("__id", "text_hash", "x.*")
-    distinct = stage(windows.select("words").distinct(), "texts")
-    occurring = stage(tried.join(hinted(distinct, 160), "words").select("__id", "text_hash", "start", "m", "words").distinct(), "occurring")
+    base = stage(_prints(rows, gram, window), "prints")
+    tried = [_occurring(rows, base, windows.filter(F.col("m") == window), [window], gram, window)] if window in lengths else []
+    short = [m for m in lengths if m < window]
+    if short:
+        # Items shorter than a window have a guaranteed span of their own, as long as the shortest of them.
+        least = min(gram, short[0])
+        tried.append(_occurring(rows, _prints(rows, least, short[0]), windows.filter(F.col("m") < window), short, least, short[0]))
+    none = rows.select("__id", "text_hash", F.lit(0).alias("start"), F.lit(0).alias("m"), F.lit("").alias("words")).limit(0)
+    occurring = stage(reduce(DataFrame.unionByName, tried, none), "occurring")
 
     hits = occurring.groupBy("__id", "text_hash").agg(_covered(F.collect_list(F.struct("start", "m"))).cast("long").alias("n_hit"))
     items = occurring.select("__id", "text_hash", "words").distinct().join(hinted(windows, 160), "words").select("__id", "text_hash", "item").distinct()
@@ -140,5 +166,4 @@ def contamination(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows of ``docs`` that are not contaminated, all columns unchanged; rows without an id stay."""
     found = contamination(docs, benchmark, id_column=id_column, text_column=text_column)
-    lost = stage(found.filter("contaminated").select(F.col("__id").alias("__lost")).distinct(), "dropped")
-    return docs.join(hinted(lost, 32), docs[id_column] == F.col("__lost"), "left_anti")
+    return without(docs, id_column, found.filter("contaminated").select("__id"))
