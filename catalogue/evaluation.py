@@ -19,13 +19,30 @@ def _text_lists(lists, column):
     return F.array_join(F.transform(column, lambda x: x.cast("string")), ",").alias(lists)
 
 
-@bind(
+# Each query on lists is bound twice: with whole lists, and cut to short segments that the test tables do fill.
+LONG, SHORT = 10_000, 3
+
+
+def _segment(rank, rows):
+    return f"CAST(floor(({rank} - 1) / {rows}) AS BIGINT) AS segment"
+
+
+def _bind_both(name, sql):
+    def register(build):
+        for suffix, rows in (("", LONG), ("_segments", SHORT)):
+            bind(name + suffix, sql(rows))(lambda t, rows=rows: build(t, rows))
+        return build
+
+    return register
+
+
+@_bind_both(
     "collect_ranked_list",
-    f"""WITH {RANKED} SELECT rid, CAST(0 AS BIGINT) AS segment, string_agg(CAST(sku AS VARCHAR), ',' ORDER BY champ) AS skus,
-    string_agg(CAST(click AS VARCHAR), ',' ORDER BY champ) AS clicks FROM ranked GROUP BY rid""",
+    lambda rows: f"""WITH {RANKED} SELECT rid, {_segment("champ", rows)}, string_agg(CAST(sku AS VARCHAR), ',' ORDER BY champ) AS skus,
+    string_agg(CAST(click AS VARCHAR), ',' ORDER BY champ) AS clicks FROM ranked GROUP BY 1, 2""",
 )
-def collect_ranked_list(t):
-    lists = E.ranked_lists(t.ranked, "rid", "champ", ["sku", "click"])
+def collect_ranked_list(t, rows):
+    lists = E.ranked_lists(t.ranked, "rid", "champ", ["sku", "click"], rows)
     return lists.select("rid", "segment", _text_lists("skus", c("sku")), _text_lists("clicks", c("click")))
 
 
@@ -34,14 +51,17 @@ def _retrieval(t):
     return E.ranked_lists(t.ranked, "rid", "champ", ["score", "sku"])
 
 
-@bind(
+@_bind_both(
     "array_zip_sort",
-    f"""WITH {RANKED} SELECT rid, string_agg(CAST(sku AS VARCHAR), ',' ORDER BY score DESC, sku DESC) AS skus,
-    max(score) AS best_score FROM ranked GROUP BY rid""",
+    lambda rows: f"""WITH {RANKED} SELECT rid, {_segment("chal", rows)}, max(score) AS best_score,
+    string_agg(CAST(sku AS VARCHAR), ',' ORDER BY score DESC, sku DESC) AS skus FROM ranked GROUP BY 1, 2""",
 )
-def array_zip_sort(t):
-    pairs = _retrieval(t).select("rid", A.sorted_pairs(c("score"), c("sku")).alias("pairs"))
-    return pairs.select("rid", _text_lists("skus", c("pairs.item")), F.get("pairs.score", F.lit(0)).alias("best_score"))
+def array_zip_sort(t, rows):
+    # Items are ranked before they are cut into segments, so segments follow each other in the order of the whole list.
+    lists = E.ranked_lists(t.ranked, "rid", "chal", ["score", "sku"], rows)
+    pairs = lists.select("rid", "segment", A.sorted_pairs(c("score"), c("sku")).alias("pairs"))
+    best = F.get("pairs.score", F.lit(0)).alias("best_score")
+    return pairs.select("rid", "segment", _text_lists("skus", c("pairs.item")), best)
 
 
 @bind("array_explode_zip", f"WITH {RANKED} SELECT rid, sku, score FROM ranked")
@@ -163,19 +183,25 @@ def _lists_sql(prefix, rank, columns):
 _LISTED = ["sku", "click", "p_brand"]
 
 
-@bind(
+@_bind_both(
     "pler_enriched",
-    f"""WITH {_PLER}, lists AS (SELECT rid, string_agg(CAST(chal AS VARCHAR), ',' ORDER BY champ) AS corresp_chal_rank,
-      {_lists_sql("champ", "champ", _LISTED)}, {_lists_sql("chal", "chal", _LISTED)}
-      FROM ranked JOIN part ON sku = p_partkey GROUP BY rid)
-    SELECT rid, result_type, item, p_name, p_brand, p_type, corresp_chal_rank, champ_sku, champ_click, champ_p_brand,
-      chal_sku, chal_click, chal_p_brand FROM pler LEFT JOIN part ON item = p_partkey JOIN lists USING (rid)""",
+    lambda rows: f"""WITH {_PLER}, listed AS (SELECT * FROM ranked LEFT JOIN part ON sku = p_partkey),
+    ours AS (SELECT rid, {_segment("champ", rows)}, string_agg(CAST(chal AS VARCHAR), ',' ORDER BY champ) AS corresp_chal_rank,
+      {_lists_sql("champ", "champ", _LISTED)} FROM listed GROUP BY 1, 2),
+    theirs AS (SELECT rid, {_segment("chal", rows)}, {_lists_sql("chal", "chal", _LISTED)} FROM listed GROUP BY 1, 2),
+    lists AS (SELECT * FROM ours FULL JOIN theirs USING (rid, segment)),
+    places AS (SELECT rid, sku AS item, {_segment("champ", rows)} FROM ranked)
+    SELECT rid, segment, result_type, item, p_name, p_brand, p_type, corresp_chal_rank, champ_sku, champ_click, champ_p_brand,
+      chal_sku, chal_click, chal_p_brand FROM pler LEFT JOIN part ON item = p_partkey JOIN places USING (rid, item)
+      JOIN lists USING (rid, segment)""",
 )
-def pler_enriched(t):
+def pler_enriched(t, rows):
     items = t.ranked.join(t.part, c("sku") == c("p_partkey"), "left")
-    lists = E.evaluation_lists(items, "rid", "champ", "chal", _LISTED)
+    lists = E.evaluation_lists(items, "rid", "champ", "chal", _LISTED, rows)
     names = ["corresp_chal_rank", *[f"{side}_{n}" for side in ("champ", "chal") for n in _LISTED]]
-    return _enriched(t).join(lists.select("rid", *[_text_lists(n, c(n)) for n in names]), "rid")
+    places = E.item_segments(t.ranked, "rid", "sku", ["champ", "chal"], rows).withColumnRenamed("sku", "item")
+    shown = lists.select("rid", "segment", *[_text_lists(n, c(n)) for n in names])
+    return _enriched(t).join(places, ["rid", "item"]).join(shown, ["rid", "segment"])
 
 
 # --- overlap and rank correlation
@@ -228,6 +254,13 @@ _TAU = f"""WITH RECURSIVE {RANKED}, inv(n, counts) AS (
   FROM sized s JOIN inv ON s.n = inv.n"""
 
 
+@bind("kendall_tau_blocks", _TAU)
+def kendall_tau_blocks(t):
+    """Lists cut into blocks of four, so that the doubling rounds run on the test tables."""
+    scores = E.kendall_tau(t.ranked, "rid", "champ", "chal", block=4)
+    return scores.withColumns({"tau": F.round("tau", 9), "p_value": F.round("p_value", 9)})
+
+
 @bind("kendall_tau", _TAU)
 def kendall_tau(t):
     scores = E.kendall_tau(t.ranked, "rid", "champ", "chal", tie_free=True)

@@ -106,9 +106,19 @@ def sample_fixed_n(t):
     return O.fixed_sample(t.listing, ["rid", "sku"], 800, 2024).select("rid", "sku", "score")
 
 
-@bind("sample_fraction")
+_UNIFORM = """CAST('0x' || substr(md5('1|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)), 1, 12)
+    AS BIGINT) / CAST(281474976710656 AS DOUBLE)"""
+_TIMES = " + ".join(f"CASE WHEN u >= CAST({step!r} AS DOUBLE) THEN 1 ELSE 0 END" for step in O.poisson_steps(0.5))
+
+
+@bind(
+    "sample_fraction",
+    f"""SELECT l_orderkey, l_partkey, l_quantity FROM (SELECT *, unnest(range(0, {_TIMES})) FROM
+    (SELECT l_orderkey, l_partkey, l_quantity, {_UNIFORM} AS u FROM lineitem))""",
+)
 def sample_fraction(t):
-    return O.fraction_sample(t.lineitem.select("l_orderkey", "l_partkey", "l_quantity"), 0.5, 1)
+    drawn = O.fraction_sample(t.lineitem, ["l_orderkey", "l_linenumber"], 0.5, 1)
+    return drawn.select("l_orderkey", "l_partkey", "l_quantity")
 
 
 # --- displacement

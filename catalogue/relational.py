@@ -65,8 +65,8 @@ def workspace(t):
         },
         dimensions={
             "campaign": Dimension(t.customer, "c_custkey", "c_custkey"),
-            "household": Dimension(t.household, "ehhn", "ehhn"),
-            "user": Dimension(t.customer, "c_custkey", "ehhn"),
+            "household": Dimension(t.household, "household_id", "household_id"),
+            "user": Dimension(t.customer, "c_custkey", "household_id"),
             "product": Dimension(t.part, "p_partkey", "l_partkey"),
             "order": Dimension(t.orders, "o_orderkey", "l_orderkey"),
             "buyer": Dimension(t.customer, "c_custkey", "o_custkey"),
@@ -76,12 +76,12 @@ def workspace(t):
 
 @bind(
     "log_date_range",
-    f"""WITH {EVENT_LOG} SELECT event_id, dt, ehhn, clearing_price FROM event_log
+    f"""WITH {EVENT_LOG} SELECT event_id, dt, household_id, clearing_price FROM event_log
     WHERE event_type = 'click' AND dt BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""",
 )
 def log_date_range(t):
     clicks = workspace(t).log("events", "2024-01-05", "2024-01-20", "CLICK")
-    return clicks.select("event_id", "dt", "ehhn", "clearing_price")
+    return clicks.select("event_id", "dt", "household_id", "clearing_price")
 
 
 @bind("dimension_lookup", "SELECT * FROM customer")
@@ -116,15 +116,35 @@ def transactions_with_rules(t):
     return rows.select("o_orderkey", "p_type", "l_quantity", "l_extendedprice")
 
 
+@bind(
+    "log_date_range_int",
+    """SELECT o_orderkey, CAST(strftime(CAST(o_orderdate AS DATE), '%Y%m%d') AS INTEGER) AS trn_dt FROM orders
+    WHERE o_orderdate >= DATE '1996-03-01' AND o_orderdate < DATE '1996-06-01'""",
+)
+def log_date_range_int(t):
+    dated = t.orders.select("o_orderkey", F.date_format("o_orderdate", "yyyyMMdd").cast("int").alias("trn_dt"))
+    return Workspace(logs={"transactions": Log(dated, "trn_dt")}).transactions("1996-03-01", "1996-05-31")
+
+
+@bind(
+    "log_date_range_text",
+    f"""WITH {EVENT_LOG} SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM event_log
+    WHERE dt BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""",
+)
+def log_date_range_text(t):
+    texts = t.event_log.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return Workspace(logs={"events": Log(texts, "at")}).log("events", "2024-01-05", "2024-01-20")
+
+
 @bind(
     "clickstream_records",
-    f"""WITH {EVENT_LOG}, {HOUSEHOLD} SELECT event_id, event_type, guid_hash, c_mktsegment FROM event_log e
-    LEFT JOIN household h ON e.ehhn = h.ehhn LEFT JOIN customer ON e.ehhn = c_custkey
+    f"""WITH {EVENT_LOG}, {HOUSEHOLD} SELECT event_id, event_type, hashed_id, c_mktsegment FROM event_log e
+    LEFT JOIN household h ON e.household_id = h.household_id LEFT JOIN customer ON e.household_id = c_custkey
     WHERE dt BETWEEN DATE '2024-01-10' AND DATE '2024-01-24'""",
 )
 def clickstream_records(t):
     rows = workspace(t).clickstream("2024-01-10", "2024-01-24", ["household", "user"], log="events")
-    return rows.select("event_id", "event_type", "guid_hash", "c_mktsegment")
+    return rows.select("event_id", "event_type", "hashed_id", "c_mktsegment")
 
 
 # --- projections
@@ -145,11 +165,10 @@ def project_drop_prefix(t):
 @bind(
     "unit_price_conversion",
     f"""WITH {EVENT_LOG} SELECT event_id, clearing_price / 1000000.0::DOUBLE AS dollars,
-    clearing_price - places * 1000000 AS micros_left FROM event_log WHERE event_type IN ('click', 'view')""",
+    clearing_price - places * 1000000 AS micros_left FROM event_log""",
 )
 def unit_price_conversion(t):
-    rows = t.event_log.filter(c("event_type").isin("click", "view"))
-    return rows.select(
+    return t.event_log.select(
         "event_id",
         C.dollars(c("clearing_price")).alias("dollars"),
         (c("clearing_price") - c("places") * 1_000_000).alias("micros_left"),
@@ -418,8 +437,13 @@ def global_sums(t):
     )
 
 
-@bind("distinct_rows", "SELECT DISTINCT l_partkey, l_suppkey, l_returnflag FROM lineitem")
+@bind("distinct_rows", "SELECT DISTINCT * REPLACE (CAST(l_shipdate AS DATE) AS l_shipdate) FROM lineitem")
 def distinct_rows(t):
+    return t.lineitem.withColumn("l_shipdate", c("l_shipdate").cast("date")).dropDuplicates()
+
+
+@bind("distinct_rows_of_columns", "SELECT DISTINCT l_partkey, l_suppkey, l_returnflag FROM lineitem")
+def distinct_rows_of_columns(t):
     return t.lineitem.select("l_partkey", "l_suppkey", "l_returnflag").dropDuplicates()
 
 
@@ -498,9 +522,48 @@ def duplicate_impact(t):
     return R.duplicate_impact(t.lineitem, ["l_orderkey", "l_partkey"])
 
 
+def _delivered_twice(t):
+    """A log of which returned lines were delivered a second time, by another delivery."""
+    again = t.lineitem.filter(c("l_returnflag") == "R").withColumn("__delivery", F.lit(2))
+    return t.lineitem.withColumn("__delivery", F.lit(1)).unionByName(again)
+
+
+@bind(
+    "distinct_log_totals",
+    """SELECT count(*) AS n_rows, CAST(count(*) - count(*) FILTER (l_returnflag = 'R') AS BIGINT) AS n_kept_once,
+    CAST(sum(l_linenumber) AS BIGINT) AS n_lines FROM (SELECT DISTINCT * FROM lineitem)""",
+)
+def distinct_log_totals(t):
+    """Technical columns dropped, rows distinct over all others, then totals."""
+    rows = R.project_without_prefix(_delivered_twice(t), "__").dropDuplicates()
+    once = F.count(F.lit(1)) - F.count_if(c("l_returnflag") == "R")
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), once.alias("n_kept_once"), F.sum("l_linenumber").alias("n_lines"))
+
+
+@bind(
+    "duplicate_impact_all_columns",
+    """SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_distinct,
+    CAST(sum(n) - count(*) AS DOUBLE) / CAST(sum(n) AS DOUBLE) * 100 AS duplicate_percent FROM (SELECT count(*) AS n FROM
+    (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_returnflag = 'R') x GROUP BY x)""",
+)
+def duplicate_impact_all_columns(t):
+    return R.duplicate_impact(R.project_without_prefix(_delivered_twice(t), "__"))
+
+
 # --- inventory and drill-downs
 
 
+@bind(
+    "inventory_by_slot",
+    f"""WITH {EVENT_LOG} SELECT event_type, household_id % 7 AS slot, count(*) AS n_requests,
+    CAST(sum(places) AS BIGINT) AS total_places FROM event_log WHERE dt = DATE '2024-01-10' GROUP BY 1, 2""",
+)
+def inventory_by_slot(t):
+    one_day = t.event_log.filter(c("dt") == F.lit("2024-01-10").cast("date")).withColumn("slot", c("household_id") % 7)
+    return inventory_by(one_day, ["event_type", "slot"], "places")
+
+
+
 @bind(
     "inventory_by_day",
     f"""WITH {EVENT_LOG} SELECT dt, event_type, count(*) AS n_requests, CAST(sum(places) AS BIGINT) AS total_places
@@ -517,12 +580,12 @@ def inventory_by_day(t):
     b AS (SELECT count(*) AS n, count(*) FILTER (user_id NOT IN (SELECT user_id FROM migrated)) AS own FROM events
       WHERE event_type = 'view')
     SELECT a.n AS first_platform, own AS second_platform, b.n - own AS migrated_rows,
-    a.n + own + 144384953626 AS all_time FROM a, b""",
+    a.n + own + 1000000000 AS all_time FROM a, b""",
 )
 def cross_platform_totals(t):
     of_type = lambda kind: t.events.filter(c("event_type") == kind)
     migrated = of_type("error").filter(c("value") > 150)
-    return cross_platform_total(of_type("click"), of_type("view"), migrated, "user_id", earlier=144_384_953_626)
+    return cross_platform_total(of_type("click"), of_type("view"), migrated, "user_id", earlier=1_000_000_000)
 
 
 @bind(
@@ -543,15 +606,15 @@ def campaign_filter(t):
 
 @bind(
     "campaign_impressions",
-    f"""WITH {EVENT_LOG} SELECT event_id, ehhn, dt, c_mktsegment FROM event_log
-    JOIN (SELECT c_custkey AS ehhn, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) USING (ehhn)
+    f"""WITH {EVENT_LOG} SELECT event_id, household_id, dt, c_mktsegment FROM event_log
+    JOIN (SELECT c_custkey AS household_id, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) USING (household_id)
     WHERE event_type = 'view' AND dt BETWEEN DATE '2024-01-03' AND DATE '2024-01-28'""",
 )
 def impressions_of_campaigns(t):
     campaigns = drill_down(t.customer, "c_mktsegment", ["BUILDING", "MACHINERY"])
-    campaigns = campaigns.select(c("c_custkey").alias("ehhn"), "c_mktsegment")
-    rows = campaign_impressions(workspace(t), "2024-01-03", "2024-01-28", campaigns, "events", "IMPRESSION", "ehhn")
-    return rows.select("event_id", "ehhn", "dt", "c_mktsegment")
+    campaigns = campaigns.select(c("c_custkey").alias("household_id"), "c_mktsegment")
+    rows = campaign_impressions(workspace(t), "2024-01-03", "2024-01-28", campaigns, "events", "IMPRESSION", "household_id")
+    return rows.select("event_id", "household_id", "dt", "c_mktsegment")
 
 
 @bind(

@@ -20,14 +20,14 @@ c = F.col
 @bind(
     "attribution_backfill",
     f"""WITH {HOUSEHOLD} SELECT lpad(CAST(l_partkey AS VARCHAR), 13, '0') AS upc, l_extendedprice AS loyalty_amount,
-    CAST(l_quantity AS BIGINT) AS units, CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS trn_dt, guid_hash
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN household ON o_custkey = ehhn
+    CAST(l_quantity AS BIGINT) AS units, CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS trn_dt, hashed_id
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN household ON o_custkey = household_id
     WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO')""",
 )
 def attribution_backfill(t):
     joined = t.lineitem.join(t.orders, c("l_orderkey") == c("o_orderkey"))
     transactions = joined.select(
-        c("o_custkey").alias("ehhn"),
+        c("o_custkey").alias("household_id"),
         F.lpad(c("l_partkey").cast("string"), 13, "0").alias("upc"),
         (c("l_extendedprice") * (1 - c("l_discount"))).alias("net_spend"),
         c("l_extendedprice").alias("loyalty_amount"),
@@ -46,7 +46,7 @@ _SENSITIVE = "sensitive AS (SELECT DISTINCT upc, sku, category, brand FROM produ
 _CLICKS = f"""{BILLED}, {PRODUCT}, {SLOT}, {_SENSITIVE},
   clicks AS (SELECT * FROM billed WHERE flag = 'R' AND slot_id IN (SELECT id FROM slot WHERE name LIKE '%PLA%'))"""
 _AT_STORE = f"""{HOUSEHOLD}, {STORE},
-  located AS (SELECT o_orderkey AS rid, state FROM orders JOIN household ON o_custkey = ehhn JOIN store USING (div_store)
+  located AS (SELECT o_orderkey AS rid, state FROM orders JOIN household ON o_custkey = household_id JOIN store USING (div_store)
     WHERE state IN ('NATION_3', 'NATION_7'))"""
 _STATES = ["NATION_3", "NATION_7"]
 
@@ -152,7 +152,7 @@ def targeted_revenue_with_paths(t):
 @bind(
     "spend_by_region",
     f"""WITH {EVENT_LOG}, {HOUSEHOLD}, {STORE}, located AS (SELECT event_type, clearing_price, state FROM event_log
-      JOIN household USING (ehhn) JOIN store USING (div_store) WHERE state IN ('NATION_3', 'NATION_7', 'NATION_12')),
+      JOIN household USING (household_id) JOIN store USING (div_store) WHERE state IN ('NATION_3', 'NATION_7', 'NATION_12')),
     a AS (SELECT state, CAST(sum(clearing_price) AS DOUBLE) / 1000000 AS click_spend FROM located
       WHERE event_type = 'click' GROUP BY 1),
     b AS (SELECT state, CAST(sum(clearing_price) AS DOUBLE) / 1000000 AS impression_spend FROM located
@@ -161,7 +161,7 @@ def targeted_revenue_with_paths(t):
 )
 def spend_by_region(t):
     unit = F.when(c("event_type") == "click", "CPC").when(c("event_type") == "view", "CPM")
-    log = t.event_log.withColumn("unit_type", unit).join(t.household, "ehhn")
+    log = t.event_log.withColumn("unit_type", unit).join(t.household, "household_id")
     stores = E.stores_in(t.store, ["NATION_3", "NATION_7", "NATION_12"])
     return E.spend_by_state(log, log, stores)
 

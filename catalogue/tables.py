@@ -59,8 +59,8 @@ class Tables:
     @cached_property
     def household(self) -> DataFrame:
         return self.customer.select(
-            F.col("c_custkey").alias("ehhn"),
-            F.md5(F.col("c_custkey").cast("string")).alias("guid_hash"),
+            F.col("c_custkey").alias("household_id"),
+            F.md5(F.col("c_custkey").cast("string")).alias("hashed_id"),
             F.concat_ws("-", F.lpad(F.col("c_nationkey").cast("string"), 3, "0"), F.col("c_custkey").cast("string")).alias(
                 "div_store"
             ),
@@ -110,8 +110,8 @@ class Tables:
     @cached_property
     def billed_at_store(self) -> DataFrame:
         """Billed events with the store of the household that placed the order."""
-        orders = self.orders.select(F.col("o_orderkey").alias("rid"), F.col("o_custkey").alias("ehhn"))
-        return self.billed.join(orders, "rid").join(self.household.select("ehhn", "div_store"), "ehhn")
+        orders = self.orders.select(F.col("o_orderkey").alias("rid"), F.col("o_custkey").alias("household_id"))
+        return self.billed.join(orders, "rid").join(self.household.select("household_id", "div_store"), "household_id")
 
     @cached_property
     def event_log(self) -> DataFrame:
@@ -121,7 +121,7 @@ class Tables:
             "ts",
             "event_type",
             F.to_date("ts").alias("dt"),
-            F.col("user_id").alias("ehhn"),
+            F.col("user_id").alias("household_id"),
             F.round(F.col("value") * MICROS_PER_DOLLAR).cast("bigint").alias("clearing_price"),
             F.get_json_object("props", "$.k").cast("int").alias("places"),
         )
@@ -156,7 +156,7 @@ relevant AS (
 displaced AS (SELECT *, relevance_rank - shown_rank AS rank_diff FROM relevant WHERE monetized)"""
 VIEWS = """views AS (SELECT l_orderkey AS rid, l_partkey AS sku FROM lineitem WHERE l_returnflag = 'R')"""
 HOUSEHOLD = """household AS (
-  SELECT c_custkey AS ehhn, md5(CAST(c_custkey AS VARCHAR)) AS guid_hash,
+  SELECT c_custkey AS household_id, md5(CAST(c_custkey AS VARCHAR)) AS hashed_id,
     lpad(CAST(c_nationkey AS VARCHAR), 3, '0') || '-' || CAST(c_custkey AS VARCHAR) AS div_store FROM customer)"""
 STORE = """store AS (
   SELECT lpad(CAST(c_nationkey AS VARCHAR), 3, '0') || '-' || CAST(c_custkey AS VARCHAR) AS div_store, n_name AS state
@@ -173,7 +173,7 @@ BILLED = """billed AS (
     CAST(round(l_extendedprice * 1000000) AS BIGINT) AS clearing_price, [l_partkey, l_suppkey] AS matching_target_values
   FROM lineitem)"""
 EVENT_LOG = """event_log AS (
-  SELECT event_id, ts, event_type, CAST(ts AS DATE) AS dt, user_id AS ehhn,
+  SELECT event_id, ts, event_type, CAST(ts AS DATE) AS dt, user_id AS household_id,
     CAST(round(value * 1000000) AS BIGINT) AS clearing_price,
     CAST(json_extract_string(props, '$.k') AS INTEGER) AS places FROM events)"""
 SEARCH = """search AS (

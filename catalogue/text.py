@@ -80,7 +80,7 @@ def keyword_concept_map(t):
 
 _TYPED = f"""WITH RECURSIVE {_NEAR},
   typed AS (SELECT 'word' || json_extract_string(props, '$.k') AS keyword, count(*) AS n FROM events GROUP BY 1),
-  queue AS (SELECT keyword, row_number() OVER (ORDER BY n DESC, keyword) AS turn FROM typed ORDER BY turn LIMIT 60),
+  queue AS (SELECT keyword, row_number() OVER (ORDER BY n DESC, keyword) AS turn FROM typed),
   lists AS (SELECT turn, q.keyword, list('word' || CAST(match AS VARCHAR) ORDER BY place) FILTER (place <= 5) AS matches
     FROM queue q LEFT JOIN top ON q.keyword = 'word' || CAST(key AS VARCHAR) GROUP BY 1, 2),
   walk(turn, seen, head) AS (
@@ -96,7 +96,7 @@ _TYPED = f"""WITH RECURSIVE {_NEAR},
 def keyword_map(t):
     typed = t.events.select(F.concat(F.lit("Word"), F.get_json_object("props", "$.k")).alias("typed"))
     vectors = t.embeddings.select(F.concat(F.lit("word"), c("vec_id").cast("string")).alias("key"), "embedding")
-    heads = K.keyword_map(typed, "typed", vectors, "key", "embedding", n=60)
+    heads = K.keyword_map(typed, "typed", vectors, "key", "embedding")
     return heads.select("keyword", F.array_join("matches", ",").alias("matches"))
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from math import exp
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,15 +91,17 @@ def _large_groups(df: DataFrame, keys: list[str], hot_rows: int | None) -> tuple
 
 def _accumulate(df: DataFrame, keys: Sequence[str], steps: Sequence[_Step], hot_rows: int | None) -> DataFrame:
     keys = list(keys)
+    if not keys:
+        # Nothing needs to stay together: the whole table is always worked on in slices, as many as a shuffle has tasks.
+        slices = min(MOST_SLICES, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        return reduce(lambda part, step: step.sliced(part, keys, slices), steps, df)
     found = _large_groups(df, keys, hot_rows)
     if found is None:
         return reduce(lambda rows, step: step.plain(rows, keys), steps, df)
     hot_keys, rows, limit = found
     slices = min(MOST_SLICES, max(2, -(-rows // limit)))
-    large = _match_keys(df, hot_keys, keys, "left_semi") if keys else df
+    large = _match_keys(df, hot_keys, keys, "left_semi")
     large = reduce(lambda part, step: step.sliced(part, keys, slices), steps, large)
-    if not keys:
-        return large
     small = _match_keys(df, hot_keys, keys, "left_anti")
     return reduce(lambda part, step: step.plain(part, keys), steps, small).unionByName(large)
 
@@ -200,9 +203,26 @@ def fixed_sample(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFr
     return df.orderBy(F.md5(text), *[F.col(k) for k in key]).limit(n)
 
 
-def fraction_sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """A random fraction with replacement."""
-    return df.sample(withReplacement=True, fraction=fraction, seed=seed)
+def poisson_steps(mean: float) -> list[float]:
+    """Distribution function of a Poisson count at 0, 1, 2 ... until it is 1 to twelve digits."""
+    term, steps = exp(-mean), [exp(-mean)]
+    while steps[-1] < 1 - 1e-12:
+        term *= mean / len(steps)
+        steps.append(steps[-1] + term)
+    return steps
+
+
+def fraction_sample(df: DataFrame, key: Sequence[str], fraction: float, seed: int) -> DataFrame:
+    """A fraction with replacement, the same rows on every run.
+
+    The hash of seed and key is a uniform number, whose Poisson quantile is how often the row is drawn. Rows with equal
+    keys are drawn equally often.
+    """
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
+    uniform = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(2.0**48)
+    times = reduce(lambda n, step: n + F.when(uniform >= step, 1).otherwise(0), poisson_steps(fraction), F.lit(0))
+    drawn = df.withColumn("__times", times).filter("__times > 0")
+    return drawn.withColumn("__draw", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times", "__draw")
 
 
 def exact_median(df: DataFrame, value: str, name: str = "median", hot_rows: int | None = None) -> DataFrame:
@@ -212,7 +232,7 @@ def exact_median(df: DataFrame, value: str, name: str = "median", hot_rows: int
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
     reached = running_total(counted, [], [F.col(value).asc()], "__n", "__upto", hot_rows)
-    total = reached.agg(F.max("__upto")).scalar()
+    total = counted.agg(F.sum("__n")).scalar()
     low, high = F.floor((total + 1) / 2), F.floor((total + 2) / 2)
     first = F.col("__upto") - F.col("__n") + 1
     middle = reached.filter((first <= high) & (F.col("__upto") >= low))

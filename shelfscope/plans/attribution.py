@@ -22,9 +22,9 @@ def attribution_backfill(
     transactions: DataFrame,
     households: DataFrame,
     allow_list: DataFrame,
-    household: str = "ehhn",
+    household: str = "household_id",
     upc: str = "upc",
-    hashed: str = "guid_hash",
+    hashed: str = "hashed_id",
     drop: Sequence[str] = ("net_spend", "retail_amount"),
 ) -> DataFrame:
     """Transactions of allow-listed products with the hashed id in place of the household number.

@@ -8,6 +8,7 @@ requests do not matter to them.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql.types import DoubleType
 
 from shelfscope.functions.arrays import common_in_first, larger_before, same_set, select_where
 from shelfscope.operators.ordered import rank_rows, rank_rows_by, top_k_per_group
+from shelfscope.session import cut_lineage
 
 # Lists longer than this are counted in blocks, see kendall_tau.
 BLOCK = 256
@@ -97,16 +99,29 @@ def evaluation_lists(
     """Both rankings of each request side by side, as aligned arrays.
 
     In champion order: ``champ_rank``, ``corresp_chal_rank`` (the challenger's rank of the same items) and
-    ``champ_<column>``; in challenger order ``chal_rank`` and ``chal_<column>``. Segments as in :func:`ranked_lists`.
+    ``champ_<column>``; in challenger order ``chal_rank`` and ``chal_<column>``. Segments as in :func:`ranked_lists`, and
+    (request, segment) is the key. An item without a rank is missing from that model's lists only.
     """
     columns = list(columns)
-    ours = ranked_lists(items, request, champion_rank, [challenger_rank, *columns], segment_rows)
-    theirs = ranked_lists(items, request, challenger_rank, columns, segment_rows)
+    has = lambda rank: items.filter(F.col(rank).isNotNull())
+    ours = ranked_lists(has(champion_rank), request, champion_rank, [challenger_rank, *columns], segment_rows)
+    theirs = ranked_lists(has(challenger_rank), request, challenger_rank, columns, segment_rows)
     named = lambda prefix: [F.col(c).alias(f"{prefix}_{c}") for c in columns]
     ranks = [F.col(champion_rank).alias("champ_rank"), F.col(challenger_rank).alias("corresp_chal_rank")]
     left = ours.select(request, "segment", *ranks, *named("champ"))
-    right = theirs.select(request, "segment", F.col(challenger_rank).alias("chal_rank"), *named("chal"))
-    return left.join(right, [request, "segment"])
+    other = [F.col(request).alias("__request"), F.col("segment").alias("__segment")]
+    right = theirs.select(*other, F.col(challenger_rank).alias("chal_rank"), *named("chal"))
+    same = left[request].eqNullSafe(F.col("__request")) & (left["segment"] == F.col("__segment"))
+    joined = left.join(right, same, "full_outer")
+    # A segment that only one model has must not lose its request, also where the request itself is null.
+    keys = [F.coalesce(left[request], "__request").alias(request), F.coalesce(left["segment"], "__segment").alias("segment")]
+    return joined.select(*keys, *[F.col(c) for c in left.columns[2:]], *[F.col(c) for c in right.columns[2:]])
+
+
+def item_segments(items: DataFrame, request: str, item: str, ranks: Sequence[str], segment_rows: int = 10_000) -> DataFrame:
+    """(request, item, segment): the segment of :func:`ranked_lists` that holds an item, by the first rank it has."""
+    rank = F.coalesce(*ranks)
+    return items.select(request, item, F.floor((rank - 1) / segment_rows).cast("bigint").alias("segment"))
 
 
 def _top(items, request, order, columns, k, prefix):
@@ -271,6 +286,9 @@ def kendall_tau(
 
     sizes = rows.groupBy(request).agg(F.count(F.lit(1)).alias("n"))
     longest = sizes.agg(F.max("n")).first()[0] or 0
+    if longest > block:
+        # Every doubling round reads the ranks again.
+        pairs = cut_lineage(pairs)
     parts = _discordant_within(pairs, request, block)
     half = block
     while half < longest:
@@ -282,7 +300,7 @@ def kendall_tau(
 
     joined = sizes.join(discordant, request)
     n, zero = F.col("n"), F.lit(0).cast("bigint")
-    pairs_in_all = F.floor(n * (n - 1) / 2)
+    pairs_in_all = F.call_function("div", n * (n - 1), F.lit(2))
     if tie_free:
         ties = {c: zero for c in ("tx", "ty", "txy", "x0", "x1", "y0", "y1")}
         joined = joined.withColumns(ties)
@@ -306,11 +324,12 @@ def kendall_tau(
 def _tie_sums(rows: DataFrame, request: str, columns: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Sums over tie groups of size t: t(t-1)/2, t(t-1)(t-2) and t(t-1)(2t+5), as many as there are names."""
     t = F.col("__t")
-    terms = [F.floor(t * (t - 1) / 2), t * (t - 1) * (t - 2), t * (t - 1) * (2 * t + 5)]
+    terms = [F.call_function("div", t * (t - 1), F.lit(2)), t * (t - 1) * (t - 2), t * (t - 1) * (2 * t + 5)]
     counts = rows.groupBy(request, *columns).agg(F.count(F.lit(1)).alias("__t"))
     return counts.groupBy(request).agg(*[F.sum(e).cast("bigint").alias(a) for a, e in zip(names, terms)])
 
 
+@cache
 def _exact_cumulative() -> np.ndarray:
     """P(at most d discordant pairs) for a random order of n items, as [n, d]."""
     width = EXACT_P_LENGTH * (EXACT_P_LENGTH - 1) // 2 + 1
@@ -342,9 +361,9 @@ def _two_sided_p(
         m = n * (n - 1)
         spread = (m * (2 * n + 5) - x1 - y1) / 18 + 2 * tx * ty / m + np.where(n > 2, x0 * y0 / (9 * m * (n - 2)), 0)
         z = np.abs(balance) / np.sqrt(spread)
-    p = np.array([erfc(v / 2**0.5) for v in z])
     short = no_ties & (n <= EXACT_P_LENGTH)
-    table = _exact_cumulative()
+    p, table = np.empty(len(n)), _exact_cumulative()
+    p[~short] = [erfc(v / 2**0.5) for v in z[~short]]
     p[short] = np.minimum(1.0, 2 * table[n[short].astype(int), fewer[short].astype(int)])
     # The middle of the distribution is counted from both sides.
     p[short & (4 * fewer == n * (n - 1))] = 1.0

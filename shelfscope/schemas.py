@@ -13,9 +13,9 @@ TABLES: dict[str, str] = {
     "search_listing": "session string, click_id string, click_date date, upc string, item_index int, "
     "monetized boolean, relevance_score double, scenario string, component string, text_typed string, "
     "banner string",
-    "transaction": "ehhn string, upc string, net_spend double, loyalty_amount double, retail_amount double, "
+    "transaction": "household_id string, upc string, net_spend double, loyalty_amount double, retail_amount double, "
     "units bigint, trn_dt int, trn_tm string",
-    "household": "ehhn string, guid_hash string",
+    "household": "household_id string, hashed_id string",
     "store": "division string, store string, state string",
     "ad_log": "request_id string, impression_id string, campaign_id string, slot_id string, sku string, "
     "div_store string, unit_type string, clearing_price bigint, matching_target_values array<string>, "

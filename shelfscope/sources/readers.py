@@ -6,7 +6,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import IntegralType, StructType, TimestampNTZType, TimestampType
 
 
 def scan(
@@ -34,14 +34,16 @@ def literal_column(spark: SparkSession, values: list, name: str) -> DataFrame:
 
 
 def _day(value: str | date) -> date:
+    if isinstance(value, datetime):
+        return value.date()
     return value if isinstance(value, date) else datetime.strptime(value, "%Y-%m-%d").date()
 
 
 def between_days(df: DataFrame, column: str, start: str | date, end: str | date) -> DataFrame:
     """Rows from the start day to the end day, both included.
 
-    The predicate stays on the raw column, so it prunes partitions of a date or ISO-text column and reaches the
-    file statistics of a timestamp column.
+    The predicate stays on the raw column, so it prunes partitions of a date, integer or ISO-text column and reaches
+    the file statistics of a timestamp column. Integers are read as yyyyMMdd; a text may hold a date or a timestamp.
     """
     first, last = _day(start), _day(end)
     kind = df.schema[column].dataType
@@ -49,7 +51,9 @@ def between_days(df: DataFrame, column: str, start: str | date, end: str | date)
         low = F.lit(f"{first} 00:00:00").cast(kind)
         high = F.lit(f"{last + timedelta(days=1)} 00:00:00").cast(kind)
         return df.filter((F.col(column) >= low) & (F.col(column) < high))
-    low, high = F.lit(str(first)), F.lit(str(last))
+    if isinstance(kind, IntegralType):
+        return df.filter(F.col(column).between(int(f"{first:%Y%m%d}"), int(f"{last:%Y%m%d}")))
     if kind.typeName() == "date":
-        low, high = low.cast("date"), high.cast("date")
-    return df.filter(F.col(column).between(low, high))
+        return df.filter(F.col(column).between(F.lit(str(first)).cast("date"), F.lit(str(last)).cast("date")))
+    # As text everything on the last day, with or without a time, comes before the day after.
+    return df.filter((F.col(column) >= str(first)) & (F.col(column) < str(last + timedelta(days=1))))

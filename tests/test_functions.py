@@ -53,26 +53,26 @@ def test_attribution_days(spark):
 
 
 TAXONOMY = (
-    "22 Health & Wellness 014 Children's Medicine 00002 Children's Cold, Cough & Flu,"
-    "22 Health & Wellness 011 Cold, Cough & Flu 00002 Children's Medicine"
+    "07 Garden & Terrace 031 Gardener's Tools 00004 Rakes, Hoes & Spades,"
+    "07 Garden & Terrace 018 Pots, Soil & Seed 00009 Gardener's Gloves"
 )
 
 
 def test_taxonomy_paths_and_labels(spark, rows):
     df = spark.createDataFrame([("1", TAXONOMY), ("2", None), ("3", "no codes")], "sku string, taxonomy string")
     names = rows(T.explode_sub_categories(df, "taxonomy"), "sku", "sub_category")
-    assert names == [("1", "CHILDREN'S COLD, COUGH & FLU"), ("1", "CHILDREN'S MEDICINE"), ("3", "")]
+    assert names == [("1", "GARDENER'S GLOVES"), ("1", "RAKES, HOES & SPADES"), ("3", "")]
     assert df.select(T.labelled(F.col("taxonomy"))).first()[0] == (
-        "DEPT: Health & Wellness |COMMODITY: Children's Medicine |SUB_COMMODITY: Children's Cold, Cough & Flu "
-        "||DEPT: Health & Wellness |COMMODITY: Cold, Cough & Flu |SUB_COMMODITY: Children's Medicine"
+        "DEPT: Garden & Terrace |COMMODITY: Gardener's Tools |SUB_COMMODITY: Rakes, Hoes & Spades "
+        "||DEPT: Garden & Terrace |COMMODITY: Pots, Soil & Seed |SUB_COMMODITY: Gardener's Gloves"
     )
     assert rows(T.parse_levels(df, "taxonomy"), "sku", "path_no", "department", "commodity", "sub_commodity") == [
-        ("1", 0, "Health & Wellness", "Children's Medicine", "Children's Cold, Cough & Flu"),
-        ("1", 1, "Health & Wellness", "Cold, Cough & Flu", "Children's Medicine"),
+        ("1", 0, "Garden & Terrace", "Gardener's Tools", "Rakes, Hoes & Spades"),
+        ("1", 1, "Garden & Terrace", "Pots, Soil & Seed", "Gardener's Gloves"),
         ("3", 0, "", "", ""),
     ]
     assert df.select(T.piped(F.col("taxonomy"))).first()[0] == (
-        "HEALTH & WELLNESS|CHILDREN'S MEDICINE|CHILDREN'S COLD, COUGH & FLU,|HEALTH & WELLNESS|COLD, COUGH & FLU|CHILDREN'S MEDICINE"
+        "GARDEN & TERRACE|GARDENER'S TOOLS|RAKES, HOES & SPADES,|GARDEN & TERRACE|POTS, SOIL & SEED|GARDENER'S GLOVES"
     )
 
 

@@ -115,4 +115,6 @@ def test_samples(spark, rows):
     first, again = O.fixed_sample(df, ["id"], 50, 2024), O.fixed_sample(df.repartition(7), ["id"], 50, 2024)
     assert rows(first) == rows(again) and len(set(rows(first))) == 50
     assert rows(first) != rows(O.fixed_sample(df, ["id"], 50, 1))
-    assert 150 < O.fraction_sample(df, 0.5, 1).count() < 350
+    drawn = rows(O.fraction_sample(df, ["id"], 0.5, 1))
+    assert 150 < len(drawn) < 350 and len(set(drawn)) < len(drawn)
+    assert drawn == rows(O.fraction_sample(df.repartition(7), ["id"], 0.5, 1)) != rows(O.fraction_sample(df, ["id"], 0.5, 2))

@@ -228,3 +228,13 @@ def test_both_rankings_side_by_side(spark):
     assert (row.champ_sku, row.corresp_chal_rank, row.champ_brand) == (["a", "b", "c"], [3, 1, 2], ["x", None, "z"])
     assert (row.chal_sku, row.chal_rank, row.chal_brand) == (["b", "c", "a"], [1, 2, 3], [None, "z", "x"])
     assert E.evaluation_lists(df, "request_id", "champ", "chal", ["sku"], segment_rows=2).count() == 2
+
+
+def test_lists_of_unequal_length_lose_no_item(spark):
+    items = [("a", i, i, {1: 1, 4: 2}.get(i)) for i in range(1, 6)] + [("b", 9, 1, None), (None, 7, 1, 1)]
+    df = spark.createDataFrame(items, "rid string, sku int, champ int, chal int")
+    lists = {(r.rid, r.segment): r for r in E.evaluation_lists(df, "rid", "champ", "chal", ["sku"], 2).collect()}
+    assert {k: r.champ_sku for k, r in lists.items()} == {("a", 0): [1, 2], ("a", 1): [3, 4], ("a", 2): [5], ("b", 0): [9], (None, 0): [7]}
+    assert lists["a", 0].chal_sku == [1, 4] and lists["a", 1].chal_sku is None and lists[None, 0].chal_sku == [7]
+    segments = {(r.rid, r.sku): r.segment for r in E.item_segments(df, "rid", "sku", ["champ", "chal"], 2).collect()}
+    assert segments["a", 5] == 2 and segments["b", 9] == 0

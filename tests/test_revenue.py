@@ -11,15 +11,15 @@ from shelfscope.sources.workspace import Log, Workspace
 def test_backfill_pads_dedupes_and_fans_out(spark, rows):
     transactions = spark.createDataFrame(
         [("h1", "0000000000042", 1.0, 2.0, 3.0), ("h1", "0000000000043", 1.0, 2.5, 3.0), ("h2", "0000000000042", 1.0, 4.0, 3.0), ("h9", "0000000000042", 1.0, 9.0, 3.0)],
-        "ehhn string, upc string, net_spend double, loyalty_amount double, retail_amount double",
+        "household_id string, upc string, net_spend double, loyalty_amount double, retail_amount double",
     )
-    households = spark.createDataFrame([("h1", "x"), ("h1", "y"), ("h2", "z")], "ehhn string, guid_hash string")
+    households = spark.createDataFrame([("h1", "x"), ("h1", "y"), ("h2", "z")], "household_id string, hashed_id string")
     codes = spark.createDataFrame([("42",), ("42",), ("0000000000042",), (None,)], "upc string")
     allowed = A.padded_allow_list(codes, "upc")
     assert rows(allowed) == [("0000000000042",)]
     out = A.attribution_backfill(transactions, households, allowed)
-    assert out.columns == ["upc", "loyalty_amount", "guid_hash"]
-    assert rows(out, "loyalty_amount", "guid_hash") == [(2.0, "x"), (2.0, "y"), (4.0, "z")]
+    assert out.columns == ["upc", "loyalty_amount", "hashed_id"]
+    assert rows(out, "loyalty_amount", "hashed_id") == [(2.0, "x"), (2.0, "y"), (4.0, "z")]
 
 
 def test_product_list_and_drill_down(spark, rows):
@@ -85,8 +85,8 @@ def test_sensitive_products_and_households(spark, rows):
     sold = spark.createDataFrame([("u1", "01", "a"), ("u1", "01", "a"), ("u2", None, "b"), ("u3", "02", "c")], "upc string, code string, text string")
     listed = spark.createDataFrame([("01",), ("01",), (None,)], "SUBC string")
     assert rows(E.sensitive_products(sold, listed, ["upc", "code"], "code", "SUBC")) == [("u1", "01")]
-    people = spark.createDataFrame([("WA", "g1", "h1"), ("WA", "g2", "h1"), ("WA", "g3", None), ("NV", "g4", "h2")], "state string, guid string, ehhn string")
-    assert rows(E.households_by_state(people, "state", "ehhn", "guid")) == [("NV", 1, 1), ("WA", 3, 2)]
+    people = spark.createDataFrame([("WA", "g1", "h1"), ("WA", "g2", "h1"), ("WA", "g3", None), ("NV", "g4", "h2")], "state string, guid string, household_id string")
+    assert rows(E.households_by_state(people, "state", "household_id", "guid")) == [("NV", 1, 1), ("WA", 3, 2)]
 
 
 def test_impact_rules(spark, rows):

@@ -122,3 +122,11 @@ def test_shared_folder_follows_the_setting():
         shared_folder(session_stub("yarn"))
     local = session_stub("local[2]")
     assert shared_folder(local) == shared_folder(local) == local.sparkContext.getCheckpointDir()
+
+
+def test_days_of_integers_texts_and_datetimes(spark):
+    day = dt.datetime(2023, 10, 31, 8, 30)
+    numbers = spark.createDataFrame([(20231030,), (20231031,), (20231101,), (None,)], "d int")
+    assert [r.d for r in readers.between_days(numbers, "d", "2023-10-31", day).collect()] == [20231031]
+    texts = spark.createDataFrame([("2023-10-30 23:59:59",), ("2023-10-31",), ("2023-10-31 08:00:00",), ("2023-11-01",), (None,)], "d string")
+    assert [r.d for r in readers.between_days(texts, "d", day, day).collect()] == ["2023-10-31", "2023-10-31 08:00:00"]
