@@ -53,6 +53,27 @@ def without(docs: DataFrame, id_column: str, lost: DataFrame) -> DataFrame:
     return docs.join(hinted(gone, 32), docs[id_column] == gone[name], "left_anti")
 
 
+class Memory(dict):
+    """Values of words, up to a number of them. A word looked up in vain comes back as itself and is noted."""
+
+    def __init__(self, most: int, known: dict):
+        super().__init__(known)
+        self.most, self.missing = most, set()
+
+    def __missing__(self, word):
+        self.missing.add(word)
+        return word
+
+    def learn(self, compute) -> dict:
+        """Values of the words noted since, from a function of a list of words; kept too while there is room."""
+        new = list(self.missing)
+        fresh = dict(zip(new, compute(new), strict=True)) if new else {}
+        self.missing.clear()
+        if len(self) < self.most:
+            self.update(fresh)
+        return fresh
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often a lambda inside ``body`` refers to it."""
     return F.transform(F.array(value), body)[0]

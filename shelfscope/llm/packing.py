@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import hinted, stage, texts
+from shelfscope.llm.common import Memory, hinted, stage, texts
 
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 # Pieces of one length are ranked in groups of about this many.
 RANK_GROUP = 2000
 
@@ -39,7 +39,7 @@ class Encoder:
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memory = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.memory = Tokenizer.from_file(path), Memory(REMEMBERED, {"": b""})
         alone, joined = (self._encode([t])[0] for t in ("Ab cd", "ab\ncd"))
         if alone != joined or alone != b"".join(self._encode(["ab", "cd"])):
             raise ValueError("needs a vocabulary of words in lower case, without white space")
@@ -48,28 +48,18 @@ class Encoder:
         encoded = self.tokenizer.encode_batch_fast(column, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
-    def ids(self, column: list[str]) -> list[bytes]:
-        split = [_folded(t).replace("\n", " ").split(" ") for t in column]
-        new = list(set().union(*split).difference(self.memory))
-        own = self.memory
-        if new:
-            fresh = dict(zip(new, self._encode(new), strict=True))
-            if len(self.memory) < REMEMBERED:
-                self.memory.update(fresh)
-            else:
-                own = _Either(self.memory, fresh)
-        return [b"".join(map(own.__getitem__, w)) for w in split]
-
+    def _learned(self, new: list[str]) -> list[bytes]:
+        """Ids of new words. A full stop or comma behind a letter or digit is a token of its own, so it is split off first."""
+        bare = [w[:-1] if w[-1] in ".," and w[:-1].isalnum() else w for w in new]
+        ask = list({w for w in bare if w not in self.memory} | {".", ","} - self.memory.keys())
+        found = dict(zip(ask, self._encode(ask), strict=True))
+        of = lambda w: found[w] if w in found else self.memory[w]
+        return [of(b) if b is w else of(b) + of(w[-1]) for w, b in zip(new, bare, strict=True)]
 
-class _Either(dict):
-    """Looks in ``fresh`` for what is not in memory, without copying either."""
-
-    def __init__(self, memory: dict, fresh: dict):
-        super().__init__(fresh)
-        self.memory = memory
-
-    def __missing__(self, word):
-        return self.memory[word]
+    def ids(self, column: list[str]) -> list[bytes]:
+        known = [list(map(self.memory.__getitem__, _folded(t).replace("\n", " ").split(" "))) for t in column]
+        fresh = self.memory.learn(self._learned)
+        return [b"".join([v if v.__class__ is bytes else fresh[v] for v in values]) for values in known]
 
 
 def _folded(text: str) -> str:

@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -172,7 +172,7 @@ def rows_of(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20, rows: int = 2000):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19, rows: int = 2000):
     """Consecutive parts of a batch with at most ``most`` bytes of text and ``rows`` rows each; a longer text is a part of its own."""
     array = batch.column(batch.schema.get_field_index(column))
     _, offsets = text_bytes(array)

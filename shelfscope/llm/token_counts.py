@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import texts
+from shelfscope.llm.common import Memory, texts
 
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 NEVER = np.int32(2**31 - 1)
 SPACE = "▁"
 
@@ -145,18 +145,11 @@ def piece_table(path: str) -> PieceTable:
     return PieceTable(path)
 
 
-def count_tokens(column: list[str], table: PieceTable, memory: dict[str, int]) -> list[int]:
+def count_tokens(column: list[str], table: PieceTable, memory: Memory) -> list[int]:
     """Tokens of each text. ``memory`` keeps counts of pre-tokens from one call to the next."""
-    split = [table.pattern.findall(" " + t.replace(SPACE, " ")) if t else [] for t in column]
-    new = list({p for pretokens in split for p in pretokens} - memory.keys())
-    own = memory
-    if new:
-        counts = dict(zip(new, table.count(new).tolist(), strict=True))
-        if len(memory) < REMEMBERED:
-            memory.update(counts)
-        else:
-            own = {p: memory[p] if p in memory else counts[p] for pretokens in split for p in pretokens}
-    return [sum(map(own.__getitem__, pretokens)) for pretokens in split]
+    known = [list(map(memory.__getitem__, table.pattern.findall(" " + t.replace(SPACE, " ")))) if t else [] for t in column]
+    fresh = memory.learn(lambda pretokens: table.count(pretokens).tolist())
+    return [sum([v if v.__class__ is int else fresh[v] for v in values]) for values in known]
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -167,7 +160,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_column:
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        table, memory = piece_table(model_path), {}
+        table, memory = piece_table(model_path), Memory(REMEMBERED, {})
         for batch in batches:
             n_tokens, column = [], batch.column("__text")
             for at in range(0, len(column), 100):

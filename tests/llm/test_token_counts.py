@@ -5,6 +5,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from shelfscope.llm.common import Memory
 from shelfscope.llm.token_counts import count_tokens, piece_table, token_counts
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -12,7 +13,7 @@ LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
 
 
 def check(texts):
-    assert count_tokens(texts, piece_table(PATH), {}) == [len(LIBRARY.encode(t)) for t in texts]
+    assert count_tokens(texts, piece_table(PATH), Memory(50, {})) == [len(LIBRARY.encode(t)) for t in texts]
 
 
 @settings(max_examples=300, deadline=None)
