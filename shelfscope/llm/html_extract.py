@@ -26,7 +26,10 @@ from shelfscope.llm.ragged import slices
 # Pages that the potentials are fitted on, about: chosen by a hash of the page.
 SAMPLE_PAGES = 4000
 # How far a feature can move the log odds of a node: one that names a purpose, and one that any part of a page may have.
-NAMED_BOUND, PLAIN_BOUND, EDGE_BOUND = 7.0, 1.5, 3.5
+NAMED_BOUND, PLAIN_BOUND = 7.0, 1.5
+# How much likelier a child is to have the label of its parent than the other, at most: log odds for block and inline children of
+# elements that are not content, and of those that are.
+EDGE_BOUNDS = ((3.5, 3.5), (6.5, 6.5))
 
 # Elements by purpose, as HTML defines them.
 CONTENT_TAGS = frozenset({"article", "main"})
@@ -180,7 +183,7 @@ def _named(feature: str) -> int:
 
 @dataclass
 class Potentials:
-    """Log odds of features, log potentials of edges by (inline child, parent label, child label), log prior of a root."""
+    """Log odds of features, log potentials of edges by (kind of child, parent label, child label)."""
 
     odds: dict[str, float]
     edge: np.ndarray
@@ -203,17 +206,18 @@ def fit(counts: dict[tuple[str, str], int]) -> Potentials:
         value = np.log(a / (n[1] + 1)) - np.log(b / (n[0] + 1))
         named = _named(f)
         odds[f] = NAMED_BOUND * named if named else float(np.clip(value, -PLAIN_BOUND, PLAIN_BOUND))
-    edge = np.zeros((2, 2, 2))
+    # Third kind of child: one that names another purpose. It is what it is wherever it stands and says nothing about its parent.
+    edge = np.full((3, 2, 2), np.log(0.5))
     for inline in (0, 1):
         for y in (0, 1):
             seen = np.array([counts.get((f"edge={inline}{y}", str(c)), 0) + (30.0 if c == y else 1.0) for c in (0, 1)])
             p = seen / seen.sum()
-            bounded = np.clip(np.log(p[y] / p[1 - y]), 1.0, EDGE_BOUND + 3 * inline)
+            bounded = np.clip(np.log(p[y] / p[1 - y]), 1.0, EDGE_BOUNDS[inline][y])
             edge[inline, y, y], edge[inline, y, 1 - y] = -np.log1p(np.exp(-bounded)), -bounded - np.log1p(np.exp(-bounded))
     return Potentials(odds, edge)
 
 
-def marginals(parent: np.ndarray, inline: np.ndarray, odds: np.ndarray, edge: np.ndarray) -> np.ndarray:
+def marginals(parent: np.ndarray, kind: np.ndarray, odds: np.ndarray, edge: np.ndarray) -> np.ndarray:
     """Probability of content for each node of a forest in which a parent comes before its children (-1: a root)."""
     n = len(parent)
     depth = np.zeros(n, np.int64)
@@ -226,12 +230,12 @@ def marginals(parent: np.ndarray, inline: np.ndarray, odds: np.ndarray, edge: np
     up, message = own.copy(), np.zeros((n, 2))
     for level in reversed(levels[1:]):
         # Sum over the child's label of edge potential times all that lies below.
-        message[level] = np.logaddexp.reduce(edge[inline[level]] + up[level][:, None, :], axis=2)
+        message[level] = np.logaddexp.reduce(edge[kind[level]] + up[level][:, None, :], axis=2)
         np.add.at(up, parent[level], message[level])
     down = np.zeros((n, 2))
     for level in levels[1:]:
         above = (up + down)[parent[level]] - message[level]
-        down[level] = np.logaddexp.reduce(edge[inline[level]] + above[:, :, None], axis=1)
+        down[level] = np.logaddexp.reduce(edge[kind[level]] + above[:, :, None], axis=1)
     both = up + down
     return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -700, 700)))
 
@@ -240,9 +244,9 @@ def extract(pages: list[Page], potentials: Potentials) -> list[str]:
     """Main text of each page."""
     first = np.append(0, np.cumsum([len(p.parent) for p in pages]))
     parent = np.concatenate([np.where(np.array(p.parent) < 0, -1, np.array(p.parent) + f) for p, f in zip(pages, first, strict=False)]) if pages else np.zeros(0, np.int64)
-    inline = np.array([t in INLINE_TAGS for p in pages for t in p.tag], np.int64)
+    kind = np.array([2 if _is_other(t, n) and t not in CONTENT_TAGS else int(t in INLINE_TAGS) for p in pages for t, n in zip(p.tag, p.names, strict=True)], np.int64)
     odds = np.array([potentials.of(f) for p in pages for f in features(p)])
-    content = marginals(parent, inline, odds, potentials.edge) > 0.5 if pages else odds
+    content = marginals(parent, kind, odds, potentials.edge) > 0.5 if pages else odds
     out = []
     for page, (a, _) in zip(pages, pairwise(first), strict=True):
         keep = content[a:]

@@ -108,7 +108,7 @@ def op4(table):
     content AS (SELECT m, conv_id, turn, role, count(*) FILTER (level > 0) AS n_quoted, regexp_replace(trim(regexp_replace(
         coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0), ''), '\n{3,}', chr(10) || chr(10), 'g')), '^\s+|\s+$', '', 'g') AS content
         FROM kept GROUP BY ALL),
-    placed AS (SELECT c.conv_id, c.turn, c.role, r.parent_turn, coalesce(t.thread_turn, c.turn) AS thread_turn, coalesce(t.depth, 0) AS depth,
+    placed AS (SELECT c.conv_id, c.turn, c.role, r.parent_turn, coalesce(t.thread_turn, c.turn) AS thread_turn, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth,
                       c.n_quoted, c.content FROM content c LEFT JOIN replies r USING (conv_id, turn) LEFT JOIN top t USING (conv_id, turn))
     SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY thread_turn NULLS FIRST, turn NULLS FIRST, role, content, n_quoted) AS position,
            '<|' || role || '|>' || chr(10) || content || chr(10) || '<|end|>' AS formatted FROM placed
