@@ -31,6 +31,8 @@ DECIMALS = 9
 CELLS_AT_ONCE = 16
 # More candidates than this many times k per query are thinned out before they are sorted.
 FEW_PER_QUERY = 4
+# Queries up to this size are sent to all tasks instead of being routed.
+SCAN_BYTES = 32 << 20
 # Slack on distances against rounding in the last places.
 SLACK = 1e-6
 
@@ -147,6 +149,41 @@ def _compare_blocks(k: int, key_type: str):
     return compare, f"key {key_type}, match {key_type}, similarity double"
 
 
+def _scan_keys(q_keys: np.ndarray, queries: np.ndarray, k: int, key_type: str):
+    """Best k matches of every query among the keys of a task: one pass over the keys, at most k rows per query out."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, floor = pd.DataFrame({"query": [], "match": [], "similarity": []}), np.full(len(queries), -np.inf)
+        for batch in batches:
+            for start in range(0, len(batch), BLOCK_ROWS):
+                rows = batch.iloc[start : start + BLOCK_ROWS]
+                vectors = _matrix(rows["vector"])
+                length = np.linalg.norm(vectors, axis=1)
+                units, keys = vectors[length > 0] / length[length > 0][:, None], rows["key"].to_numpy()[length > 0]
+                found = [best]
+                for at in range(0, len(queries) if len(keys) else 0, BLOCK_ROWS):
+                    similarity = queries[at : at + BLOCK_ROWS] @ units.T
+                    reach = floor[at : at + BLOCK_ROWS] - SLACK
+                    if similarity.shape[1] > k + 1:
+                        # No more than k of this block can matter, plus the query itself and ties.
+                        reach = np.maximum(reach, np.partition(similarity, -(k + 1), axis=1)[:, -(k + 1)] - SLACK)
+                    row, column = np.nonzero(similarity >= reach[:, None])
+                    other = q_keys[at + row] != keys[column]
+                    row, column = row[other], column[other]
+                    score = np.round(similarity[row, column], DECIMALS)
+                    found.append(pd.DataFrame({"query": at + row, "match": keys[column], "similarity": score}))
+                found = pd.concat([f for f in found if len(f)] or [best])
+                found = found.sort_values(["similarity", "match"], ascending=[False, True], kind="stable")
+                best = found.groupby("query", sort=False).head(k)
+                full = best.groupby("query")["similarity"].agg(["size", "min"])
+                full = full[full["size"] == k]
+                floor[full.index.to_numpy(dtype=int)] = full["min"]
+        if len(best):
+            yield pd.DataFrame({"key": q_keys[best["query"].to_numpy(dtype=int)], "match": best["match"], "similarity": best["similarity"]})
+
+    return scan, f"key {key_type}, match {key_type}, similarity double"
+
+
 def similar_topk(
     table: DataFrame,
     key: str,
@@ -155,16 +192,30 @@ def similar_topk(
     is_query: str | None = None,
     pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    scan_bytes: int = SCAN_BYTES,
 ) -> DataFrame:
     """The k most similar other keys of every key: (key, match, similarity, place).
 
     ``is_query`` names a boolean column that restricts which keys are looked up; all keys can be matches. Equal
     similarities go to the smaller key. Vectors of length zero have no direction and take no part. Keys are unique.
+
+    Queries whose vectors take up to ``scan_bytes`` are sent to every task, which passes over its keys once: no vector is
+    shuffled. More queries are routed over pivots; both ways decide all pairs and give the same rows.
     """
     key_type = table.schema[key].dataType.simpleString()
     flag = F.col(is_query) if is_query else F.lit(True)
     rows = table.select(F.col(key).alias("key"), F.col(vector).alias("vector"), flag.alias("is_query"))
     rows = rows.filter(F.col("key").isNotNull() & F.col("vector").isNotNull())
+    if pivots is None:
+        asked = rows.filter("is_query").agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+        if asked[0] * max(asked[1], 1) * 8 <= scan_bytes:
+            known = [r for r in rows.filter("is_query").select("key", "vector").collect() if np.any(np.asarray(r["vector"], dtype="float64"))]
+            if known:
+                queries = _matrix([r["vector"] for r in known])
+                queries = queries / np.linalg.norm(queries, axis=1)[:, None]
+                q_keys = pd.Series([r["key"] for r in known]).to_numpy()
+                found = rows.select("key", "vector").mapInPandas(*_scan_keys(q_keys, queries, k, key_type))
+                return top_k_per_group(found, ["key"], [F.col("similarity").desc(), F.col("match").asc()], k, "place")
     squares = F.aggregate("vector", F.lit(0.0), lambda total, v: total + v.cast("double") * v)
     # Cells of about one block: smaller ones would only send queries to more places.
     count = pivots or min(MOST_PIVOTS, max(1, rows.count() // block_rows))

@@ -98,8 +98,10 @@ def brute_force(keys, vectors, k, asked):
     return out
 
 
-@pytest.mark.parametrize(("pivots", "block_rows"), [(1, 2048), (1, 10), (12, 5), (None, 2048)])
-def test_neighbours_equal_a_full_comparison(spark, pivots, block_rows):
+@pytest.mark.parametrize(
+    ("pivots", "block_rows", "scan_bytes"), [(1, 2048, 0), (1, 10, 0), (12, 5, 0), (None, 2048, 0), (None, 2048, 1 << 20)]
+)
+def test_neighbours_equal_a_full_comparison(spark, pivots, block_rows, scan_bytes):
     """Clustered vectors, a third of them copies of one vector, and one without direction."""
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(4, 8))
@@ -107,7 +109,7 @@ def test_neighbours_equal_a_full_comparison(spark, pivots, block_rows):
     keys = list(range(len(vectors)))
     data = [(k, [float(x) for x in v], k % 3 == 0) for k, v in zip(keys, vectors)] + [(999, [0.0] * 8, True)]
     df = spark.createDataFrame(data, "id bigint, v array<double>, asked boolean").repartition(3)
-    found = similar_topk(df, "id", "v", 5, is_query="asked", pivots=pivots, block_rows=block_rows)
+    found = similar_topk(df, "id", "v", 5, is_query="asked", pivots=pivots, block_rows=block_rows, scan_bytes=scan_bytes)
     got = {(r.key, r.match, r.place) for r in found.collect()}
     assert got == brute_force(keys, vectors, 5, [k for k in keys if k % 3 == 0])
 
@@ -128,3 +130,10 @@ def test_language_counts(spark, rows):
     searches = L.search_texts(clicks, columns, "text")
     assert rows(L.language_frequency(clicks, columns, "text")) == [("en", 2), ("fr", 1)]
     assert rows(L.language_text_frequency(searches, "text")) == [("en", "the milk", 2), ("fr", "le lait et", 1)]
+
+
+def test_few_queries_move_no_vector(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id bigint, v array<double>")
+    plan = similar_topk(df, "id", "v", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    assert not any("vector" in line for line in plan.splitlines() if "Exchange" in line)
