@@ -30,8 +30,8 @@ BROADCAST_GROUPS = 100_000
 ONE_TASK_BYTES = 256 << 20
 # Longest cut per group that Spark applies before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
-# Longest cut of a whole table that one task merges.
-ONE_TASK_TOP = 10_000
+# Tasks that share the merging of a short cut of a whole table, before the last one merges theirs.
+MERGE_TASKS = 64
 
 _SLICE, _AMOUNT, _BEFORE = "__slice", "__amount", "__before"
 
@@ -178,12 +178,15 @@ def pick_one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]
 def top_n(df: DataFrame, order: Sequence[Column], n: int, hot_rows: int | None = None) -> DataFrame:
     """The first ``n`` rows of the whole table, in order.
 
-    Up to ten thousand rows every task keeps n rows and one task merges them. More rows are cut by rank, so that no
-    single task sees n rows of every other one.
+    Up to a thousand rows every task keeps n rows, which are merged in two steps, so that the last task sees n rows of
+    each of a few others however many partitions there are. More rows are cut by rank.
     """
-    if n <= ONE_TASK_TOP:
-        return df.orderBy(*order).limit(n)
-    return rank_rows(df, [], order, "__at", hot_rows).filter(F.col("__at") <= n).drop("__at").orderBy(*order)
+    if n > GROUP_LIMIT:
+        return rank_rows(df, [], order, "__at", hot_rows).filter(F.col("__at") <= n).drop("__at").orderBy(*order)
+    shared = df.withColumn("__merge", F.spark_partition_id() % MERGE_TASKS)
+    place = F.row_number().over(_window(["__merge"], order))
+    kept = shared.withColumn("__at", place).filter(F.col("__at") <= n).drop("__merge", "__at")
+    return kept.orderBy(*order).limit(n)
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], value: str, total: str, percent: str) -> DataFrame:
@@ -200,7 +203,7 @@ def share_of_total(df: DataFrame, keys: Sequence[str], value: str, total: str, p
 def fixed_sample(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
     """``n`` rows without replacement, the same ones on every run: the smallest hashes of seed and key."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
-    return df.orderBy(F.md5(text), *[F.col(k) for k in key]).limit(n)
+    return top_n(df, [F.md5(text).asc(), *[F.col(k).asc() for k in key]], n)
 
 
 def poisson_steps(mean: float) -> list[float]:

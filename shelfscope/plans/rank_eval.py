@@ -268,6 +268,7 @@ def kendall_tau(
     tie_free: bool = False,
     block: int = BLOCK,
     hot_rows: int | None = None,
+    p_method: str = "auto",
 ) -> DataFrame:
     """Kendall's tau-b of two ranks per request, with what its p-value needs: (request, n, discordant, tau, p_value).
 
@@ -275,9 +276,11 @@ def kendall_tau(
     which saves the tie counts. Discordant pairs are counted, never listed: inside blocks of consecutive places
     directly, between blocks by doubling the block size (as in a merge sort) until the longest list is covered.
 
-    The p-value is two-sided: exact for lists without ties of at most 33 items or at most one pair out of place,
-    else from the normal approximation.
+    The p-value is two-sided. With ``p_method="auto"`` it is exact for lists without ties of at most 33 items or at most
+    one pair out of place, else from the normal approximation; ``"normal"`` always takes the approximation.
     """
+    if p_method not in ("auto", "normal"):
+        raise ValueError(f"unknown p_method {p_method}")
     rows = items.select(request, F.col(x).alias("__rx"), F.col(y).alias("__ry"))
     # Equal y keep their order in x, so a tie is never out of order.
     orders = {"__x": [F.col("__rx").asc(), F.col("__ry").asc()], "__y": [F.col("__ry").asc(), F.col("__x").asc()]}
@@ -315,7 +318,8 @@ def kendall_tau(
     p_value = F.when(
         scale > 0,
         _two_sided_p(
-            n, F.col("discordant"), balance, *[F.col(c) for c in ("tx", "ty", "x0", "x1", "y0", "y1")]
+            n, F.col("discordant"), balance, *[F.col(c) for c in ("tx", "ty", "x0", "x1", "y0", "y1")],
+            F.lit(p_method == "auto"),
         ),
     )
     return joined.select(request, "n", "discordant", tau.alias("tau"), p_value.alias("p_value"))
@@ -348,7 +352,7 @@ def _exact_cumulative() -> np.ndarray:
 @pandas_udf(DoubleType())
 def _two_sided_p(
     n: pd.Series, out: pd.Series, balance: pd.Series, tx: pd.Series, ty: pd.Series,
-    x0: pd.Series, x1: pd.Series, y0: pd.Series, y1: pd.Series,
+    x0: pd.Series, x1: pd.Series, y0: pd.Series, y1: pd.Series, exact: pd.Series,
 ) -> pd.Series:
     from math import erfc, exp, lgamma
 
@@ -356,7 +360,7 @@ def _two_sided_p(
     tx, ty, x0, x1, y0, y1 = (s.to_numpy("float64") for s in (tx, ty, x0, x1, y0, y1))
     total = n * (n - 1) / 2
     fewer = np.minimum(out, total - out)
-    no_ties = (tx == 0) & (ty == 0)
+    no_ties = (tx == 0) & (ty == 0) & exact.to_numpy(bool)
     with np.errstate(divide="ignore", invalid="ignore"):
         m = n * (n - 1)
         spread = (m * (2 * n + 5) - x1 - y1) / 18 + 2 * tx * ty / m + np.where(n > 2, x0 * y0 / (9 * m * (n - 2)), 0)

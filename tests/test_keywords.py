@@ -22,7 +22,7 @@ def test_cleaning_and_frequency(spark, rows):
 def test_long_cut_by_rank_equals_the_short_one(spark, monkeypatch, hot_rows):
     frequency = spark.createDataFrame([(f"k{i}", i % 4) for i in range(20)], "keyword string, n_requests int")
     short = K.most_frequent(frequency, 7).collect()
-    monkeypatch.setattr(O, "ONE_TASK_TOP", 1)
+    monkeypatch.setattr(O, "GROUP_LIMIT", 1)
     assert K.most_frequent(frequency, 7, hot_rows=hot_rows).collect() == short
 
 

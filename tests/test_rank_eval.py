@@ -238,3 +238,15 @@ def test_lists_of_unequal_length_lose_no_item(spark):
     assert lists["a", 0].chal_sku == [1, 4] and lists["a", 1].chal_sku is None and lists[None, 0].chal_sku == [7]
     segments = {(r.rid, r.sku): r.segment for r in E.item_segments(df, "rid", "sku", ["champ", "chal"], 2).collect()}
     assert segments["a", 5] == 2 and segments["b", 9] == 0
+
+
+def test_normal_p_values_on_request(spark):
+    order = [2, 1, 4, 3, 6, 5, 7]
+    df = spark.createDataFrame([("a", i, y) for i, y in enumerate(order, 1)], "rid string, x int, y int")
+    row = E.kendall_tau(df, "rid", "x", "y", p_method="normal").first()
+    n, out = len(order), 3
+    spread = n * (n - 1) * (2 * n + 5) / 18
+    assert row.discordant == out and abs(row.p_value - math.erfc((n * (n - 1) / 2 - 2 * out) / math.sqrt(spread) / math.sqrt(2))) < 1e-12
+    assert E.kendall_tau(df, "rid", "x", "y").first().p_value != row.p_value
+    with pytest.raises(ValueError):
+        E.kendall_tau(df, "rid", "x", "y", p_method="other")
