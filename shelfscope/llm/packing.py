@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,10 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelled = {i: as_bytes(chr(i))[0][0] for i in range(0x80, 0x100) if chr(i).isalpha()}
         self.tokenizer, self.memory = Tokenizer.from_file(path), Memory(REMEMBERED, {"": b""})
         alone, joined = (self._encode([t])[0] for t in ("Ab cd", "ab\ncd"))
         if alone != joined or alone != b"".join(self._encode(["ab", "cd"])):
@@ -46,13 +50,26 @@ class Encoder:
 
     def _encode(self, column: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(column, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        return [pack_ids(f"<{len(e.ids)}I", *e.ids) for e in encoded]
+
+    def _alone(self, word: str) -> bytes | None:
+        """Ids of a word of Latin letters in lower case, which normalising and splitting leave as it is, by the model alone."""
+        if not word.isalpha() or not word.islower():
+            return None
+        if not word.isascii():
+            if max(word) > "ÿ":
+                return None
+            word = word.translate(self.spelled)
+        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+        return pack_ids(f"<{len(ids)}I", *ids)
 
     def _learned(self, new: list[str]) -> list[bytes]:
         """Ids of new words. A full stop or comma behind a letter or digit is a token of its own, so it is split off first."""
         bare = [w[:-1] if w[-1] in ".," and w[:-1].isalnum() else w for w in new]
         ask = list({w for w in bare if w not in self.memory} | {".", ","} - self.memory.keys())
-        found = dict(zip(ask, self._encode(ask), strict=True))
+        found = {w: self._alone(w) for w in ask}
+        rest = [w for w, ids in found.items() if ids is None]
+        found.update(zip(rest, self._encode(rest), strict=True))
         of = lambda w: found[w] if w in found else self.memory[w]
         return [of(b) if b is w else of(b) + of(w[-1]) for w, b in zip(new, bare, strict=True)]
 
