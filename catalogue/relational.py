@@ -14,7 +14,7 @@ from shelfscope.plans.inventory import active_entities, cross_platform_total, in
 from shelfscope.session import scratch_path
 from shelfscope.sources.readers import literal_column, scan, scan_csv
 from shelfscope.sources.workspace import Dimension, Log, Workspace
-from shelfscope.sources.writers import export_csv, export_pipe, materialize
+from shelfscope.sources.writers import dated_path, export_csv, export_pipe, materialize
 
 c = F.col
 
@@ -57,6 +57,27 @@ def materialize_stage(t):
     return materialize(pairs, scratch_path(t.spark, "stage"))
 
 
+@bind(
+    "materialize_overwrite",
+    "SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity >= 25",
+)
+def materialize_overwrite(t):
+    """A dataset of a period, written twice under its dated path; the second version is what stays."""
+    path = dated_path(scratch_path(t.spark, "period"), "2024-01-01", "2024-01-31")
+    materialize(t.lineitem.select("l_suppkey", "l_partkey").distinct(), path)
+    later = t.lineitem.filter(c("l_quantity") >= 25).select("l_suppkey", "l_partkey").distinct()
+    return materialize(later, path, mode="overwrite")
+
+
+@bind("csv_single_file", "SELECT c_mktsegment, count(*) AS n_customers FROM customer GROUP BY 1")
+def csv_single_file(t):
+    """A report in one file with a header, read back with types."""
+    path = scratch_path(t.spark, "report")
+    report = t.customer.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_customers"))
+    export_csv(report, path, single_file=True)
+    return scan_csv(t.spark, path, report.schema)
+
+
 def workspace(t):
     return Workspace(
         logs={

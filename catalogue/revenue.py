@@ -11,6 +11,9 @@ from shelfscope.operators.ordered import pick_one_per_key
 from shelfscope.plans import attribution as A
 from shelfscope.plans import exposure as E
 from shelfscope.plans import impact as I
+from shelfscope.session import scratch_path
+from shelfscope.sources.readers import scan_csv
+from shelfscope.sources.workspace import Log, Workspace
 
 c = F.col
 
@@ -25,8 +28,13 @@ c = F.col
     WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO')""",
 )
 def attribution_backfill(t):
+    allowed = A.padded_allow_list(t.part.filter(c("p_type") == "PROMO"), "p_partkey")
+    return A.attribution_backfill(_dated_transactions(t), t.household, allowed)
+
+
+def _dated_transactions(t):
     joined = t.lineitem.join(t.orders, c("l_orderkey") == c("o_orderkey"))
-    transactions = joined.select(
+    return joined.select(
         c("o_custkey").alias("household_id"),
         F.lpad(c("l_partkey").cast("string"), 13, "0").alias("upc"),
         (c("l_extendedprice") * (1 - c("l_discount"))).alias("net_spend"),
@@ -35,8 +43,25 @@ def attribution_backfill(t):
         c("l_quantity").cast("bigint").alias("units"),
         F.date_format("o_orderdate", "yyyyMMdd").cast("int").alias("trn_dt"),
     )
+
+
+@bind(
+    "attribution_export",
+    f"""WITH {HOUSEHOLD} SELECT lpad(CAST(l_partkey AS VARCHAR), 13, '0') AS upc, l_extendedprice AS loyalty_amount,
+    CAST(l_quantity AS BIGINT) AS units, CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS trn_dt, hashed_id
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN household ON o_custkey = household_id
+    WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO') AND l_quantity > 5
+    AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-02-27' AND DATE '1996-06-14'""",
+)
+def attribution_export(t):
+    """From a campaign's period to the file that is delivered, and back."""
+    logs = Workspace(logs={"transactions": Log(_dated_transactions(t), "trn_dt")})
     allowed = A.padded_allow_list(t.part.filter(c("p_type") == "PROMO"), "p_partkey")
-    return A.attribution_backfill(transactions, t.household, allowed)
+    path = scratch_path(t.spark, "attribution")
+    exported = A.attribution_export(
+        logs, "1996-03-01", "1996-05-31", t.household, allowed, path, rules={"bulk": c("units") > 5}
+    )
+    return scan_csv(t.spark, path, exported.schema, header=False, sep="|")
 
 
 # --- exposed revenue

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.functions.columns import pad_code, sheet_safe
 from shelfscope.operators.relational import broadcast_join
 from shelfscope.sources.workspace import Workspace
+from shelfscope.sources.writers import export_pipe
+
+# Days before a campaign that an exposure may count, and after it that a purchase may.
+EXPOSURE_DAYS, CONVERSION_DAYS = 3, 14
 
 
 def padded_allow_list(products: DataFrame, code: str) -> DataFrame:
@@ -38,6 +43,27 @@ def attribution_backfill(
     return kept.join(hashed_ids, household).drop(household, *drop)
 
 
+def attribution_export(
+    workspace: Workspace,
+    start: str | date,
+    end: str | date,
+    households: DataFrame,
+    allow_list: DataFrame,
+    path: str,
+    rules: dict[str, Column] | Sequence[Column] = (),
+    log: str = "transactions",
+) -> DataFrame:
+    """Export the transactions that a campaign from ``start`` to ``end`` may have caused, pipe-delimited, and return them.
+
+    The period begins with the earliest exposure before the campaign and ends with the latest conversion after it.
+    """
+    first, last = (datetime.strptime(str(d)[:10], "%Y-%m-%d").date() for d in (start, end))
+    dated = workspace.transactions(first - timedelta(days=EXPOSURE_DAYS), last + timedelta(days=CONVERSION_DAYS), rules=rules, log=log)
+    rows = attribution_backfill(dated, households, allow_list)
+    export_pipe(rows, path)
+    return rows
+
+
 def product_list_by_brand(
     products: DataFrame, brands: Sequence[str], upc: str = "upc", description: str = "description", brand: str = "brand"
 ) -> DataFrame:
