@@ -3,7 +3,8 @@
 Each notice is a template with a mandatory phrase. The words of all templates are counted over all documents; each template
 is indexed by the rarest words of its phrase, with their places. A file's occurrences of indexed words name a template and the place
 where it would begin; where all rare words of a template agree on that place, the phrase is verified word by word, and
-the share of the template's words that stand at their places, weighted by rarity, is the score.
+the share of the template's words that stand at their places, weighted by rarity, is the score. Base phrases are found in the
+same way, by the rarest of their own words.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def word_frequencies(rows: DataFrame, names: list[str]) -> tuple[dict[str, int],
 
 
 class Index:
-    """Postings of the rarest words of each template's phrase, and rarities for the score."""
+    """Postings of the rarest words of each template's phrase and of each base phrase, and rarities for the score."""
 
     def __init__(self, frequency: dict[str, int], n: int, templates: tuple[Template, ...] = TEMPLATES):
         self.templates, self.known = templates, Vocabulary(sorted(frequency))
@@ -120,9 +121,13 @@ class Index:
             phrase = [number[w] for w in t.phrase.split()]
             at = next(i for i in range(len(template)) if template[i : i + len(phrase)].tolist() == phrase)
             self.phrases.append((at, phrase))
-            rarest = sorted(range(len(phrase)), key=lambda j: (-self.idf[phrase[j]], j))[:ANCHORS]
-            self.anchors.append([(phrase[j], at + j) for j in rarest])
-        self.base = [([number[w] for w in p.split()], label) for p, label in BASE_PHRASES.items()]
+            self.anchors.append([(w, at + j) for w, j in self._rarest(phrase)])
+        base = [([number[w] for w in p.split()], label) for p, label in BASE_PHRASES.items()]
+        self.base = [(phrase, self._rarest(phrase), label) for phrase, label in base]
+
+    def _rarest(self, phrase: list[int]) -> list[tuple[int, int]]:
+        """The rarest words of a phrase and their places in it, the rarest first."""
+        return [(phrase[j], j) for j in sorted(range(len(phrase)), key=lambda j: (-self.idf[phrase[j]], j))[:ANCHORS]]
 
     def scan(self, data: np.ndarray, found: Words):
         """For each text: places of base phrases, their labels, all labels, score."""
@@ -147,17 +152,22 @@ class Index:
             text = lambda p: bytes(data[found.start[p] : found.end[p]]).lower().decode()
             return [(r, p) for r, p in zip(row.tolist(), first.tolist(), strict=True) if all(text(p + j) == self.known.names[w] for j, w in enumerate(phrase))]
 
-        for phrase, label in self.base:
-            for r, p in standing(of.get(phrase[0], empty), phrase):
-                starts[r].append(p - int(found.offsets[r]))
-                base[r].add(label)
-                labels[r].add(label)
-        for t, template, anchors, (at, phrase) in zip(self.templates, self.words, self.anchors, self.phrases, strict=True):
+        def agreed(anchors: list[tuple[int, int]]) -> np.ndarray:
+            """Places where a text would begin whose ``anchors`` all stand: their postings, shifted by their places and intersected."""
             begins = None
             for w, where in anchors:
                 own = of.get(w, empty) - where
                 begins = own if begins is None else begins[np.isin(begins, own, assume_unique=True)]
-            begins = begins + at
+            return begins
+
+        for phrase, anchors, label in self.base:
+            begins = agreed(anchors)
+            for r, p in standing(begins[begins >= 0], phrase):
+                starts[r].append(p - int(found.offsets[r]))
+                base[r].add(label)
+                labels[r].add(label)
+        for t, template, anchors, (at, phrase) in zip(self.templates, self.words, self.anchors, self.phrases, strict=True):
+            begins = agreed(anchors) + at
             for r, p in standing(begins[begins >= 0], phrase):
                 labels[r].add(t.label)
                 places = p - at + np.arange(len(template))

@@ -1,6 +1,10 @@
+import numpy as np
+import pyarrow as pa
 from conftest import words
 
-from shelfscope.llm.license_scan import BASE_PHRASES, TEMPLATES, license_labels
+from shelfscope.llm.license_scan import BASE_PHRASES, TEMPLATES, Index, license_labels, vocabulary
+from shelfscope.llm.ragged import alphanumeric, text_bytes
+from shelfscope.llm.ragged import words as ragged_words
 
 
 def base(text):
@@ -33,3 +37,14 @@ def test_matches_plain_search(corpus_session, odd_documents, prose):
     score = {r["__id"]: r["score"] for r in got}
     assert all(abs(score[300 + i] - 1) < 1e-9 for i in range(len(TEMPLATES))) and 0 < score[407] < 1 and score[401] == 0
     assert license_labels(docs.limit(0)).collect() == []
+
+
+def test_base_phrases_are_found_by_their_rarest_words():
+    common = {"all": 900, "general": 800, "license": 700, "cc": 500, "reserved": 20, "rights": 30, "public": 40, "by": 600}
+    index = Index({w: common.get(w, 1) for w in vocabulary()}, 1000)
+    name = index.known.names
+    got = {label: [(name[w], at) for w, at in anchors] for _, anchors, label in index.base}
+    assert got == {"cc-by": [("cc", 0), ("by", 1)], "gpl": [("public", 1), ("license", 2)], "reserved": [("reserved", 2), ("rights", 1)]}
+    data, offsets = text_bytes(pa.array(["all " * 50 + "rights all reserved", "reserved all rights reserved", "public license", "x general public license cc by"]))
+    starts, base, _, _ = index.scan(np.array(data), ragged_words(data, offsets, alphanumeric()))
+    assert starts == [[], [1], [], [4, 1]] and base == [set(), {"reserved"}, set(), {"cc-by", "gpl"}]
