@@ -8,10 +8,11 @@ how often a language declares itself as which gives the likelihood of the declar
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,10 @@ from shelfscope.llm.ragged import BLOCK, slices, text_bytes
 
 # Rows of each language that the text model is fitted on, about: chosen by a hash of the text, the same at any order.
 SAMPLE_PER_LANGUAGE = 2000
-MOST_LANGUAGES = 64
+# Languages whose slots a task spreads out at once; all languages are scored, one block of them after the other.
+BLOCK_LANGUAGES = 64
+# Numbers of (row, language) that a task holds at once.
+MOST_NUMBERS = 1 << 20
 SLOTS = 1 << 15
 # Neighbouring trigrams tell much the same; each counts for this part of its log likelihood.
 TEMPERATURE = 0.3
@@ -56,56 +60,118 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return slot[inside], np.searchsorted(place[inside], offsets)
 
 
-def _fit(sample: DataFrame, languages: list[str]) -> np.ndarray:
-    """Log probability of each trigram slot in each language; the last line is no language, all slots alike."""
+@dataclass(frozen=True)
+class Model:
+    """Log probability of trigram slots by language: only the slots that a language has, and one value for all its others."""
+
+    first: np.ndarray
+    slot: np.ndarray
+    log: np.ndarray
+    unseen: np.ndarray
+
+    def block(self, at: int) -> np.ndarray:
+        """One line of all slots for each language from ``at`` on, at most a block of them."""
+        stop = min(at + BLOCK_LANGUAGES, len(self.unseen))
+        out = np.repeat(self.unseen[at:stop, None], SLOTS, axis=1)
+        entries = slice(self.first[at], self.first[stop])
+        out[np.repeat(np.arange(stop - at), np.diff(self.first[at : stop + 1])), self.slot[entries]] = self.log[entries]
+        return out
+
+
+def _fit(sample: DataFrame, languages: list[str]) -> Model:
+    """The text model, from the trigrams of the sample; each slot counts a tenth more than it was seen."""
     index = {name: i for i, name in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]):
-        total = np.zeros((len(languages), SLOTS), np.int64)
         for batch in batches:
             for part in slices(batch, "__text"):
                 slot, first = trigrams(*text_bytes(part.column("__text")))
-                language = np.array([index[x] for x in part.column("declared").to_pylist()])
-                owner = np.repeat(language, np.diff(first))
-                total += np.bincount(owner * SLOTS + slot, minlength=total.size).reshape(total.shape)
-        line, slot = np.nonzero(total)
-        yield pa.record_batch({"line": pa.array(line, pa.int64()), "slot": pa.array(slot, pa.int64()), "n": pa.array(total[line, slot], pa.int64())})
+                language = np.array([index[x] for x in part.column("declared").to_pylist()], np.int64)
+                key, n = np.unique(np.repeat(language, np.diff(first)) * SLOTS + slot, return_counts=True)
+                yield pa.record_batch({"line": pa.array(key // SLOTS, pa.int64()), "slot": pa.array(key % SLOTS, pa.int64()), "n": pa.array(n, pa.int64())})
 
     counted = sample.select("__text", "declared").mapInArrow(run, "line long, slot long, n long").groupBy("line", "slot").agg(F.sum("n").alias("n")).toPandas()
-    total = np.full((len(languages), SLOTS), 0.1)
-    total[counted["line"], counted["slot"]] += counted["n"]
-    logs = np.log(total / total.sum(1, keepdims=True))
-    return np.vstack([logs, np.full(SLOTS, -np.log(SLOTS))]).astype(np.float32)
+    line, slot, n = (counted[c].to_numpy(np.int64) for c in ("line", "slot", "n"))
+    order = np.lexsort((slot, line))
+    line, slot, n = line[order], slot[order], n[order]
+    total = np.bincount(line, n, len(languages)) + 0.1 * SLOTS
+    return Model(np.searchsorted(line, np.arange(len(languages) + 1)), slot.astype(np.uint16), np.log((n + 0.1) / total[line]).astype(np.float32), np.log(0.1 / total).astype(np.float32))
 
 
-def _score(rows: DataFrame, logs: np.ndarray) -> DataFrame:
-    """For each row the log likelihood of its text in each language, and the number of trigrams."""
+def _score(rows: DataFrame, model: Model) -> DataFrame:
+    """For each row the log likelihood of its text in each language and at last in none (all slots alike), the number of
+    trigrams, and the number of the likeliest language: the first of equal ones, null for none."""
+    n_lines = len(model.unseen)
 
     def run(batches: Iterator[pa.RecordBatch]):
+        held = (0, model.block(0))
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", rows=max(1, min(2000, MOST_NUMBERS // (n_lines + 1)))):
                 slot, first = trigrams(*text_bytes(part.column("__text")))
-                total = np.zeros((part.num_rows, len(logs)))
-                for line, table in enumerate(logs):
-                    summed = np.append(0.0, np.cumsum(table[slot], dtype=np.float64))
-                    total[:, line] = summed[first[1:]] - summed[first[:-1]]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * len(logs), pa.int32()), pa.array(total.reshape(-1)))
+                n_grams = np.diff(first)
+                total = np.zeros((part.num_rows, n_lines + 1))
+                for at in range(0, n_lines, BLOCK_LANGUAGES):
+                    held = held if held[0] == at else (at, model.block(at))
+                    for line, table in enumerate(held[1], at):
+                        summed = np.append(0.0, np.cumsum(table[slot], dtype=np.float64))
+                        total[:, line] = summed[first[1:]] - summed[first[:-1]]
+                total[:, -1] = -np.log(SLOTS) * n_grams
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * (n_lines + 1), pa.int32()), pa.array(total.reshape(-1)))
+                best = total.argmax(1)
                 kept = {c: part.column(c) for c in ("__id", "declared", "suffix", "host")}
-                yield pa.record_batch({**kept, "likelihood": lists, "n_grams": pa.array(np.diff(first), pa.int64())})
+                yield pa.record_batch({**kept, "likelihood": lists, "n_grams": pa.array(n_grams, pa.int64()), "line": pa.array(best, pa.int64(), mask=(n_grams == 0) | (best == n_lines))})
 
     kind = rows.schema["__id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"__id {kind}, declared string, suffix string, host string, likelihood array<double>, n_grams long")
+    return rows.mapInArrow(run, f"__id {kind}, declared string, suffix string, host string, likelihood array<double>, n_grams long, line long")
 
 
-def _argmax(values: list[Column], names: list[str]) -> Column:
-    """Name of the largest value; the first of equal ones."""
-    best = F.greatest(*values) if len(values) > 1 else values[0]
-    return reduce(lambda rest, v: F.when(v[0] == best, v[1]).otherwise(rest), list(zip(values, names, strict=True))[::-1], F.lit(None).cast("string"))
+def _counts(scored: DataFrame, keys: dict[str, str], name: str) -> DataFrame:
+    """Decisions of the text model per key: a list of the languages that occur with it, each with its number of texts."""
+    counted = scored.filter("line IS NOT NULL").groupBy(*keys, "line").agg(F.count(F.lit(1)).alias("n"))
+    grouped = counted.groupBy(*keys).agg(F.collect_list(F.struct("line", "n")).alias(name)).withColumnsRenamed(keys)
+    return stage(grouped, name)
 
 
-def _counts(scored: DataFrame, keys: list[str], languages: list[str]) -> DataFrame:
-    """Decisions of the text model per key, as one number for each language."""
-    return scored.filter("text_lang IS NOT NULL").groupBy(*keys).agg(F.array(*[F.count_if(F.col("text_lang") == x) for x in languages]).alias("n"))
+def _small(counts: DataFrame, name: str) -> DataFrame:
+    return hinted(counts, 50, counts.agg(F.sum(F.size(name) + 4)).head()[0] or 0)
+
+
+def _fuse(joined: DataFrame, languages: list[str], total: np.ndarray) -> DataFrame:
+    """For each row the likeliest language by all evidence, its posterior, and the language by text alone."""
+    n_lines, names = len(languages), pa.array([*languages, None], pa.string())
+    p_all = total / total.sum()
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        step = max(1, MOST_NUMBERS // (n_lines + 1))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+
+                def dense(name: str, part: pa.RecordBatch = part) -> np.ndarray:
+                    column, out = part.column(name), np.zeros((part.num_rows, n_lines))
+                    flat = pc.list_flatten(column)
+                    out[pc.list_parent_indices(column).to_numpy(), flat.field("line").to_numpy()] = flat.field("n").to_numpy()
+                    return out
+
+                smooth = lambda n, parent, strength: (n + strength * parent) / (n.sum(1, keepdims=True) + strength)
+                prior = smooth(dense("by_host"), smooth(dense("by_suffix"), p_all, SUFFIX_STRENGTH), HOST_STRENGTH)
+                said = dense("by_declared")
+                n_said = said.sum(1, keepdims=True)
+                rate = (said + DECLARED_STRENGTH * n_said / total.sum()) / (total + DECLARED_STRENGTH)
+                fused = TEMPERATURE * pc.list_flatten(part.column("likelihood")).to_numpy().reshape(part.num_rows, n_lines + 1)
+                fused[:, :-1] += np.log(prior) + np.log(np.where(n_said > 0, rate, 1.0))
+                fused[:, -1] += np.log(NO_LANGUAGE)
+                some = part.column("n_grams").to_numpy() > 0
+                best = np.where(some, fused.argmax(1), n_lines)
+                weight = 1 / np.exp(fused - fused.max(1, keepdims=True)).sum(1)
+                yield pa.record_batch({
+                    "__id": part.column("__id"), "language": names.take(pa.array(best)), "posterior": pa.array(np.where(some, weight, 0.0)),
+                    "text_language": names.take(part.column("line").fill_null(n_lines)),
+                })
+
+    kind = joined.schema["__id"].dataType.simpleString()
+    kept = joined.select("__id", "n_grams", "line", "likelihood", "by_host", "by_suffix", "by_declared")
+    return kept.mapInArrow(run, f"__id {kind}, language string, posterior double, text_language string")
 
 
 def identify(
@@ -114,8 +180,8 @@ def identify(
 ) -> DataFrame:
     """One row for each row of ``docs``: ``__id``, ``language``, ``posterior``, ``text_language``, ``accepted``.
 
-    ``declared``, ``host`` and ``suffix`` are expressions over ``docs``; a null one says nothing. Languages are the
-    ``MOST_LANGUAGES`` most often declared. The text model is fitted on about ``sample`` distinct texts of each, everything
+    ``declared``, ``host`` and ``suffix`` are expressions over ``docs``; a null one says nothing. Every declared
+    value is a language, however many there are. The text model is fitted on about ``sample`` distinct texts of each, everything
     else is counted over all rows. Texts that are null, empty or without letters have no language and are not accepted, and neither are
     texts likelier in no language or without a language of at least ``least_posterior``. Of equal languages the first in
     the alphabet wins. Repeated rows are scored each; an empty table gives no rows; other columns are not read.
@@ -127,46 +193,23 @@ def identify(
         docs[id_column].alias("__id"), F.coalesce(content, F.lit("")).alias("__text"), F.when(name != "", name).alias("declared"),
         (none if suffix is None else suffix.cast("string")).alias("suffix"), host.cast("string").alias("host"),
     )
-    declared_as = rows.filter("declared IS NOT NULL").groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["declared"] for r in declared_as)
+    named = stage(rows.filter("declared IS NOT NULL").groupBy(F.col("declared").alias("said")).agg(F.count(F.lit(1)).alias("n_said")), "named")
+    languages = sorted(r["said"] for r in named.select("said").collect())
     if not languages:
         return rows.select("__id", none.alias("language"), F.lit(0.0).alias("posterior"), none.alias("text_language"), F.lit(False).alias("accepted"))
-    share = F.create_map(*[F.lit(x) for r in declared_as for x in (r["declared"], min(1.0, sample / r["n"]))])
-    picked = F.pmod(F.xxhash64("__text"), F.lit(1 << 30)) < F.element_at(share, F.col("declared")) * (1 << 30)
-    logs = _fit(rows.filter(F.col("declared").isin(languages) & picked).dropDuplicates(["declared", "__text"]), languages)
-
-    scored = _score(rows, logs)
-    by_text = [F.col("likelihood")[i] for i in range(len(languages) + 1)]
-    decided = F.when(F.col("n_grams") > 0, _argmax(by_text, [*languages, ""]))
-    scored = stage(scored.withColumn("text_lang", F.when(decided != "", decided)), "scored")
-
-    overall = _counts(scored.withColumn("all", F.lit(1)), ["all"], languages).head()
-    total = np.array(overall["n"], float) + 1 if overall else np.ones(len(languages))
-    p_all = (total / total.sum()).tolist()
-    smooth = lambda n, parent, strength: [(F.col(n)[i] + strength * parent[i]) / (sum(F.col(n)[j] for j in range(len(languages))) + strength) for i in range(len(languages))]
-    suffixes = _counts(scored.filter("suffix IS NOT NULL"), ["suffix"], languages).select(F.col("suffix").alias("s"), F.array(*smooth("n", [F.lit(p) for p in p_all], SUFFIX_STRENGTH)).alias("p_suffix"))
-    suffixes = stage(suffixes, "suffixes")
-    hosts = _counts(scored.filter("host IS NOT NULL"), ["host", "suffix"], languages).withColumnsRenamed({"host": "h", "suffix": "hs"})
-    hosts = hosts.join(hinted(suffixes, 700), F.col("hs") == F.col("s"), "left")
-    parent = F.coalesce("p_suffix", F.array(*[F.lit(p) for p in p_all]))
-    hosts = stage(hosts.select("h", "hs", F.array(*smooth("n", [parent[i] for i in range(len(languages))], HOST_STRENGTH)).alias("p_host")), "hosts")
-    known = _counts(scored.filter("declared IS NOT NULL"), ["declared"], languages)
-    n_declared = sum(F.col("n")[j] for j in range(len(languages)))
-    rate = [(F.col("n")[i] + DECLARED_STRENGTH * n_declared / F.lit(float(total.sum()))) / (float(total[i]) + DECLARED_STRENGTH) for i in range(len(languages))]
-    known = stage(known.select(F.col("declared").alias("d"), F.array(*rate).alias("p_declared")), "declared")
-
-    joined = scored.join(hinted(hosts, 700), (F.col("host") == F.col("h")) & F.col("suffix").eqNullSafe(F.col("hs")), "left")
-    joined = joined.join(hinted(suffixes, 700), F.col("suffix") == F.col("s"), "left").join(hinted(known, 700), F.col("declared") == F.col("d"), "left")
-    prior = F.coalesce("p_host", "p_suffix", F.array(*[F.lit(p) for p in p_all]))
-    logs_of = [TEMPERATURE * by_text[i] + F.log(prior[i]) + F.coalesce(F.log(F.col("p_declared")[i]), F.lit(0.0)) for i in range(len(languages))]
-    logs_of.append(TEMPERATURE * by_text[-1] + F.lit(float(np.log(NO_LANGUAGE))))
-    fused = joined.select("__id", "n_grams", "text_lang", F.array(*logs_of).alias("f"))
-    fused = fused.withColumn("top", F.array_max("f"))
-    parts = [F.col("f")[i] for i in range(len(languages) + 1)]
-    best = F.when(F.col("n_grams") > 0, _argmax(parts, [*languages, ""]))
-    weight = 1 / F.aggregate("f", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))
-    out = fused.select("__id", F.when(best != "", best).alias("language"), F.when(F.col("n_grams") > 0, weight).otherwise(0.0).alias("posterior"), F.col("text_lang").alias("text_language"))
-    return out.withColumn("accepted", F.col("language").isNotNull() & (F.col("posterior") >= least_posterior))
+    picked = F.pmod(F.xxhash64("__text"), F.lit(1 << 30)) < F.least(F.lit(1.0), sample / F.col("n_said")) * (1 << 30)
+    chosen = rows.join(hinted(named, 200), F.col("declared") == F.col("said")).filter(picked)
+    scored = stage(_score(rows, _fit(chosen.dropDuplicates(["declared", "__text"]), languages)), "scored")
+
+    total = np.ones(len(languages))
+    for r in scored.filter("line IS NOT NULL").groupBy("line").agg(F.count(F.lit(1)).alias("n")).collect():
+        total[r["line"]] += r["n"]
+    suffixes = _counts(scored.filter("suffix IS NOT NULL"), {"suffix": "s"}, "by_suffix")
+    hosts = _counts(scored.filter("host IS NOT NULL"), {"host": "h", "suffix": "hs"}, "by_host")
+    known = _counts(scored.filter("declared IS NOT NULL"), {"declared": "d"}, "by_declared")
+    joined = scored.join(_small(hosts, "by_host"), (F.col("host") == F.col("h")) & F.col("suffix").eqNullSafe(F.col("hs")), "left")
+    joined = joined.join(_small(suffixes, "by_suffix"), F.col("suffix") == F.col("s"), "left").join(_small(known, "by_declared"), F.col("declared") == F.col("d"), "left")
+    return _fuse(joined, languages, total).withColumn("accepted", F.col("language").isNotNull() & (F.col("posterior") >= least_posterior))
 
 
 def drop_rejected(docs: DataFrame, declared: Column, host: Column, suffix: Column | None = None, id_column: str = "doc_id") -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from shelfscope.llm.language_id import drop_rejected, identify
@@ -44,3 +46,13 @@ def test_odd_documents(odd_documents):
     assert identify(odd_documents.limit(0), odd_documents["lang"], odd_documents["source"]).collect() == []
     silent = odd_documents.withColumn("lang", F.lit(None).cast("string"))
     assert not any(r["accepted"] for r in identify(silent, silent["lang"], silent["source"]).collect())
+
+
+def test_every_declared_language_is_scored(corpus_session):
+    words = {f"l{i:03}": ["".join(random.Random(100 * i + k).choices("abcdefghijklmnopqrstuvwxyz", k=6)) for k in range(8)] for i in range(150)}
+    truth = [name for i, name in enumerate(words) for _ in range(4 if i < 70 else 3)]
+    rows = [(k, " ".join(random.Random(k).choices(words[name], k=40)), None if k % 3 == 2 else name, "h") for k, name in enumerate(truth)]
+    docs = corpus_session.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["__id"]: r for r in identify(docs, docs["lang"], docs["source"]).collect()}
+    assert [got[k]["language"] for k in range(len(truth))] == truth == [got[k]["text_language"] for k in range(len(truth))]
+    assert drop_rejected(docs, docs["lang"], docs["source"]).count() == len(truth)
