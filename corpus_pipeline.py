@@ -14,7 +14,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go; the source of a document takes the part of its host."""
+    """Documents without a language go; the source of a document takes the part of its host, and nothing that of its suffix."""
     begin(spark)
     return language_id.drop_rejected(docs, declared=docs["lang"], host=docs["source"])
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.llm.common import hinted, stage, without
+from shelfscope.llm.html_extract import parse
 from shelfscope.llm.ragged import BLOCK, slices, text_bytes
 
 # Rows of each language that the text model is fitted on, about: chosen by a hash of the text, the same at any order.
@@ -216,3 +217,37 @@ def drop_rejected(docs: DataFrame, declared: Column, host: Column, suffix: Colum
     """Rows of ``docs`` whose language is accepted, all columns unchanged; rows without an id stay."""
     found = identify(docs, declared, host, suffix, id_column)
     return without(docs, id_column, found.filter(~F.col("accepted")).select("__id"))
+
+
+def visible_text(html: str) -> str:
+    """Text of all elements of a page, the title too, without scripts, styles and comments; a blank where a line breaks."""
+    return "".join(" " if piece is None else piece for _, piece in parse(html).pieces)
+
+
+def page_evidence(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
+    """One row for each page: id, ``text`` (visible), ``declared``, ``host`` and ``suffix``, null where a page lacks them.
+
+    Declared is the language of the html element's lang attribute, without region or script. The suffix is the last part of
+    the host, if it begins with a letter: an address of numbers has none.
+    """
+    host = F.lower(F.regexp_extract(url_column, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    declared = F.regexp_extract(html_column, r"""(?i)<html(?:\s[^>]*?)?\slang\s*=\s*["']?\s*([a-z]+)""", 1)
+    rows = pages.select(pages[id_column], F.coalesce(html_column, F.lit("")).alias("__html"), declared.alias("declared"), host.alias("host"))
+    rows = rows.select(id_column, "__html", *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("declared", "host")])
+    suffix = F.regexp_extract("host", r"\.([a-z][^.]*)\.?$", 1)
+    rows = rows.withColumn("suffix", F.when(suffix != "", suffix))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for part in slices(batch, "__html"):
+                text = pa.array([visible_text(x) for x in part.column("__html").to_pylist()], pa.string())
+                yield pa.record_batch({id_column: part.column(id_column), "text": text, **{c: part.column(c) for c in ("declared", "host", "suffix")}})
+
+    kind = rows.schema[id_column].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{id_column}` {kind}, text string, declared string, host string, suffix string")
+
+
+def identify_pages(pages: DataFrame, id_column: str = "page_id") -> DataFrame:
+    """``identify`` for whole web pages, with the evidence of ``page_evidence``; pages are parsed once."""
+    read = stage(page_evidence(pages, id_column), "evidence")
+    return identify(read, read["declared"], read["host"], read["suffix"], id_column)

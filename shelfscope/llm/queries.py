@@ -12,10 +12,12 @@ from shelfscope.llm import chat_format, decontamination, exact_dedup, html_extra
 from shelfscope.llm.common import begin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+# Operators of documents that run on web pages too: their rows have a page_id.
+PAGE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def bind(name: str, sql: str | None = None):
+def bind(name: str, sql: str | None = None, into: dict[str, Callable[[SparkSession, str], DataFrame]] = QUERIES):  # noqa: B006
     """Register a function of (session, opener of tables) under a name, with its SQL counterpart."""
 
     def register(build):
@@ -23,7 +25,7 @@ def bind(name: str, sql: str | None = None):
             begin(spark)
             return build(lambda table: spark.read.parquet(f"{folder}/{table}.parquet"))
 
-        QUERIES[name] = run
+        into[name] = run
         if sql is not None:
             SQL[name] = sql
         return build
@@ -149,6 +151,11 @@ def op9(table):
     return language_id.identify(docs, declared=docs["lang"], host=docs["source"]).withColumnRenamed("__id", "doc_id")
 
 
+@bind("op9_language_id_pages", into=PAGE_QUERIES)
+def op9_pages(table):
+    return language_id.identify_pages(table("pages")).withColumnRenamed("__id", "page_id")
+
+
 @bind("op10_license_scan")
 def op10(table):
     return license_scan.license_labels(table("documents")).withColumnRenamed("__id", "doc_id")

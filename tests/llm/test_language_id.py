@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from shelfscope.llm.language_id import drop_rejected, identify
+import __spark_entry__ as contract
+from shelfscope.llm.language_id import drop_rejected, identify, identify_pages, page_evidence
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -56,3 +57,30 @@ def test_every_declared_language_is_scored(corpus_session):
     got = {r["__id"]: r for r in identify(docs, docs["lang"], docs["source"]).collect()}
     assert [got[k]["language"] for k in range(len(truth))] == truth == [got[k]["text_language"] for k in range(len(truth))]
     assert drop_rejected(docs, docs["lang"], docs["source"]).count() == len(truth)
+
+
+def test_registered_query_scores_all_pages(corpus_session):
+    pages = corpus_session.read.parquet(f"{FOLDER}/pages.parquet")
+    found = contract.queries()["op9_language_id_pages"](corpus_session, FOLDER)
+    path = F.regexp_extract("url", r"//[^/]+/([a-z]{2})/", 1)
+    right, all_, ids = found.join(pages, "page_id").agg(F.count_if(F.col("language") == path), F.count(F.lit(1)), F.count_distinct("page_id")).head()
+    assert right >= 0.97 * all_ and ids == all_ == pages.count()
+
+
+def test_suffix_settles_what_text_and_host_leave_open(corpus_session):
+    rows = [(i, f"http://{suffix}{i % 3}.example.{suffix}/p", f'<html lang="{lang}"><p>{text} {i}</p></html>') for lang, text, suffix in (("aa", "baba dada gaga", "ax"), ("bb", "bobo dodo gogo", "bx")) for i in range(60)]
+    rows = [(k, *r[1:]) for k, r in enumerate(rows)] + [(900, "http://new.ax", "<p>mmm mmm</p>"), (901, "http://new.bx:80/?q", "<p>mmm mmm</p>"), (902, None, None)]
+    pages = corpus_session.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["__id"]: r for r in identify_pages(pages).collect()}
+    assert len(got) == len(rows) and got[900]["language"] == "aa" and got[901]["language"] == "bb" and got[902]["language"] is None
+    assert got[900]["posterior"] > 0.6 and got[901]["posterior"] > 0.6
+
+
+def test_evidence_of_pages(corpus_session):
+    rows = [
+        (1, "https://u:p@Www.Example.CO.uk:8080/x?y#z", "<!DOCTYPE html><HTML class=\"a\" LANG='pt-BR'><title>T</title><script>no</script><p>a&eacute;<b>b</b></p><!-- no -->c"),
+        (2, "http://10.0.0.1/", '<html xml:lang="de"><body data-lang="fr">x'), (3, None, None), (4, "not an address |", ""),
+    ]
+    pages = corpus_session.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (" ".join(r["text"].split()), r["declared"], r["host"], r["suffix"]) for r in page_evidence(pages).collect()}
+    assert got == {1: ("T aéb c", "pt", "www.example.co.uk", "uk"), 2: ("x", None, "10.0.0.1", None), 3: ("", None, None, None), 4: ("", None, None, None)}
