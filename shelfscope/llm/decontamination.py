@@ -99,15 +99,15 @@ def _covered(places: Column) -> Column:
 def _prints(rows: DataFrame, gram: int, span: int) -> DataFrame:
     """Number of words and fingerprint of each document.
 
-    Folding all letters finds all pairs that are equal with A-Z folded, and more; it only serves to find candidates.
+    Only A-Z are folded, as in the benchmark's windows: how other letters fold may depend on what stands beside them.
     """
-    found = let(split_words(F.lower("__text")), lambda ws: F.struct(F.size(ws).alias("n_words"), winnowed(ws, gram, span).alias("prints")))
+    found = let(split_words(ascii_lower(F.col("__text"))), lambda ws: F.struct(F.size(ws).alias("n_words"), winnowed(ws, gram, span).alias("prints")))
     return rows.select("__id", "text_hash", found.alias("f")).select("__id", "text_hash", F.col("f.n_words").cast("long").alias("n_words"), F.col("f.prints").alias("prints"))
 
 
 def _occurring(rows: DataFrame, prints: DataFrame, windows: DataFrame, lengths: list[int], gram: int, span: int) -> DataFrame:
     """(__id, text_hash, start, m, words) of every occurrence of a benchmark window in a document."""
-    kept = windows.select(F.explode(winnowed(F.split(F.lower("words"), " "), gram, span)).alias("print")).distinct()
+    kept = windows.select(F.explode(winnowed(F.split("words", " "), gram, span)).alias("print")).distinct()
     kept = stage(kept, "benchmark")
     candidates = prints.select("__id", "text_hash", F.explode("prints").alias("print")).join(hinted(kept, 32), "print")
     candidates = candidates.groupBy("__id", "text_hash").agg(F.collect_set("print").alias("hits"))
@@ -115,9 +115,9 @@ def _occurring(rows: DataFrame, prints: DataFrame, windows: DataFrame, lengths:
 
     same = F.col("__id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
     hit = rows.join(hinted(candidates, 400), same).select("__id", "text_hash", "__text", "hits")
-    grams = gram_hashes(split_words(F.lower("__text")), gram)
-    near = let(grams, lambda g: F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda p: F.array_contains(F.col("hits"), F.get(g, p))))
-    hit = hit.select("__id", "text_hash", near.alias("near"), split_words(ascii_lower(F.col("__text"))).alias("ws"))
+    hit = hit.select("__id", "text_hash", "hits", split_words(ascii_lower(F.col("__text"))).alias("ws"))
+    near = let(gram_hashes(F.col("ws"), gram), lambda g: F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda p: F.array_contains(F.col("hits"), F.get(g, p))))
+    hit = hit.select("__id", "text_hash", near.alias("near"), "ws")
     places = hit.select("__id", "text_hash", "ws", _windows_around(F.col("near"), lengths, gram, F.size("ws")).alias("places"))
     text = lambda ws: lambda x: F.struct(x["start"].alias("start"), x["m"].alias("m"), F.array_join(F.slice(ws, x["start"] + 1, x["m"]), " ").alias("words"))
     tried = places.select("__id", "text_hash", F.explode(let(F.col("ws"), lambda ws: F.transform("places", text(ws)))).alias("x")).select("__id", "text_hash", "x.*")

@@ -47,3 +47,10 @@ def test_empty_tables(corpus_session, odd_documents):
     benchmark = corpus_session.createDataFrame([], "item_id long, text string")
     assert not any(r["contaminated"] for r in contamination(odd_documents, benchmark).collect())
     assert contamination(odd_documents.limit(0), benchmark).collect() == []
+
+
+def test_letters_that_fold_by_their_neighbours(corpus_session):
+    items = [(i, " ".join(f"ΛΟΓΟΣ{c}" if k % 2 else f"{c}ΑΛΦΑΣ" for k, c in enumerate(f"{i:02}" * 7))[:-1]) for i in range(20)]
+    docs = [(i, text.replace(" ", ".")) for i, text in items] + [(100 + i, text.replace(" ", "'")) for i, text in items]
+    got = contamination(corpus_session.createDataFrame(docs, "doc_id long, text string"), corpus_session.createDataFrame(items, "item_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_force(docs, items)
