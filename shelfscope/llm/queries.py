@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import chat_format, decontamination, exact_dedup, html_extract, language_id, license_scan, near_dedup, packing, substring_dedup, token_counts
+from shelfscope.llm import (
+    chat_format,
+    decontamination,
+    exact_dedup,
+    filter_audit,
+    hard_negatives,
+    html_extract,
+    language_id,
+    license_scan,
+    near_dedup,
+    packing,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 from shelfscope.llm.common import begin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +173,66 @@ def op9_pages(table):
 @bind("op10_license_scan")
 def op10(table):
     return license_scan.license_labels(table("documents")).withColumnRenamed("__id", "doc_id")
+
+
+@bind("op11_toxicity")
+def op11(table):
+    return toxicity.toxicity(table("documents"), table("labels")).withColumnRenamed("__id", "doc_id")
+
+
+@bind(
+    "op12_filter_audit",
+    r"""
+    WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
+    l AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+    f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                 CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END
+                 + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+                 + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN first_id < doc_id THEN 16 ELSE 0 END AS mask
+          FROM w LEFT JOIN l USING (doc_id)),
+    cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+    orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+    steps AS (SELECT filter_order, step, substring(filter_order, step, 1) AS letter, 1 << (ascii(substring(filter_order, step, 1)) - 65) AS bit,
+                     CAST(list_sum([1 << (ascii(z) - 65) for z in string_split(filter_order[1:step - 1], '') if z <> '']) AS INTEGER) AS before
+              FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+    summed AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, letter,
+                      sum(CASE WHEN mask & (bit | coalesce(before, 0)) = 0 THEN n ELSE 0 END) AS kept,
+                      sum(CASE WHEN mask & coalesce(before, 0) = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+                      sum(CASE WHEN mask & coalesce(before, 0) > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant,
+                      sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                      sum(CASE WHEN mask & coalesce(before, 0) = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost,
+                      sum(CASE WHEN mask & coalesce(before, 0) = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+               FROM cells, steps GROUP BY ALL)
+    SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+           CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM summed
+    """,
+)
+def op12(table):
+    return filter_audit.filter_interactions(table("documents"), table("labels"))
+
+
+@bind(
+    "op13_hard_negatives",
+    """
+    WITH e AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+                      [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
+               WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+               AND list_bool_and([x IS NOT NULL AND isfinite(x) for x in embedding]) IS NOT false),
+    s AS (SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+          FROM (SELECT DISTINCT * FROM e WHERE vec_id % 50 = 0) a JOIN e c ON a.vec_id <> c.vec_id),
+    p AS (SELECT a, c AS p, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, c) <= 5)
+    SELECT a AS anchor_id, p AS positive_id, CAST(row_number() OVER (PARTITION BY a, p ORDER BY score DESC, c) AS INTEGER) AS rank, c AS negative_id,
+           ps AS positive_score, score AS negative_score
+    FROM p JOIN s USING (a) WHERE NOT same AND 50 * ps <= 100 * score AND 100 * score <= 95 * ps
+    QUALIFY row_number() OVER (PARTITION BY a, p ORDER BY score DESC, c) <= 3
+    """,
+)
+def op13(table):
+    rows, label = table("embeddings"), F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(
+        rows.select(F.col("vec_id").alias("id"), moved.alias("label"), F.col("embedding").alias("vector")), F.col("id") % 50 == 0
+    )
