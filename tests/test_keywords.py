@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfscope.operators import ordered as O
+from shelfscope.operators import nearest
 from shelfscope.operators.nearest import similar_topk
 from shelfscope.plans import keywords as K
 from shelfscope.plans import language as L
@@ -137,3 +138,49 @@ def test_few_queries_move_no_vector(spark):
     plan = similar_topk(df, "id", "v", 3)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
     assert not any("vector" in line for line in plan.splitlines() if "Exchange" in line)
+
+
+def near_pairs(spark, vectors, **settings):
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id bigint, v array<double>").repartition(3)
+    return similar_topk(df, "id", "v", 5, scan_bytes=0, **settings)
+
+
+@pytest.mark.parametrize("hot", [0, 300])
+def test_groups_of_leaves_and_leaves_over_groups(spark, monkeypatch, hot):
+    """Groups of two blocks: small leaves share one, a leaf of copies takes many."""
+    monkeypatch.setattr(nearest, "GROUP_BYTES", 8 * 4 * 20)
+    monkeypatch.setattr(nearest, "QUERY_BYTES", 8 * 4 * 30)
+    rng = np.random.default_rng(8)
+    vectors = [*rng.normal(size=(260, 4)), *np.tile(rng.normal(size=4), (hot, 1))]
+    got = {(r.key, r.match, r.place) for r in near_pairs(spark, vectors, block_rows=10).collect()}
+    assert got == brute_force(list(range(len(vectors))), vectors, 5, range(len(vectors)))
+
+
+def test_queries_travel_once_to_a_group(spark, monkeypatch):
+    """Vectors of queries leave their block once for each visited group, however many blocks of keys it holds."""
+    sent = []
+    cut = nearest.cut_lineage
+    monkeypatch.setattr(nearest, "cut_lineage", lambda df: sent.append(cut(df)) or sent[-1])
+    monkeypatch.setattr(nearest, "GROUP_BYTES", 8 * 4 * 100)
+    rng = np.random.default_rng(9)
+    found = near_pairs(spark, rng.normal(size=(400, 4)), block_rows=10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "SortMergeJoin" not in plan and "Cartesian" not in plan
+    _, blocks, routed = sent
+    groups = blocks.select("group").distinct().count()
+    assert blocks.count() > groups > 8
+    assert routed.count() <= blocks.count() * groups
+    copies = routed.select(F.explode("q_keys").alias("k"), "group").groupBy("k", "group").count().agg(F.max("count")).first()[0]
+    assert copies == 1
+
+
+def test_two_levels_of_pivots():
+    rng = np.random.default_rng(10)
+    units = rng.normal(size=(500, 6))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    tree = nearest._Tree.of(units[:100])
+    head, head_gap, leaf, gap = tree.locate(units)
+    assert len(tree.heads) == 10 and len(tree.pivots) == 100 and (np.diff(tree.first) > 0).all()
+    assert ((leaf >= tree.first[head]) & (leaf < tree.first[head + 1])).all()
+    assert np.allclose(gap, np.linalg.norm(units - tree.pivots[leaf], axis=1), atol=1e-6)
+    assert np.allclose(head_gap, np.linalg.norm(units - tree.heads[head], axis=1), atol=1e-6)
