@@ -265,3 +265,39 @@ def kendall_tau_blocks(t):
 def kendall_tau(t):
     scores = E.kendall_tau(t.ranked, "rid", "champ", "chal", tie_free=True)
     return scores.withColumns({"tau": F.round("tau", 9), "p_value": F.round("p_value", 9)})
+
+
+# The normal approximation: p = erfc(|balance| / sqrt(2 * spread)), with erf as its series of positive terms.
+_ERFC = """1 - 2 / sqrt(pi()) * exp(-h * h) * list_sum([exp((2 * k + 1) * ln(h) + 2 * k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2))
+    for k in range(0, 400)])"""
+
+
+def _normal_tau(x, y):
+    """Tau-b and its normal p-value of two expressions over the ranks, by comparing all pairs."""
+    ties = lambda v, prefix: f"""(SELECT rid, sum(t * (t - 1) // 2) AS t{prefix}, sum(t * (t - 1) * (t - 2)) AS {prefix}0,
+      sum(t * (t - 1) * (2 * t + 5)) AS {prefix}1 FROM (SELECT rid, count(*) AS t FROM r GROUP BY rid, {v}) GROUP BY rid)"""
+    return f"""WITH {RANKED}, r AS (SELECT rid, champ, {x} AS x, {y} AS y FROM ranked),
+  pairs AS (SELECT a.rid, count(*) FILTER (a.x < b.x AND a.y > b.y) AS discordant, count(*) FILTER (a.x < b.x AND a.y < b.y) AS concordant
+    FROM r a JOIN r b ON a.rid = b.rid AND a.champ <> b.champ GROUP BY a.rid),
+  sized AS (SELECT *, n * (n - 1) // 2 AS m FROM (SELECT rid, count(*) AS n FROM r GROUP BY rid) LEFT JOIN pairs USING (rid)
+    JOIN {ties("x", "x")} USING (rid) JOIN {ties("y", "y")} USING (rid)),
+  scaled AS (SELECT *, CASE WHEN m > tx AND m > ty THEN CAST(concordant - discordant AS DOUBLE) END AS balance,
+    (n * (n - 1) * (2 * n + 5) - x1 - y1) / 18.0::DOUBLE + 2.0::DOUBLE * tx * ty / nullif(n * (n - 1), 0)
+      + CASE WHEN n > 2 THEN x0 * y0 / (9.0::DOUBLE * n * (n - 1) * (n - 2)) ELSE 0 END AS spread FROM sized),
+  placed AS (SELECT *, abs(balance) / sqrt(2 * spread) AS h FROM scaled)
+  SELECT rid, n, coalesce(discordant, 0) AS discordant, round(balance / sqrt(CAST(m - tx AS DOUBLE) * CAST(m - ty AS DOUBLE)), 9) AS tau,
+    CASE WHEN balance = 0 THEN 1.0::DOUBLE ELSE round({_ERFC}, 9) END AS p_value FROM placed"""
+
+
+@bind("kendall_tau_normal", _normal_tau("champ", "chal"))
+def kendall_tau_normal(t):
+    scores = E.kendall_tau(t.ranked, "rid", "champ", "chal", tie_free=True, p_method="normal")
+    return scores.withColumns({"tau": F.round("tau", 9), "p_value": F.round("p_value", 9)})
+
+
+@bind("kendall_tau_ties", _normal_tau("champ // 2", "chal // 3"))
+def kendall_tau_ties(t):
+    """Ranks in bands of two and of three places, so that every longer list has ties."""
+    banded = t.ranked.select("rid", F.floor(c("champ") / 2).alias("x"), F.floor(c("chal") / 3).alias("y"))
+    scores = E.kendall_tau(banded, "rid", "x", "y", p_method="normal")
+    return scores.withColumns({"tau": F.round("tau", 9), "p_value": F.round("p_value", 9)})

@@ -8,6 +8,8 @@ from catalogue.registry import bind
 from catalogue.tables import EVENT_LOG, HOUSEHOLD, LISTING, VIEWS
 from shelfscope.functions import columns as C
 from shelfscope.operators import relational as R
+from shelfscope.operators import sketches as S
+from shelfscope.operators.fingerprints import distinct_rows as distinct_rows_of
 from shelfscope.plans.attribution import campaign_impressions, drill_down, product_list_by_brand
 from shelfscope.plans.exposure import households_by_state
 from shelfscope.plans.inventory import active_entities, cross_platform_total, inventory_by, live_campaigns
@@ -460,7 +462,7 @@ def global_sums(t):
 
 @bind("distinct_rows", "SELECT DISTINCT * REPLACE (CAST(l_shipdate AS DATE) AS l_shipdate) FROM lineitem")
 def distinct_rows(t):
-    return t.lineitem.withColumn("l_shipdate", c("l_shipdate").cast("date")).dropDuplicates()
+    return distinct_rows_of(t.lineitem.withColumn("l_shipdate", c("l_shipdate").cast("date")))
 
 
 @bind("distinct_rows_of_columns", "SELECT DISTINCT l_partkey, l_suppkey, l_returnflag FROM lineitem")
@@ -488,6 +490,24 @@ def group_count_distinct(t):
     )
 
 
+@bind(
+    "sketched_distinct_periods",
+    f"""WITH {EVENT_LOG} SELECT event_type, count(DISTINCT household_id) AS n_households, true AS within_error, true AS days_equal_period
+    FROM event_log GROUP BY 1""",
+)
+def sketched_distinct_periods(t):
+    """Daily sketches united over the period, against the exact count and against sketches of the whole period."""
+    exact = t.event_log.groupBy("event_type").agg(F.count_distinct("household_id").alias("n_households"))
+    days = S.distinct_sketches(t.event_log, ["dt", "event_type"], ["household_id"])
+    of_days = S.estimates(S.united(days, ["event_type"]))
+    of_period = S.estimates(S.united(S.distinct_sketches(t.event_log, ["event_type"], ["household_id"]), ["event_type"]))
+    both = of_days.join(of_period.withColumnRenamed("n_household_id", "whole"), "event_type").join(exact, "event_type")
+    return both.select(
+        "event_type", "n_households", S.within_error(c("n_household_id"), c("n_households")).alias("within_error"),
+        (c("n_household_id") == c("whole")).alias("days_equal_period"),
+    )
+
+
 @bind(
     "distinct_then_group_count",
     "SELECT c_nationkey, count(*) AS n_c_custkey, count(DISTINCT c_mktsegment) AS n_households FROM customer GROUP BY 1",
@@ -556,7 +576,7 @@ def _delivered_twice(t):
 )
 def distinct_log_totals(t):
     """Technical columns dropped, rows distinct over all others, then totals."""
-    rows = R.project_without_prefix(_delivered_twice(t), "__").dropDuplicates()
+    rows = distinct_rows_of(R.project_without_prefix(_delivered_twice(t), "__"))
     once = F.count(F.lit(1)) - F.count_if(c("l_returnflag") == "R")
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), once.alias("n_kept_once"), F.sum("l_linenumber").alias("n_lines"))
 

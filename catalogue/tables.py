@@ -79,8 +79,8 @@ class Tables:
     @cached_property
     def product(self) -> DataFrame:
         """Products whose taxonomy text has two paths."""
-        first = F.concat(F.lit("22 "), "p_type", F.lit(" 014 "), "p_brand", F.lit(" 00002 "), "p_name")
-        second = F.concat(F.lit(",31 "), "p_type", F.lit(" 011 "), "p_name", F.lit(" 00003 "), "p_brand")
+        first = F.concat(F.lit("47 "), "p_type", F.lit(" 306 "), "p_brand", F.lit(" 50118 "), "p_name")
+        second = F.concat(F.lit(",52 "), "p_type", F.lit(" 319 "), "p_name", F.lit(" 50127 "), "p_brand")
         return self.part.select(
             F.col("p_partkey").alias("sku"),
             pad_code(F.col("p_partkey").cast("string")).alias("upc"),
@@ -163,8 +163,8 @@ STORE = """store AS (
   FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 PRODUCT = """product AS (
   SELECT p_partkey AS sku, lpad(CAST(p_partkey AS VARCHAR), 13, '0') AS upc, p_name AS description, p_brand AS brand,
-    p_type AS category, '22 ' || p_type || ' 014 ' || p_brand || ' 00002 ' || p_name || ',31 ' || p_type || ' 011 '
-      || p_name || ' 00003 ' || p_brand AS taxonomy FROM part)"""
+    p_type AS category, '47 ' || p_type || ' 306 ' || p_brand || ' 50118 ' || p_name || ',52 ' || p_type || ' 319 '
+      || p_name || ' 50127 ' || p_brand AS taxonomy FROM part)"""
 SLOT = """slot AS (
   SELECT s_suppkey AS id, CASE WHEN s_nationkey < 13 THEN 'Search PLA ' ELSE 'Home TOA ' END || s_name AS name
   FROM supplier)"""

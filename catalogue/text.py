@@ -53,7 +53,7 @@ def similar_topk(t):
 @bind("similar_topk_routed", f"WITH {_NEAR} SELECT * FROM top WHERE place <= 5")
 def similar_topk_routed(t):
     """As for more queries than a task should hold: routed over the tree of pivots, with small blocks."""
-    return nearest(t.embeddings, "vec_id", "embedding", k=5, block_rows=64, scan_bytes=0)
+    return nearest(t.embeddings, "vec_id", "embedding", k=5, block_rows=256, scan_bytes=0)
 
 
 # Keys of label 9 are plain numbers, as digit-only searches are; the others are words.

@@ -25,11 +25,3 @@ def select_where(items: Column, flags: Column, value: int) -> Column:
 def common_in_first(left: Column, right: Column, depth: int) -> Column:
     """How many items the first ``depth`` places of two lists share."""
     return F.size(F.array_intersect(F.slice(left, 1, depth), F.slice(right, 1, depth)))
-
-
-def larger_before(values: Column) -> Column:
-    """Number of pairs in which the earlier value is larger. Quadratic: for short arrays only."""
-    per_item = F.transform(
-        values, lambda v, i: F.size(F.filter(F.slice(values, F.lit(1), i), lambda earlier: earlier > v))
-    )
-    return F.aggregate(per_item, F.lit(0).cast("bigint"), lambda total, n: total + n)

@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from shelfscope.functions.arrays import common_in_first, larger_before, same_set, select_where
+from shelfscope.functions.arrays import common_in_first, same_set, select_where
+from shelfscope.functions.inversions import COUNTS, count_list_batches
 from shelfscope.operators.ordered import rank_rows, rank_rows_by, top_k_per_group
-from shelfscope.session import cut_lineage
+from shelfscope.session import cut_lineage, input_bytes
 
 # Lists longer than this are counted in blocks, see kendall_tau.
-BLOCK = 256
+BLOCK = 1 << 16
+# No list of an input up to this size is too long for one task.
+ONE_LIST_BYTES = 64 << 20
 # Longest list for which the exact distribution of discordant pairs is used when there are no ties.
 EXACT_P_LENGTH = 33
 
@@ -234,13 +237,17 @@ def rbo_top_k(top: DataFrame, request: str, k: int = 4, p: float = 0.78) -> Data
     return top.select(request, score.alias("rbo"))
 
 
+def _counted_lists(lists: DataFrame, request: str) -> DataFrame:
+    """Counts of gathered lists of pairs, see :data:`COUNTS`."""
+    kind = lists.schema[request].dataType.simpleString()
+    return lists.mapInArrow(count_list_batches, f"`{request}` {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS))
+
+
 def _discordant_within(pairs: DataFrame, request: str, block: int) -> DataFrame:
     """Pairs out of order inside blocks of consecutive places."""
     number = F.floor((F.col("__x") - 1) / block)
-    lists = pairs.groupBy(request, number.alias("__block")).agg(
-        F.sort_array(F.collect_list(F.struct("__x", "__y"))).alias("__list")
-    )
-    return lists.select(request, larger_before(F.col("__list.__y")).alias("__out"))
+    lists = pairs.groupBy(request, number.alias("__block")).agg(F.collect_list(F.struct("__x", "__y")).alias("__list"))
+    return _counted_lists(lists.select(request, "__list"), request).select(request, F.col("discordant").alias("__out"))
 
 
 def _discordant_across(pairs: DataFrame, request: str, half: int, hot_rows: int | None) -> DataFrame:
@@ -273,8 +280,9 @@ def kendall_tau(
     """Kendall's tau-b of two ranks per request, with what its p-value needs: (request, n, discordant, tau, p_value).
 
     Null for fewer than two items or when all items tie. ``tie_free`` says that neither rank repeats within a request,
-    which saves the tie counts. Discordant pairs are counted, never listed: inside blocks of consecutive places
-    directly, between blocks by doubling the block size (as in a merge sort) until the longest list is covered.
+    which saves the tie counts of long lists. Discordant pairs are counted as a merge sort does: a list of up to ``block`` items in one
+    task, many lists at a time; longer lists inside blocks of consecutive places, and between blocks by doubling the
+    block size until the longest list is covered.
 
     The p-value is two-sided. With ``p_method="auto"`` it is exact for lists without ties of at most 33 items or at most
     one pair out of place, else from the normal approximation; ``"normal"`` always takes the approximation.
@@ -282,35 +290,19 @@ def kendall_tau(
     if p_method not in ("auto", "normal"):
         raise ValueError(f"unknown p_method {p_method}")
     rows = items.select(request, F.col(x).alias("__rx"), F.col(y).alias("__ry"))
-    # Equal y keep their order in x, so a tie is never out of order.
-    orders = {"__x": [F.col("__rx").asc(), F.col("__ry").asc()], "__y": [F.col("__ry").asc(), F.col("__x").asc()]}
-    pairs = rank_rows_by(rows, [request], orders, hot_rows)
-    pairs = pairs.select(request, "__x", "__y")
-
-    sizes = rows.groupBy(request).agg(F.count(F.lit(1)).alias("n"))
-    longest = sizes.agg(F.max("n")).first()[0] or 0
-    if longest > block:
-        # Every doubling round reads the ranks again.
-        pairs = cut_lineage(pairs)
-    parts = _discordant_within(pairs, request, block)
-    half = block
-    while half < longest:
-        long_enough = sizes.filter(F.col("n") > half).select(request)
-        halves = pairs.join(long_enough, request, "left_semi")
-        parts = parts.unionByName(_discordant_across(halves, request, half, hot_rows))
-        half *= 2
-    discordant = parts.groupBy(request).agg(F.sum("__out").alias("discordant"))
-
-    joined = sizes.join(discordant, request)
-    n, zero = F.col("n"), F.lit(0).cast("bigint")
-    pairs_in_all = F.call_function("div", n * (n - 1), F.lit(2))
-    if tie_free:
-        ties = {c: zero for c in ("tx", "ty", "txy", "x0", "x1", "y0", "y1")}
-        joined = joined.withColumns(ties)
+    size = input_bytes(rows) if block == BLOCK and hot_rows is None else None
+    longest = 0
+    if size is None or size > ONE_LIST_BYTES:
+        # Read for the lengths, and again for the counts.
+        rows = cut_lineage(rows)
+        longest = rows.groupBy(request).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= block:
+        lists = rows.groupBy(request).agg(F.collect_list(F.struct("__rx", "__ry")).alias("__list"))
+        joined = _counted_lists(lists, request)
     else:
-        for columns, names in ((["__rx"], ("tx", "x0", "x1")), (["__ry"], ("ty", "y0", "y1"))):
-            joined = joined.join(_tie_sums(rows, request, columns, names), request)
-        joined = joined.join(_tie_sums(rows, request, ["__rx", "__ry"], ("txy",)), request)
+        joined = _count_in_blocks(rows, request, tie_free, block, longest, hot_rows)
+    n = F.col("n")
+    pairs_in_all = F.call_function("div", n * (n - 1), F.lit(2))
     total = pairs_in_all.cast("bigint")
     balance = total - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.col("discordant")
     scale = F.sqrt((total - F.col("tx")).cast("double") * (total - F.col("ty")).cast("double"))
@@ -325,6 +317,28 @@ def kendall_tau(
     return joined.select(request, "n", "discordant", tau.alias("tau"), p_value.alias("p_value"))
 
 
+def _count_in_blocks(rows: DataFrame, request: str, tie_free: bool, block: int, longest: int, hot_rows: int | None) -> DataFrame:
+    """The counts of :func:`_counted_lists` for lists of any length."""
+    # Equal y keep their order in x, so a tie is never out of order.
+    orders = {"__x": [F.col("__rx").asc(), F.col("__ry").asc()], "__y": [F.col("__ry").asc(), F.col("__x").asc()]}
+    # Every doubling round reads the ranks again.
+    pairs = cut_lineage(rank_rows_by(rows, [request], orders, hot_rows).select(request, "__x", "__y"))
+    sizes = rows.groupBy(request).agg(F.count(F.lit(1)).alias("n"))
+    parts = _discordant_within(pairs, request, block)
+    half = block
+    while half < longest:
+        long_enough = sizes.filter(F.col("n") > half).select(request)
+        halves = pairs.join(long_enough, request, "left_semi")
+        parts = parts.unionByName(_discordant_across(halves, request, half, hot_rows))
+        half *= 2
+    joined = sizes.join(parts.groupBy(request).agg(F.sum("__out").alias("discordant")), request)
+    if tie_free:
+        return joined.withColumns({c: F.lit(0).cast("bigint") for c in COUNTS[2:]})
+    for columns, names in ((["__rx"], ("tx", "x0", "x1")), (["__ry"], ("ty", "y0", "y1"))):
+        joined = joined.join(_tie_sums(rows, request, columns, names), request)
+    return joined.join(_tie_sums(rows, request, ["__rx", "__ry"], ("txy",)), request)
+
+
 def _tie_sums(rows: DataFrame, request: str, columns: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Sums over tie groups of size t: t(t-1)/2, t(t-1)(t-2) and t(t-1)(2t+5), as many as there are names."""
     t = F.col("__t")
@@ -367,10 +381,14 @@ def _two_sided_p(
         z = np.abs(balance) / np.sqrt(spread)
     short = no_ties & (n <= EXACT_P_LENGTH)
     p, table = np.empty(len(n)), _exact_cumulative()
-    p[~short] = [erfc(v / 2**0.5) for v in z[~short]]
+    # Few values of z differ: lists of one length have as many as pairs.
+    values, at = np.unique(z[~short], return_inverse=True)
+    p[~short] = np.array([erfc(v / 2**0.5) for v in values])[at]
     p[short] = np.minimum(1.0, 2 * table[n[short].astype(int), fewer[short].astype(int)])
     # The middle of the distribution is counted from both sides.
     p[short & (4 * fewer == n * (n - 1))] = 1.0
     extreme = no_ties & ~short & (fewer <= 1)
-    p[extreme] = [2 * exp(-lgamma(a + 1)) * (1 if d == 0 else a) for a, d in zip(n[extreme], fewer[extreme])]
+    lengths, at = np.unique(n[extreme], return_inverse=True)
+    orders = np.array([2 * exp(-lgamma(a + 1)) for a in lengths])[at]
+    p[extreme] = orders * np.where(fewer[extreme] == 0, 1, n[extreme])
     return pd.Series(p)

@@ -1,11 +1,15 @@
 import datetime as dt
+import itertools
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shelfscope.functions import arrays as A
 from shelfscope.functions import columns as C
 from shelfscope.functions import taxonomy as T
+from shelfscope.functions.inversions import inversions
 from shelfscope.functions.language import FUNCTION_WORDS, detect_language
 
 
@@ -52,33 +56,37 @@ def test_attribution_days(spark):
     assert tuple(got) == (dt.date(2024, 2, 27), dt.date(2024, 3, 4), dt.date(2024, 3, 15))
 
 
-TAXONOMY = (
-    "07 Garden & Terrace 031 Gardener's Tools 00004 Rakes, Hoes & Spades,"
-    "07 Garden & Terrace 018 Pots, Soil & Seed 00009 Gardener's Gloves"
-)
+# Three paths: a name with a comma, a second one in the same commodity, and a bare department.
+TAXONOMY = "63 Bicycles 512 Lighting 81040 Dynamo hubs, wired,63 Bicycles 512 Lighting 81077 Reflectors,70 Camping"
+
 
+def test_taxonomy_sub_categories(spark, rows):
+    df = spark.createDataFrame([("x", TAXONOMY), ("y", None), ("z", "without codes")], "sku string, taxonomy string")
+    found = rows(T.explode_sub_categories(df, "taxonomy"), "sku", "sub_category")
+    assert found == [("x", ""), ("x", "DYNAMO HUBS, WIRED"), ("x", "REFLECTORS"), ("z", "")]
 
-def test_taxonomy_paths_and_labels(spark, rows):
-    df = spark.createDataFrame([("1", TAXONOMY), ("2", None), ("3", "no codes")], "sku string, taxonomy string")
-    names = rows(T.explode_sub_categories(df, "taxonomy"), "sku", "sub_category")
-    assert names == [("1", "GARDENER'S GLOVES"), ("1", "RAKES, HOES & SPADES"), ("3", "")]
-    assert df.select(T.labelled(F.col("taxonomy"))).first()[0] == (
-        "DEPT: Garden & Terrace |COMMODITY: Gardener's Tools |SUB_COMMODITY: Rakes, Hoes & Spades "
-        "||DEPT: Garden & Terrace |COMMODITY: Pots, Soil & Seed |SUB_COMMODITY: Gardener's Gloves"
-    )
-    assert rows(T.parse_levels(df, "taxonomy"), "sku", "path_no", "department", "commodity", "sub_commodity") == [
-        ("1", 0, "Garden & Terrace", "Gardener's Tools", "Rakes, Hoes & Spades"),
-        ("1", 1, "Garden & Terrace", "Pots, Soil & Seed", "Gardener's Gloves"),
-        ("3", 0, "", "", ""),
+
+def test_taxonomy_levels_of_each_path(spark, rows):
+    df = spark.createDataFrame([("x", TAXONOMY), ("y", None), ("z", "without codes")], "sku string, taxonomy string")
+    levels = rows(T.parse_levels(df, "taxonomy"), "sku", "path_no", "department", "commodity", "sub_commodity")
+    assert levels == [
+        ("x", 0, "Bicycles", "Lighting", "Dynamo hubs, wired"),
+        ("x", 1, "Bicycles", "Lighting", "Reflectors"),
+        ("x", 2, "Camping", "", ""),
+        ("z", 0, "", "", ""),
     ]
-    assert df.select(T.piped(F.col("taxonomy"))).first()[0] == (
-        "GARDEN & TERRACE|GARDENER'S TOOLS|RAKES, HOES & SPADES,|GARDEN & TERRACE|POTS, SOIL & SEED|GARDENER'S GLOVES"
-    )
+
+
+def test_taxonomy_texts_without_codes(spark):
+    named, barred = spark.createDataFrame([(TAXONOMY,)], "t string").select(T.labelled(F.col("t")), T.piped(F.col("t"))).first()
+    lighting = "DEPT: Bicycles |COMMODITY: Lighting |SUB_COMMODITY: "
+    assert named.split(" ||") == [lighting + "Dynamo hubs, wired", lighting + "Reflectors", "DEPT: Camping"]
+    assert barred == "BICYCLES|LIGHTING|DYNAMO HUBS, WIRED,|BICYCLES|LIGHTING|REFLECTORS,|CAMPING"
 
 
 def test_taxonomy_with_a_missing_level(spark, rows):
-    df = spark.createDataFrame([("1", "05 Deli 00012 Ham")], "sku string, taxonomy string")
-    assert rows(T.parse_levels(df, "taxonomy"), "department", "commodity", "sub_commodity") == [("Deli", "", "Ham")]
+    df = spark.createDataFrame([("1", "19 Records 40551 Jazz")], "sku string, taxonomy string")
+    assert rows(T.parse_levels(df, "taxonomy"), "department", "commodity", "sub_commodity") == [("Records", "", "Jazz")]
 
 
 def test_arrays(spark):
@@ -87,9 +95,8 @@ def test_arrays(spark):
     got = df.select(
         A.same_set(a, F.reverse(F.concat(a, a))), A.same_set(a, b), A.select_where(a, F.col("f"), 1),
         A.common_in_first(a, b, 1), A.common_in_first(a, b, 3), A.sorted_pairs(F.col("s"), a)["item"],
-        A.larger_before(F.array(*[F.lit(v) for v in (3, 1, 2, 2, 0)])),
     ).first()
-    assert tuple(got) == (True, False, ["a", "c"], 0, 2, ["b", "c", "a"], 7)
+    assert tuple(got) == (True, False, ["a", "c"], 0, 2, ["b", "c", "a"])
 
 
 def test_language(spark):
@@ -98,3 +105,13 @@ def test_language(spark):
     found = [r[0] for r in df.select(detect_language(F.col("t"))).collect()]
     assert found == ["en", "de", "es", "fr", "und", "und", "und", "es"]
     assert sum(map(len, FUNCTION_WORDS.values())) < 200
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_inversions_of_many_lists(seed):
+    rng = random.Random(seed)
+    lists = [[rng.randrange(rng.choice([2, 50])) for _ in range(rng.choice([0, 1, 2, 3, 17, 64, 65]))] for _ in range(30)]
+    starts = np.cumsum([0] + [len(v) for v in lists])
+    want = [sum(a > b for a, b in itertools.combinations(v, 2)) for v in lists]
+    assert inversions(np.array(sum(lists, []), dtype="int64"), starts).tolist() == want
+    assert inversions(np.zeros(0, dtype="int64"), np.zeros(1, dtype="int64")).tolist() == []
