@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from catalogue.registry import bind
 from catalogue.tables import LISTING, RANKED
 from shelfscope.functions import arrays as A
-from shelfscope.operators.ordered import equal_width_histogram, exact_median, share_of_total
+from shelfscope.operators.ordered import equal_width_histogram, share_of_total
+from shelfscope.operators.selection import exact_median
 from shelfscope.plans import rank_eval as E
 
 c = F.col

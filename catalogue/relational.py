@@ -12,7 +12,7 @@ from shelfscope.operators import sketches as S
 from shelfscope.operators.fingerprints import distinct_rows as distinct_rows_of
 from shelfscope.plans.attribution import campaign_impressions, drill_down, product_list_by_brand
 from shelfscope.plans.exposure import households_by_state
-from shelfscope.plans.inventory import active_entities, cross_platform_total, inventory_by, live_campaigns
+from shelfscope.plans.inventory import active_entities, cross_platform_total, inventory_by, live_campaigns, period_from_daily, store_daily
 from shelfscope.session import scratch_path
 from shelfscope.sources.readers import literal_column, scan, scan_csv
 from shelfscope.sources.workspace import Dimension, Log, Workspace
@@ -71,6 +71,29 @@ def materialize_overwrite(t):
     return materialize(later, path, mode="overwrite")
 
 
+@bind(
+    "materialize_one_day",
+    f"""WITH {EVENT_LOG} SELECT dt, event_type, count(*) AS n_rows, CAST(sum(places) AS BIGINT) AS sum_places FROM event_log
+    WHERE dt <> DATE '2024-01-10' OR event_id % 2 = 0 GROUP BY 1, 2""",
+)
+def materialize_one_day(t):
+    """Daily figures of the whole log, of which one day is delivered again with half of its rows."""
+    path = scratch_path(t.spark, "daily")
+    store_daily(t.event_log, path, "dt", ["event_type"], ["places"])
+    again = t.event_log.filter((c("dt") == F.lit("2024-01-10").cast("date")) & (c("event_id") % 2 == 0))
+    return store_daily(again, path, "dt", ["event_type"], ["places"]).select("dt", "event_type", "n_rows", "sum_places")
+
+
+@bind(
+    "inventory_from_daily",
+    f"""WITH {EVENT_LOG} SELECT event_type, count(*) AS n_rows, CAST(sum(places) AS BIGINT) AS sum_places FROM event_log
+    WHERE dt BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY 1""",
+)
+def inventory_from_daily(t):
+    daily = store_daily(t.event_log, scratch_path(t.spark, "daily"), "dt", ["event_type"], ["places"])
+    return period_from_daily(daily, "dt", ["event_type"], "2024-01-05", "2024-01-20")
+
+
 @bind("csv_single_file", "SELECT c_mktsegment, count(*) AS n_customers FROM customer GROUP BY 1")
 def csv_single_file(t):
     """A report in one file with a header, read back with types."""

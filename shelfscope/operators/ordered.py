@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from shelfscope.operators.selection import first_rows
 from shelfscope.session import cut_lineage, input_bytes
 
 # A group above this many rows is split over several tasks.
@@ -175,14 +176,18 @@ def pick_one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]
     return top_k_per_group(df, keys, order, 1, "__pick").drop("__pick")
 
 
-def top_n(df: DataFrame, order: Sequence[Column], n: int, hot_rows: int | None = None) -> DataFrame:
+def top_n(df: DataFrame, order: Sequence[Column], n: int, codes: Sequence[Column] = ()) -> DataFrame:
     """The first ``n`` rows of the whole table, in order.
 
     Up to a thousand rows every task keeps n rows, which are merged in two steps, so that the last task sees n rows of
-    each of a few others however many partitions there are. More rows are cut by rank.
+    each of a few others however many partitions there are. For more rows a bound is looked for first, if ``codes`` gives numbers
+    whose ascending order agrees with ``order``, see :func:`~shelfscope.operators.selection.first_rows`: only about n rows
+    are sorted. Without codes a longer cut ranks all rows.
     """
+    if n > GROUP_LIMIT and not codes:
+        return rank_rows(df, [], order, "__at").filter(F.col("__at") <= n).drop("__at").orderBy(*order)
     if n > GROUP_LIMIT:
-        return rank_rows(df, [], order, "__at", hot_rows).filter(F.col("__at") <= n).drop("__at").orderBy(*order)
+        return first_rows(df, codes, n).orderBy(*order).limit(n)
     shared = df.withColumn("__merge", F.spark_partition_id() % MERGE_TASKS)
     place = F.row_number().over(_window(["__merge"], order))
     kept = shared.withColumn("__at", place).filter(F.col("__at") <= n).drop("__merge", "__at")
@@ -203,7 +208,8 @@ def share_of_total(df: DataFrame, keys: Sequence[str], value: str, total: str, p
 def fixed_sample(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
     """``n`` rows without replacement, the same ones on every run: the smallest hashes of seed and key."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
-    return top_n(df, [F.md5(text).asc(), *[F.col(k).asc() for k in key]], n)
+    leading = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double")
+    return top_n(df, [F.md5(text).asc(), *[F.col(k).asc() for k in key]], n, [leading])
 
 
 def poisson_steps(mean: float) -> list[float]:
@@ -228,20 +234,6 @@ def fraction_sample(df: DataFrame, key: Sequence[str], fraction: float, seed: in
     return drawn.withColumn("__draw", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times", "__draw")
 
 
-def exact_median(df: DataFrame, value: str, name: str = "median", hot_rows: int | None = None) -> DataFrame:
-    """Exact median of a column in one row, ignoring nulls.
-
-    Values are counted first and the counts are accumulated in slices, so no task ever holds all distinct values.
-    """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    reached = running_total(counted, [], [F.col(value).asc()], "__n", "__upto", hot_rows)
-    total = counted.agg(F.sum("__n")).scalar()
-    low, high = F.floor((total + 1) / 2), F.floor((total + 2) / 2)
-    first = F.col("__upto") - F.col("__n") + 1
-    middle = reached.filter((first <= high) & (F.col("__upto") >= low))
-    return middle.agg(((F.min(value) + F.max(value)) / 2).alias(name))
-
-
 def equal_width_histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
     """Counts in ``bins`` equal bins over [min, max]; the last bin is closed and empty bins are not listed.
 

@@ -39,11 +39,31 @@ def broadcast_join(df: DataFrame, small: DataFrame, keys: Sequence[str], how: st
     return df.join(small, list(keys), how)
 
 
+def _units(df: DataFrame, column: str) -> Column:
+    """A whole number that does not fall as the value grows: the day of dates and times, also of ISO texts, else the integer part."""
+    kind = df.schema[column].dataType.typeName()
+    day = kind in ("date", "timestamp", "timestamp_ntz", "string")
+    return F.unix_date(F.col(column).cast("date")).cast("bigint") if day else F.floor(column).cast("bigint")
+
+
 def join_within_range(
-    df: DataFrame, periods: DataFrame, keys: Sequence[str], at: str, start: str, end: str
+    df: DataFrame, periods: DataFrame, keys: Sequence[str], at: str, start: str, end: str, bucket: int = 32
 ) -> DataFrame:
-    """Equi-join on ``keys``, keeping rows whose ``at`` lies in [start, end] of the matching period."""
-    return df.join(periods, list(keys)).filter(F.col(at).between(F.col(start), F.col(end)))
+    """Rows joined with the periods of the same ``keys`` that contain ``at``; both ends of a period belong to it.
+
+    A period is cut into buckets of ``bucket`` days (or whole units, for numbers), and rows meet the periods of their own
+    bucket only. So a key with many periods costs the pairs that share a bucket, not all of them. Periods are clipped to
+    the time that ``df`` covers first: an open end has no more buckets than there are rows for. Null ends contain nothing.
+    """
+    slot = lambda frame, column: F.floor(_units(frame, column) / bucket)
+    covered = df.agg(F.min(slot(df, at)).alias("first"), F.max(slot(df, at)).alias("last"))
+    first, last = covered.select("first").scalar(), covered.select("last").scalar()
+    span = periods.withColumns({"__first": F.greatest(slot(periods, start), first), "__last": F.least(slot(periods, end), last)})
+    # greatest and least pass over nulls.
+    known = span.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col("__first") <= F.col("__last")))
+    cut = known.withColumn("__bucket", F.explode(F.sequence("__first", "__last"))).drop("__first", "__last")
+    joined = df.withColumn("__bucket", slot(df, at)).join(cut, [*keys, "__bucket"])
+    return joined.filter(F.col(at).between(F.col(start), F.col(end))).drop("__bucket")
 
 
 def explode_join(df: DataFrame, array: str, lookup: DataFrame, lookup_key: str, element: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.operators.relational import aggregate_having
+from shelfscope.sources.readers import between_days
+from shelfscope.sources.writers import replace_partitions
 
 
 def inventory_by(log: DataFrame, keys: Sequence[str], amount: str) -> DataFrame:
@@ -15,6 +17,21 @@ def inventory_by(log: DataFrame, keys: Sequence[str], amount: str) -> DataFrame:
     return log.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_requests"), F.sum(amount).alias("total_places"))
 
 
+def store_daily(log: DataFrame, path: str, day: str, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Daily partial figures of a log in a dataset by day: rows and sums per group. Days in ``log`` are replaced.
+
+    A period is then summed from a few rows per day and group, and a late delivery re-runs its own day only.
+    """
+    partial = log.groupBy(day, *keys).agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(c).alias(f"sum_{c}") for c in sums])
+    return replace_partitions(partial, path, [day])
+
+
+def period_from_daily(daily: DataFrame, day: str, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    """Figures of the days from ``start`` to ``end``, both included, from the daily ones."""
+    figures = [c for c in daily.columns if c == "n_rows" or c.startswith("sum_")]
+    return between_days(daily, day, start, end).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in figures])
+
+
 def live_campaigns(campaigns: DataFrame, min_budget: float = 1.0, draft: str = "DRAFT") -> DataFrame:
     """Campaigns with all fields known, a budget above the minimum and a status other than draft."""
     return campaigns.dropna().filter((F.col("budget") > min_budget) & (F.col("status") != draft))

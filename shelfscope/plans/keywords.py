@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.operators.nearest import similar_topk
-from shelfscope.operators.ordered import running_total, top_n
+from shelfscope.operators.ordered import rank_rows, top_n
+from shelfscope.operators.selection import text_codes
 from shelfscope.session import cut_lineage
 
 # Text like a coupon code, fifteen or more letters and digits without a blank, and digits only.
@@ -28,19 +29,27 @@ def keyword_frequency(log: DataFrame, keyword: str, count: str = "n_requests") -
     return clean.groupBy("keyword").agg(F.count(F.lit(1)).alias(count))
 
 
-def most_frequent(
-    frequency: DataFrame, n: int = 100_000, count: str = "n_requests", hot_rows: int | None = None
-) -> DataFrame:
-    """The n most frequent keywords; equal counts in alphabetical order."""
-    return top_n(frequency, [F.col(count).desc(), F.col("keyword").asc()], n, hot_rows)
+def most_frequent(frequency: DataFrame, n: int = 100_000, count: str = "n_requests") -> DataFrame:
+    """The n most frequent keywords; equal counts in alphabetical order. Counts are not null."""
+    codes = [-F.col(count), *text_codes(F.col("keyword"))]
+    return top_n(frequency, [F.col(count).desc(), F.col("keyword").asc()], n, codes)
 
 
 def keyword_coverage(frequency: DataFrame, count: str = "n_requests", hot_rows: int | None = None) -> DataFrame:
-    """Share of all requests that the keywords down to each one cover, from the most frequent on."""
-    order = [F.col(count).desc(), F.col("keyword").asc()]
-    covered = running_total(frequency, [], order, count, "n_covered", hot_rows)
-    total = frequency.agg(F.sum(count)).scalar()
-    return covered.withColumn("coverage", F.try_divide(F.col("n_covered").cast("double"), total.cast("double")))
+    """Share of all requests that the keywords down to each one cover, from the most frequent on.
+
+    What more frequent keywords cover comes from the number of keywords of each count, and counts differ no more often
+    than the square root of twice their sum. Only keywords of equal count are put in order.
+    """
+    placed = rank_rows(frequency, [count], [F.col("keyword").asc()], "__at", hot_rows)
+    counts = frequency.groupBy(F.col(count).alias("__count")).agg(F.sum(count).alias("__asked"))
+    higher = Window.orderBy(F.desc("__count")).rowsBetween(Window.unboundedPreceding, -1)
+    above = counts.select("__count", F.coalesce(F.sum("__asked").over(higher), F.lit(0)).alias("__above"))
+    total = counts.agg(F.sum("__asked")).scalar()
+    covered = placed.join(above, placed[count] == above["__count"])
+    reached = (F.col("__above") + F.col("__at") * F.col(count)).cast("bigint")
+    share = F.try_divide(reached.cast("double"), total.cast("double"))
+    return covered.select(*[F.col(c) for c in frequency.columns], reached.alias("n_covered"), share.alias("coverage"))
 
 
 def drop_digit_matches(matches: DataFrame, match: str = "match") -> DataFrame:

@@ -25,6 +25,18 @@ def materialize(
     return df.sparkSession.read.format(fmt).load(path)
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str], fmt: str = "parquet") -> DataFrame:
+    """Write ``df`` over the partitions it has rows for, and leave the files of all others as they are.
+
+    For re-runs of a day or a week. The first call creates the dataset. A partition of which no row is left is not emptied:
+    nothing in ``df`` names it.
+    """
+    rows = df.hint("rebalance", *partition_by)
+    writer = rows.write.mode("overwrite").format(fmt).option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).save(path)
+    return df.sparkSession.read.format(fmt).load(path)
+
+
 def export_csv(
     df: DataFrame, path: str, sep: str = ",", header: bool = True, single_file: bool = False, mode: str = "errorifexists"
 ) -> None:

@@ -19,12 +19,12 @@ def test_cleaning_and_frequency(spark, rows):
     assert K.most_frequent(frequency, 2).collect() == [("milk", 3), ("a" * 14, 1)]
 
 
-@pytest.mark.parametrize("hot_rows", [None, 3])
-def test_long_cut_by_rank_equals_the_short_one(spark, monkeypatch, hot_rows):
+@pytest.mark.parametrize("n", [1, 7, 20, 50])
+def test_long_cut_equals_the_short_one(spark, monkeypatch, n):
     frequency = spark.createDataFrame([(f"k{i}", i % 4) for i in range(20)], "keyword string, n_requests int")
-    short = K.most_frequent(frequency, 7).collect()
-    monkeypatch.setattr(O, "GROUP_LIMIT", 1)
-    assert K.most_frequent(frequency, 7, hot_rows=hot_rows).collect() == short
+    short = K.most_frequent(frequency, n).collect()
+    monkeypatch.setattr(O, "GROUP_LIMIT", 0)
+    assert K.most_frequent(frequency, n).collect() == short
 
 
 @pytest.mark.parametrize("hot_rows", [None, 2])

@@ -87,13 +87,6 @@ def test_pick_one_per_key(skewed, rows):
     assert picked.count() == skewed.select("key").distinct().count()
 
 
-@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0, 1.0, 1.0, 1.0], [2.0, 2.0, 9.0, 9.0], list(map(float, range(31)))])
-@pytest.mark.parametrize("hot_rows", [None, 2])
-def test_median(spark, values, hot_rows):
-    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
-    assert O.exact_median(df, "v", hot_rows=hot_rows).first()[0] == statistics.median(values)
-
-
 def test_histogram_closes_the_last_bin(spark, rows):
     df = spark.createDataFrame([(float(v),) for v in range(31)] + [(None,)], "v double")
     bins = dict(rows(O.equal_width_histogram(df, "v", 30)))

@@ -74,3 +74,33 @@ def test_range_join(spark, rows):
     facts = spark.createDataFrame([("c", 1), ("c", 5), ("c", 9), ("d", 5)], "c string, at int")
     periods = spark.createDataFrame([("c", 5, 8), ("c", 1, 1)], "c string, s int, e int")
     assert rows(R.join_within_range(facts, periods, ["c"], "at", "s", "e"), "c", "at") == [("c", 1), ("c", 5)]
+
+
+@pytest.mark.parametrize("bucket", [1, 7, 32, 10_000])
+def test_periods_in_buckets_equal_a_comparison_of_all(spark, rows, bucket):
+    """Dates, open and reversed and null ends, a hot key, periods that start before all rows and end after them."""
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
+    facts = spark.range(300).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 30 > 0, "cold").alias("k"), F.when(F.col("id") != 7, day((F.col("id") * 7 % 100).cast("int"))).alias("at"), "id")
+    ends = F.when(F.col("id") % 13 == 0, F.lit("9999-12-31").cast("date")).when(F.col("id") % 11 != 0, day((F.col("id") * 3 % 120).cast("int")))
+    periods = spark.range(60).select(F.when(F.col("id") % 2 == 0, "hot").otherwise("cold").alias("k"), day((F.col("id") * 5 % 130 - 20).cast("int")).alias("s"), ends.alias("e"), F.col("id").alias("p"))
+    want = facts.join(periods, "k").filter(F.col("at").between(F.col("s"), F.col("e")))
+    got = R.join_within_range(facts, periods, ["k"], "at", "s", "e", bucket)
+    assert got.columns == want.columns and rows(got) == rows(want) != []
+
+
+def test_a_hot_key_meets_periods_of_its_own_bucket_only(spark):
+    facts = spark.range(4000).selectExpr("'hot' AS k", "id % 1000 AS at")
+    periods = spark.range(500).selectExpr("'hot' AS k", "id * 2 AS s", "id * 2 + 1 AS e")
+    joined = R.join_within_range(facts, periods, ["k"], "at", "s", "e", bucket=10)
+    assert joined.count() == 4000
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "__bucket" in plan.split("Join Inner")[1].split("\n")[0]
+    # Ten units a bucket: five periods for each row instead of five hundred.
+    bucketed = periods.selectExpr("k", "explode(sequence(s DIV 10, e DIV 10)) AS b")
+    assert facts.selectExpr("k", "at DIV 10 AS b").join(bucketed, ["k", "b"]).count() == 4000 * 5
+
+
+def test_range_join_of_nothing(spark):
+    facts, periods = spark.range(3).selectExpr("'a' AS k", "id AS at"), spark.range(3).selectExpr("'a' AS k", "id AS s", "id AS e")
+    assert R.join_within_range(facts.limit(0), periods, ["k"], "at", "s", "e").count() == 0
+    assert R.join_within_range(facts, periods.limit(0), ["k"], "at", "s", "e").count() == 0

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from shelfscope import schemas
+from shelfscope.plans.inventory import period_from_daily, store_daily
 from shelfscope.session import CHECKPOINT_SETTING, scratch_path, shared_folder
 from shelfscope.sources import readers, writers
 from shelfscope.sources.workspace import Dimension, Log, Workspace
@@ -130,3 +131,21 @@ def test_days_of_integers_texts_and_datetimes(spark):
     assert [r.d for r in readers.between_days(numbers, "d", "2023-10-31", day).collect()] == [20231031]
     texts = spark.createDataFrame([("2023-10-30 23:59:59",), ("2023-10-31",), ("2023-10-31 08:00:00",), ("2023-11-01",), (None,)], "d string")
     assert [r.d for r in readers.between_days(texts, "d", day, day).collect()] == ["2023-10-31", "2023-10-31 08:00:00"]
+
+
+def test_a_day_is_run_again_alone(spark, tmp_path, rows):
+    """Files of other days stay as they are, whatever the session's own setting; merged days equal the whole log."""
+    path = str(tmp_path / "daily")
+    log = spark.range(1000).selectExpr("date_add(DATE'2024-01-01', CAST(id % 5 AS int)) AS day", "id % 3 AS k", "id AS v", "id")
+    store_daily(log, path, "day", ["k"], ["v"])
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "daily").glob("day=*/*.parquet")}
+    changed = log.filter("day = DATE'2024-01-03' AND id % 2 = 0").withColumn("v", F.lit(1).cast("bigint"))
+    daily = store_daily(changed, path, "day", ["k"], ["v"])
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "daily").glob("day=*/*.parquet")}
+    same = {p for p in before if after.get(p) == before[p]}
+    assert {p.parent.name for p in before.keys() - same} == {"day=2024-01-03"}
+    whole = log.filter("day <> DATE'2024-01-03'").unionByName(changed)
+    merged = period_from_daily(daily, "day", ["k"], "2024-01-01", "2024-01-31")
+    assert rows(merged, "k", "n_rows", "sum_v") == rows(whole.groupBy("k").agg(F.count("*"), F.sum("v")))
+    part = period_from_daily(daily, "day", ["k"], "2024-01-02", "2024-01-03")
+    assert rows(part, "k", "n_rows", "sum_v") == rows(whole.filter("day BETWEEN DATE'2024-01-02' AND DATE'2024-01-03'").groupBy("k").agg(F.count("*"), F.sum("v")))
