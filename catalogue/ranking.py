@@ -238,6 +238,52 @@ def clicked_listings_dedup(t):
     return D.clicked_listings(lower, t.views, ["rid", "sku"], dedupe=True).select("rid", "sku", "rank_diff")
 
 
+# Views are listings of a search, clicks are product views, most of them from within the search.
+_STREAM = """stream AS (SELECT user_id AS session, CAST(json_extract_string(props, '$.k') AS INTEGER) % 12 AS upc, event_id, ts,
+  CASE event_type WHEN 'view' THEN 'internal-search' WHEN 'click' THEN 'view-product' END AS scenario,
+  CASE WHEN value < 60 THEN 'internal search' WHEN value < 90 THEN 'home page' END AS component FROM events),
+  seen AS (SELECT v.session, v.upc, v.event_id AS view_id, v.ts AS viewed_at, l.event_id AS listing_id, l.ts AS listed_at
+    FROM (SELECT * FROM stream WHERE scenario = 'view-product' AND component = 'internal search') v
+    ASOF LEFT JOIN (SELECT * FROM stream WHERE scenario = 'internal-search') l
+    ON v.session = l.session AND v.upc = l.upc AND v.ts >= l.ts)"""
+
+
+def _clickstream(t):
+    scenario = F.when(c("event_type") == "view", "internal-search").when(c("event_type") == "click", "view-product")
+    return t.events.select(
+        c("user_id").alias("session"),
+        (F.get_json_object("props", "$.k").cast("int") % 12).alias("upc"),
+        c("event_id").alias("click_id"),
+        c("ts").alias("click_time"),
+        scenario.alias("scenario"),
+        F.when(c("value") < 60, "internal search").when(c("value") < 90, "home page").alias("component"),
+    )
+
+
+def _time_text(column):
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+@bind(
+    "views_in_order",
+    f"""WITH {_STREAM} SELECT * REPLACE (strftime(viewed_at, '%Y-%m-%d %H:%M:%S.%f') AS viewed_at,
+    strftime(listed_at, '%Y-%m-%d %H:%M:%S.%f') AS listed_at) FROM seen""",
+)
+def views_in_order(t):
+    views = D.views_in_order(_clickstream(t))
+    return views.withColumns({"viewed_at": _time_text("viewed_at"), "listed_at": _time_text("listed_at")})
+
+
+@bind(
+    "clicked_listings_from_clickstream",
+    f"""WITH {_STREAM} SELECT session, upc, listing_id, count(*) AS n_views, strftime(min(viewed_at), '%Y-%m-%d %H:%M:%S.%f') AS first_view FROM seen
+    WHERE listing_id IS NOT NULL GROUP BY 1, 2, 3""",
+)
+def clicked_listings_from_clickstream(t):
+    clicked = D.clicked_in_order(D.views_in_order(_clickstream(t)))
+    return clicked.withColumn("first_view", _time_text("first_view"))
+
+
 @bind(
     "deboost_metrics",
     f"""WITH {SCORED}, {VIEWS}, t AS (

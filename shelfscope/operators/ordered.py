@@ -52,12 +52,17 @@ def _match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 @dataclass(frozen=True)
 class _Step:
-    """One running figure: its name, its order, what a row adds to it and its value within one window."""
+    """One running figure: its name, its order, what a row adds to it and its value within one window.
+
+    ``total`` adds up the rows of a slice, and ``after`` puts the total of earlier slices before a value; null if there is none.
+    """
 
     name: str
     order: list[Column]
     amount: Column
     local: Callable[[WindowSpec], Column]
+    total: Callable[[Column | str], Column] = F.sum
+    after: Callable[[Column, Column], Column] = lambda value, before: value + F.coalesce(before, F.lit(0))
 
     def plain(self, df: DataFrame, keys: list[str]) -> DataFrame:
         return df.withColumn(self.name, self.local(_window(keys, self.order)))
@@ -68,11 +73,11 @@ class _Step:
         # The checkpoint fixes which slice a row is in: both readers below must agree, also after a lost executor.
         cut = cut_lineage(df.repartitionByRange(slices, *ranges).withColumn(_SLICE, F.spark_partition_id()))
         # At most one row per slice and one per large group.
-        totals = cut.groupBy(*keys, _SLICE).agg(F.sum(self.amount).alias(_AMOUNT))
+        totals = cut.groupBy(*keys, _SLICE).agg(self.total(self.amount).alias(_AMOUNT))
         earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        before = totals.select(*keys, _SLICE, F.coalesce(F.sum(_AMOUNT).over(earlier), F.lit(0)).alias(_BEFORE))
+        before = totals.select(*keys, _SLICE, self.total(_AMOUNT).over(earlier).alias(_BEFORE))
         shifted = _match_keys(self.plain(cut, [*keys, _SLICE]), before, [*keys, _SLICE], "inner")
-        return shifted.withColumn(self.name, F.col(self.name) + F.col(_BEFORE)).drop(_SLICE, _BEFORE)
+        return shifted.withColumn(self.name, self.after(F.col(self.name), F.col(_BEFORE))).drop(_SLICE, _BEFORE)
 
 
 def _large_groups(df: DataFrame, keys: list[str], hot_rows: int | None) -> tuple[DataFrame, int, int] | None:
@@ -136,6 +141,18 @@ def running_total(
     return _accumulate(df, keys, [step], hot_rows)
 
 
+def largest_so_far(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str, hot_rows: int | None = None
+) -> DataFrame:
+    """Add the largest ``value`` up to and including each row; nulls are passed over. ``order`` must be total.
+
+    With a value that grows in ``order``, such as a struct of time and id that only some rows have, it is the latest of them.
+    """
+    rows_so_far = lambda window: window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = _Step(name, list(order), value, lambda window: F.max(value).over(rows_so_far(window)), F.max, F.greatest)
+    return _accumulate(df, keys, [step], hot_rows)
+
+
 def rank_with_ties(
     df: DataFrame, keys: Sequence[str], value: str, name: str, ascending: bool = True, hot_rows: int | None = None
 ) -> DataFrame:

@@ -13,9 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.functions.columns import ratio
-from shelfscope.operators.ordered import rank_rows_by, rank_with_ties
+from shelfscope.operators.ordered import largest_so_far, rank_rows_by, rank_with_ties
 from shelfscope.operators.relational import drop_groups_with
 
+# Scenarios and the component of a clickstream.
+SEARCH_SCENARIO = "internal-search"
+VIEW_SCENARIO = "view-product"
+INTERNAL_COMPONENT = "internal search"
+
 
 def complete_groups(listings: DataFrame, page: str, score: str) -> DataFrame:
     """Drop every listing of a page on which any listing lacks a score."""
@@ -82,6 +87,39 @@ def clicked_listings(
     return listings.join(views.select(*keys), list(keys))
 
 
+def views_in_order(
+    clickstream: DataFrame,
+    keys: Sequence[str] = ("session", "upc"),
+    at: str = "click_time",
+    identifier: str = "click_id",
+    view_component: str | None = INTERNAL_COMPONENT,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Each product view with the listing it came from: (keys, view_id, viewed_at, listing_id, listed_at).
+
+    Listings are the rows of the search scenario, views those of the product scenario, where ``view_component`` also restricts
+    the part of the site they started in; None takes all. A view belongs to the latest listing of the same keys that is not later, of
+    equally late ones to that with the larger id, and to none if there is none. The stream is read and shuffled once, and a view
+    stays one row however often its product was listed. Rows without a time take no part.
+    """
+    scenario, component = F.col("scenario"), F.col("component")
+    listed = scenario == SEARCH_SCENARIO
+    viewed = (scenario == VIEW_SCENARIO) & (F.lit(view_component is None) | (component == F.lit(view_component)))
+    rows = clickstream.filter(F.col(at).isNotNull() & (listed | viewed))
+    rows = rows.select(*keys, F.col(at).alias("__at"), F.col(identifier).alias("__id"), viewed.alias("__view"))
+    mark = F.when(~F.col("__view"), F.struct("__at", "__id"))
+    order = [F.col(c).asc() for c in ("__at", "__view", "__id")]
+    latest = largest_so_far(rows, keys, order, mark, "__latest", hot_rows).filter("__view")
+    names = {"__id": "view_id", "__at": "viewed_at", "__latest.__id": "listing_id", "__latest.__at": "listed_at"}
+    return latest.select(*keys, *[F.col(c).alias(a) for c, a in names.items()])
+
+
+def clicked_in_order(views: DataFrame, keys: Sequence[str] = ("session", "upc")) -> DataFrame:
+    """Listings with the views that belong to them: (keys, listing_id, n_views, first_view). Views without a listing drop out."""
+    known = views.filter(F.col("listing_id").isNotNull())
+    return known.groupBy(*keys, "listing_id").agg(F.count(F.lit(1)).alias("n_views"), F.min("viewed_at").alias("first_view"))
+
+
 def displacement_metrics(
     listings: DataFrame,
     displaced: DataFrame,

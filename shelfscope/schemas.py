@@ -13,6 +13,7 @@ TABLES: dict[str, str] = {
     "search_listing": "session string, click_id string, click_date date, upc string, item_index int, "
     "monetized boolean, relevance_score double, scenario string, component string, text_typed string, "
     "banner string",
+    "clickstream": "session string, upc string, click_id string, click_time timestamp, scenario string, component string",
     "transaction": "household_id string, upc string, net_spend double, loyalty_amount double, retail_amount double, "
     "units bigint, trn_dt int, trn_tm string",
     "household": "household_id string, hashed_id string",

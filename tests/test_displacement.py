@@ -1,7 +1,11 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from shelfscope.plans import displacement as D
+from shelfscope.schemas import schema_of
 
 SCHEMA = "session string, click_id string, upc string, item_index int, monetized boolean, relevance_score double"
 
@@ -77,3 +81,35 @@ def test_histograms(listings, spark, rows):
     assert rows(D.displacement_histogram(D.rank_displacement(listings))) == [(-1, 2), (0, 1), (1, 1), (2, 1)]
     log = spark.createDataFrame([(3, 1), (4, 2), (1, 1), (None, 2)], "o int, p int")
     assert rows(D.organic_against_paid(log, "o", "p")) == [(0, 1), (2, 2), (None, 1)]
+
+
+@pytest.mark.parametrize("hot_rows", [None, 5])
+def test_views_belong_to_the_latest_listing_before_them(spark, hot_rows):
+    """Random streams, one session with a third of all rows, equal times, a scenario and a component that do not count."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        session, upc = rng.choice(["hot", f"s{i % 20}", f"s{i % 20}"]), rng.choice(["a", "b", None])
+        scenario, component = rng.choice(["internal-search", "view-product", "other", None]), rng.choice(["internal search", "internal search", "home", None])
+        rows.append((session, upc, f"c{i:03}", rng.choice([None, *range(30)]), scenario, component))
+    df = spark.createDataFrame(rows, "session string, upc string, click_id string, click_time int, scenario string, component string").repartition(4)
+    for part in ("internal search", None):
+        want = set()
+        for s, u, i, at, scenario, component in rows:
+            if scenario == "view-product" and at is not None and part in (None, component):
+                earlier = [(t, c) for s2, u2, c, t, sc, _ in rows if (s2, u2, sc) == (s, u, "internal-search") and t is not None and t <= at]
+                time, listing = max(earlier, default=(None, None))
+                want.add((s, u, i, at, listing, time))
+        got = D.views_in_order(df, view_component=part, hot_rows=hot_rows)
+        assert got.columns == ["session", "upc", "view_id", "viewed_at", "listing_id", "listed_at"]
+        found = [tuple(r) for r in got.collect()]
+        assert set(found) == want and len(found) == len(want)
+        clicked = {(r.session, r.upc, r.listing_id): r.n_views for r in D.clicked_in_order(got).collect()}
+        assert clicked == Counter((s, u, listing) for s, u, _, _, listing, _ in want if listing)
+
+
+def test_views_take_one_shuffle(spark):
+    df = spark.createDataFrame([], schema_of("clickstream"))
+    views = D.views_in_order(df)
+    plan = views._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan and views.count() == 0
