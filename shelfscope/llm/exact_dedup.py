@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import stage, texts, without
+from shelfscope.llm.common import hinted, stage, texts
 from shelfscope.llm.ragged import BLOCK, mix, slices, text_bytes
 
 WINDOW = 32
@@ -60,21 +60,24 @@ def _chunked(batches: Iterator[pa.RecordBatch], hash_bits: int):
             yield part, raw, offsets, bounds, hashes, np.searchsorted(ends, offsets, "right")
 
 
-def chunk_rows(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
-    """One row for each chunk: document id, position, hash, bytes."""
+def chunk_rows(docs: DataFrame, hash_bits: int = 64, digests: bool = False) -> DataFrame:
+    """One row for each chunk: hash and bytes; with ``digests`` also its position and the digest of its text."""
 
     def run(batches):
         for part, raw, offsets, bounds, hashes, first in _chunked(batches, hash_bits):
-            rows = np.repeat(np.arange(part.num_rows), np.diff(first))
-            yield pa.record_batch({
-                "__id": part.column("__id").take(pa.array(rows)),
-                "seq": pa.array(np.arange(len(rows)) - first[rows], pa.int64()),
-                "chunk_hash": pa.array(hashes, pa.int64()),
-                "chunk": pa.array([bytes(raw[a:b]) for a, b in bounds], pa.binary()),
-            })
+            columns = {"chunk_hash": pa.array(hashes, pa.int64()), "chunk": pa.array([bytes(raw[a:b]) for a, b in bounds], pa.binary())}
+            if digests:
+                rows = np.repeat(np.arange(part.num_rows), np.diff(first))
+                columns["seq"] = pa.array(np.arange(len(rows)) - first[rows], pa.int64())
+                columns["digest"] = _digests(raw, offsets).take(pa.array(rows))
+            yield pa.record_batch(columns)
 
-    kind = docs.schema["__id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"__id {kind}, seq long, chunk_hash long, chunk binary")
+    return docs.mapInArrow(run, "chunk_hash long, chunk binary" + (", seq long, digest string" if digests else ""))
+
+
+def _digests(raw: memoryview, offsets: np.ndarray) -> pa.Array:
+    places = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+    return pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in places], pa.string())
 
 
 def recipes(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
@@ -83,56 +86,82 @@ def recipes(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     def run(batches):
         for part, raw, offsets, bounds, hashes, first in _chunked(batches, hash_bits):
             lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(hashes, pa.int64()))
-            places = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
-            digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in places]
-            yield pa.record_batch({"__id": part.column("__id"), "recipe": lists, "digest": pa.array(digests, pa.string())})
+            yield pa.record_batch({"__id": part.column("__id"), "recipe": lists, "digest": _digests(raw, offsets)})
 
     kind = docs.schema["__id"].dataType.simpleString()
     return docs.mapInArrow(run, f"__id {kind}, recipe array<long>, digest string")
 
 
 def _variants(docs: DataFrame, clashes: DataFrame, hash_bits: int) -> DataFrame:
-    """For documents with a chunk whose hash stands for several contents: the variant of each chunk, in order."""
-    chunks = chunk_rows(docs, hash_bits)
-    contents = chunks.join(clashes, "chunk_hash", "left_semi").select("chunk_hash", "chunk").distinct()
+    """For texts with a chunk whose hash stands for several contents: the places of such chunks and their variants.
+
+    Only chunks with such a hash leave the tasks that cut them.
+    """
+    chunks = chunk_rows(docs, hash_bits, digests=True).join(hinted(clashes, 32), "chunk_hash", "left_semi")
+    chunks = stage(chunks.distinct(), "clashing")
     order = Window.partitionBy("chunk_hash").orderBy("chunk")
-    numbered = contents.withColumn("variant", F.row_number().over(order))
-    named = chunks.join(numbered, ["chunk_hash", "chunk"], "left")
-    return (
-        named.dropDuplicates(["__id", "seq", "chunk_hash", "chunk"])
-        .groupBy("__id")
-        .agg(F.max("variant").alias("any"), F.array_sort(F.collect_list(F.struct("seq", F.coalesce("variant", F.lit(0)).alias("v")))).alias("l"))
-        .filter(F.col("any").isNotNull())
-        .select("__id", F.transform("l", lambda x: x["v"]).alias("variants"))
-    )
+    numbered = chunks.select("chunk_hash", "chunk").distinct().withColumn("variant", F.row_number().over(order))
+    named = chunks.join(numbered, ["chunk_hash", "chunk"]).select("digest", F.struct("seq", "variant").alias("v"))
+    return named.groupBy("digest").agg(F.array_sort(F.collect_list("v")).alias("variants"))
 
 
 def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", hash_bits: int = 64) -> DataFrame:
-    """One row per document: ``__id``, ``keep_id`` (largest id with the same text), ``group_size``, ``kept``, ``digest``.
+    """One row for each row of ``docs``: ``__id``, ``keep_id`` (largest id with the same text), ``group_size``, ``kept``, ``digest``.
 
-    Texts are equal when all their code points are; null counts as empty, and all empty texts are equal. Rows that repeat
-    both id and text are one document. An id must not stand for two texts; a row without an id
-    always stays. An empty table gives no rows; other columns of ``docs`` are
+    Texts are equal when all their code points are; null counts as empty, and all empty texts are equal. Of the rows
+    with one text exactly one is kept: one with the largest id, or with none if all lack an id. Rows that repeat id and text
+    count each. ``keep_id`` is null where no row of the text has an id. An empty table gives no rows; other columns of ``docs`` are
     not read. ``hash_bits`` below 64 makes chunk hashes clash, for tests.
     """
     rows = texts(docs, id_column, text_column)
     per_hash = chunk_rows(rows, hash_bits).groupBy("chunk_hash").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
     clashes = stage(per_hash.filter(F.col("least") != F.col("most")).select("chunk_hash"), "clashes")
     written = recipes(rows, hash_bits)
+    none = F.array().cast("array<struct<seq:bigint,variant:int>>")
     if clashes.isEmpty():
-        written = written.withColumn("variants", F.lit(None).cast("array<int>"))
+        written = written.withColumn("variants", none)
     else:
-        written = written.join(_variants(rows, clashes, hash_bits), "__id", "left")
-    key = [F.coalesce("recipe", F.array().cast("array<long>")).alias("recipe"), F.coalesce("variants", F.array().cast("array<int>")).alias("variants")]
-    written = stage(written.select("__id", "digest", *key).distinct(), "recipes")
-    shared = written.groupBy("recipe", "variants").agg(F.max("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        written = written.join(_variants(rows, clashes, hash_bits), "digest", "left").withColumn("variants", F.coalesce("variants", none))
+    recipe = F.coalesce("recipe", F.array().cast("array<long>")).alias("recipe")
+    # The number of a row is fixed by the file it is written to.
+    written = stage(written.select("__id", "digest", recipe, "variants", F.monotonically_increasing_id().alias("row")), "recipes")
+    shared = written.groupBy("recipe", "variants").agg(F.max(F.struct("__id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     shared = stage(shared.filter("group_size > 1"), "groups")
     joined = written.join(shared, ["recipe", "variants"], "left")
-    keep = F.coalesce("keep_id", "__id")
-    return joined.select("__id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), (F.col("__id").isNull() | (keep == F.col("__id"))).alias("kept"), "digest")
+    alone = F.col("keep").isNull()
+    return joined.select(
+        "__id", F.when(alone, F.col("__id")).otherwise(F.col("keep.__id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        (alone | (F.col("keep.row") == F.col("row"))).alias("kept"), "digest",
+    )
 
 
 def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows of ``docs`` with one document for each text, all columns unchanged."""
+    """Rows of ``docs`` with one row for each text, all columns unchanged.
+
+    The row with the largest id stays. Of rows that repeat id and text one stays, whichever, and of equal texts that all lack an
+    id too; a row without an id goes if its text is there with an id.
+    """
     found = exact_duplicates(docs, id_column, text_column)
-    return without(docs, id_column, found.filter(~F.col("kept")).select("__id"))
+    pairs = found.groupBy("__id", "digest").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    changed = stage(pairs.filter("n > 1 OR NOT stays"), "changed")
+    return keep_pairs(docs, changed, id_column, text_column)
+
+
+def keep_pairs(docs: DataFrame, changed: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``docs`` without the pairs of id and text digest that ``changed`` says do not stay, and each of its others once.
+
+    ``changed`` is a written table of (__id, digest, stays); rows of ``docs`` it does not name stay as they are.
+    """
+    prefix = "__changed"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    names = {c: f"{prefix}{c}" for c in ("__id", "digest", "stays")}
+    own, digest, stays = names.values()
+    digests = F.sha2(F.coalesce(docs[text_column], F.lit("")), 256)
+    small = hinted(changed.select(*[F.col(c).alias(n) for c, n in names.items()]), 160)
+    named = docs[id_column].eqNullSafe(small[own]) & (digests == small[digest])
+    untouched = docs.join(small, named, "left_anti")
+    if changed.filter("stays").isEmpty():
+        return untouched
+    once = docs.join(small.filter(stays), named, "inner").dropDuplicates([own, digest])
+    return untouched.unionByName(once.select(*docs.columns))

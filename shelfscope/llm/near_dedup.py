@@ -324,6 +324,14 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_column:
 
 
 def drop_near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:  # noqa: B008
-    """Rows of ``docs`` with one document for each group, all columns unchanged."""
+    """Rows of ``docs`` with one document for each group, all columns unchanged. Rows without an id stay; of rows that
+    repeat the id that stays one does."""
     found = near_duplicates(docs, settings, id_column, text_column)
-    return without(docs, id_column, found.filter(~F.col("kept")).select("__id"))
+    per_id = found.filter(F.col("__id").isNotNull()).groupBy("__id").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    changed = stage(per_id.filter("n > 1 OR NOT stays"), "changed")
+    left = without(docs, id_column, changed.select("__id"))
+    again = changed.filter("stays").toDF(*[f"{id_column}__{c}" for c in ("again", "stays", "n")])
+    if again.isEmpty():
+        return left
+    once = docs.join(hinted(again, 32), docs[id_column] == again[0], "left_semi").dropDuplicates([id_column])
+    return left.unionByName(once)

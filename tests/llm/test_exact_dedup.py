@@ -1,42 +1,56 @@
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from shelfscope.llm.exact_dedup import cut_points, drop_duplicates, exact_duplicates
+from shelfscope.llm.queries import QUERIES, SQL
 from shelfscope.llm.ragged import text_bytes
 
 
 def expected(rows):
-    groups = defaultdict(set)
+    """One row for each row, as a multiset; of the rows that may stay for a text one does."""
+    groups = defaultdict(list)
     for i, t in rows:
-        groups[t or ""].add(i)
-    out = set()
+        groups[t or ""].append(i)
+    out = Counter()
     for text, ids in groups.items():
         keep = max((i for i in ids if i is not None), default=None)
-        for i in ids:
-            own = keep if keep is not None else i
-            out.add((i, own, len(ids), i is None or i == own, hashlib.sha256(text.encode()).hexdigest()))
+        for place, i in enumerate(sorted(ids, key=lambda i: (i is not None, i or 0), reverse=True)):
+            out[i, keep, len(ids), place == 0, hashlib.sha256(text.encode()).hexdigest()] += 1
     return out
 
 
-@pytest.mark.parametrize("hash_bits", [64, 3])
+@pytest.mark.parametrize("hash_bits", [64, 3, 1])
 def test_matches_brute_force_also_when_chunk_hashes_clash(odd_documents, hash_bits):
     rows = [(r.doc_id, r.text) for r in odd_documents.collect()]
-    found = exact_duplicates(odd_documents.filter("doc_id IS NOT NULL") if hash_bits < 64 else odd_documents, hash_bits=hash_bits)
-    rows = [r for r in rows if hash_bits == 64 or r[0] is not None]
-    got = [tuple(r) for r in found.collect()]
-    assert len(got) == len(set(got))
-    assert set(got) == expected(rows)
+    assert Counter(tuple(r) for r in exact_duplicates(odd_documents, hash_bits=hash_bits).collect()) == expected(rows)
 
 
-def test_drop_keeps_columns_and_rows_without_id(odd_documents):
+def test_agrees_with_its_sql_on_repeated_rows_and_null_ids(corpus_session, odd_documents, tmp_path):
+    odd_documents.unionByName(odd_documents.filter("doc_id IN (2, 6, 10) OR doc_id IS NULL")).write.parquet(str(tmp_path / "documents.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    theirs = connection.sql(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({SQL['op1_exact_dedup']})").fetchall()
+    ours = QUERIES["op1_exact_dedup"](corpus_session, str(tmp_path)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    assert Counter(map(tuple, ours)) == Counter(theirs) and len(ours) == len(theirs)
+
+
+def test_drop_keeps_one_row_for_each_text(odd_documents):
     kept = drop_duplicates(odd_documents)
     assert kept.columns == odd_documents.columns
+    texts = [r.text or "" for r in kept.collect()]
+    assert sorted(texts) == sorted({r.text or "" for r in odd_documents.collect()})
     ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(None) == 2 and 1 not in ids and 3 not in ids and {2, 4, 11} <= set(ids)
+    assert ids.count(None) == 1 and ids.count(2) == 1 and 1 not in ids and 3 not in ids and {4, 11} <= set(ids)
+
+
+def test_texts_that_all_lack_an_id(corpus_session):
+    docs = corpus_session.createDataFrame([(None, "a", 1), (None, "a", 2), (None, None, 3), (5, "b", 4), (5, "b", 5), (5, "c", 6)], "doc_id long, text string, __changed_9 int")
+    assert sorted(str((r.doc_id, r.text)) for r in drop_duplicates(docs).collect()) == ["(5, 'b')", "(5, 'c')", "(None, 'a')", "(None, None)"]
 
 
 def test_empty_table(odd_documents):

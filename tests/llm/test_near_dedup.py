@@ -88,3 +88,9 @@ def test_components(corpus_session):
 
 def test_empty_table(odd_documents):
     assert near_duplicates(odd_documents.limit(0)).collect() == []
+
+
+def test_of_repeated_rows_one_stays(corpus_session, prose):
+    base = prose(21, 80)
+    docs = corpus_session.createDataFrame([(1, base), (1, base), (2, base + " x"), (3, prose(22, 80)), (3, prose(22, 80)), (None, base), (None, base)], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in drop_near_duplicates(docs).collect()) == ["1", "3", "None", "None"]
