@@ -28,7 +28,7 @@ def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-PYTHON_TASKS = {"similar_topk", "keyword_concept_map", "kendall_tau", "kendall_tau_blocks"}
+PYTHON_TASKS = {"similar_topk", "similar_topk_routed", "keyword_concept_map"} | {f"kendall_tau{kind}" for kind in ("", "_blocks", "_normal", "_ties")}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - PYTHON_TASKS))
