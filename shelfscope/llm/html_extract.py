@@ -10,6 +10,7 @@ once, and text whose element is more likely content than not makes up the result
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -27,6 +28,8 @@ from shelfscope.llm.ragged import slices
 SAMPLE_PAGES = 4000
 # How far a feature can move the log odds of a node: one that names a purpose, and one that any part of a page may have.
 NAMED_BOUND, PLAIN_BOUND = 7.0, 1.5
+# Sightings on labelled pages that weigh as much as the purpose that a feature names.
+NAMED_SIGHTINGS = 200
 # How much likelier a child is to have the label of its parent than the other, at most: log odds for block and inline children of
 # elements that are not content, and of those that are.
 EDGE_BOUNDS = ((3.5, 3.5), (6.5, 6.5))
@@ -50,13 +53,11 @@ OTHER_WORDS = frozenset(
     "subscription toolbar widget widgets".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S,
-)
+_COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))", re.S)
+# A tag whose attribute values may hold ">" in quotes, and one that ends at the first ">".
+_QUOTED_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -71,56 +72,104 @@ class Page:
     pieces: list[tuple[int, str | None]] = field(default_factory=list)
 
 
+class _Open:
+    """The open elements. No operation looks at more of them than it closes, but for a few that could be siblings."""
+
+    def __init__(self, tags: list[str]):
+        self.tags, self.stack, self.count = tags, [0], Counter()
+        # For each place of the stack the nearest place at or below it that is no inline element, or that lists stop at.
+        self.block, self.listed = [0], [0]
+
+    def push(self, element: int):
+        tag, at = self.tags[element], len(self.stack)
+        self.stack.append(element)
+        self.count[tag] += 1
+        self.block.append(self.block[-1] if tag in INLINE_TAGS else at)
+        self.listed.append(at if tag in SIBLING_TAGS or tag in SIBLING_BOUNDS else self.listed[-1])
+
+    def cut(self, at: int):
+        for element in self.stack[at:]:
+            self.count[self.tags[element]] -= 1
+        del self.stack[at:], self.block[at:], self.listed[at:]
+
+    def end(self, tag: str):
+        """Close the innermost element of this tag and all inside it; an end tag without one is passed over."""
+        if self.count[tag]:
+            self.cut(next(k for k in range(len(self.stack) - 1, 0, -1) if self.tags[self.stack[k]] == tag))
+
+    def begin_block(self):
+        """A block closes the paragraph it stands in, with the inline elements between."""
+        at = self.block[-1]
+        if self.tags[self.stack[at]] == CLOSED_BY_BLOCK:
+            self.cut(at)
+
+    def begin_sibling(self, closes: set[str]):
+        """A list item, cell or option closes the one before it in the same list."""
+        at = self.listed[-1]
+        while at > 0 and (tag := self.tags[self.stack[at]]) not in SIBLING_BOUNDS:
+            if tag in closes:
+                self.cut(at)
+                return
+            at = self.listed[at - 1]
+
+
 def parse(html: str) -> Page:
-    """Elements of a page. Unclosed and misplaced tags are taken as browsers take them, as far as text is concerned."""
-    page, stack, at, size = Page(), [0], 0, len(html)
-    tags = page.tag
+    """Elements of a page. Unclosed and misplaced tags are taken as browsers take them, as far as text is concerned.
+
+    One forward pass in linear time. Quotes count after an equals sign; from a tag on that they would leave open to the end
+    of the page, tags end at their first ">".
+    """
+    page, size = Page(), len(html)
+    tags, opened = page.tag, _Open(page.tag)
+    stack, last_end, pattern = opened.stack, html.rfind(">"), _QUOTED_TAG
+    at = seek = 0
 
     def text(piece: str):
         if piece:
             page.pieces.append((stack[-1], unescape(piece) if "&" in piece else piece))
 
     while at < size:
-        token = _TOKEN.search(html, at)
-        if token is None:
+        start = html.find("<", seek)
+        mark = html[start + 1 : start + 2]
+        if start < 0 or (start > last_end and not html.startswith("<!--", start)):
             text(html[at:])
             break
-        text(html[at : token.start()])
-        at = token.end()
-        tag = token["tag"] or token["tag2"]
-        if tag is None:
+        if html.startswith("<!--", start):
+            text(html[at:start])
+            at = seek = _COMMENT.match(html, start).end()
+            continue
+        name = html[start + 2 : start + 3] if mark == "/" else mark
+        if name not in _LETTERS:
+            if mark in ("!", "?", "/"):
+                text(html[at:start])
+                at = seek = html.index(">", start) + 1
+            else:
+                seek = start + 1
             continue
-        tag = tag.lower()
+        token = pattern.match(html, start)
+        if token is None:
+            pattern = _PLAIN_TAG
+            token = pattern.match(html, start)
+        text(html[at:start])
+        at = seek = token.end()
+        tag, rest = token[2].lower(), token[3]
         if tag not in INLINE_TAGS:
             page.pieces.append((stack[-1], None))
-        if token["end"] or token["end2"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == tag:
-                    del stack[k:]
-                    break
+        if token[1]:
+            opened.end(tag)
             continue
         if tag in RAW_TAGS:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            if not (token["rest"] or "").rstrip().endswith("/") or tag not in {"svg", "math"}:
-                at = close.end() if close else size
+            if not rest.rstrip().endswith("/") or tag not in {"svg", "math"}:
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+                after = html.find(">", close.end()) if close else -1
+                at = seek = after + 1 or size
             continue
         if tag in VOID_TAGS:
             continue
         if tag not in INLINE_TAGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == CLOSED_BY_BLOCK:
-                    del stack[k:]
-                    break
-                if tags[stack[k]] not in INLINE_TAGS:
-                    break
+            opened.begin_block()
         if tag in SIBLING_TAGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] in SIBLING_TAGS[tag]:
-                    del stack[k:]
-                    break
-                if tags[stack[k]] in SIBLING_BOUNDS:
-                    break
-        rest = token["rest"] or token["rest2"] or ""
+            opened.begin_sibling(SIBLING_TAGS[tag])
         names = ()
         if "=" in rest:
             values = " ".join(a or b or c for a, b, c in _NAMES.findall(rest))
@@ -128,7 +177,7 @@ def parse(html: str) -> Page:
         page.parent.append(stack[-1])
         page.tag.append(tag)
         page.names.append(names)
-        stack.append(len(page.parent) - 1)
+        opened.push(len(page.parent) - 1)
     return page
 
 
@@ -147,6 +196,35 @@ def labels(page: Page) -> list[bool] | None:
     return out
 
 
+def aligned(page: Page, text: str) -> list[bool] | None:
+    """Content or not for each element, from the page's known main text; None if its pieces do not make up that text.
+
+    Pieces are matched in page order without white space. An element without text of its own is content if most of the
+    text inside it is, and as its parent is if there is none.
+    """
+    left, at = "".join(text.split()), 0
+    inside, outside = [0] * len(page.parent), [0] * len(page.parent)
+    for element, piece in page.pieces:
+        packed = "".join(piece.split()) if piece else ""
+        if packed and left.startswith(packed, at):
+            at += len(packed)
+            inside[element] += len(packed)
+        else:
+            outside[element] += len(packed)
+    if at < len(left):
+        return None
+    own = [a > b if a + b else None for a, b in zip(inside, outside, strict=True)]
+    for i in range(len(page.parent) - 1, 0, -1):
+        inside[page.parent[i]] += inside[i]
+        outside[page.parent[i]] += outside[i]
+    out: list[bool] = []
+    for i, known in enumerate(own):
+        if known is None:
+            known = inside[i] > outside[i] if inside[i] + outside[i] else bool(i) and out[page.parent[i]]
+        out.append(known)
+    return out
+
+
 def _bucket(words: int) -> int:
     return min(words.bit_length(), 7)
 
@@ -204,8 +282,12 @@ def fit(counts: dict[tuple[str, str], int]) -> Potentials:
         # A feature that names a purpose starts from that; one seen no more often on either side says little.
         a, b = counts.get((f, "1"), 0) + 0.5, counts.get((f, "0"), 0) + 0.5
         value = np.log(a / (n[1] + 1)) - np.log(b / (n[0] + 1))
-        named = _named(f)
-        odds[f] = NAMED_BOUND * named if named else float(np.clip(value, -PLAIN_BOUND, PLAIN_BOUND))
+        named, seen = _named(f), a + b
+        if named:
+            shown = seen * np.clip(value, -NAMED_BOUND, NAMED_BOUND)
+            odds[f] = float((NAMED_SIGHTINGS * NAMED_BOUND * named + shown) / (NAMED_SIGHTINGS + seen))
+        else:
+            odds[f] = float(np.clip(value, -PLAIN_BOUND, PLAIN_BOUND))
     # Third kind of child: one that names another purpose. It is what it is wherever it stands and says nothing about its parent.
     edge = np.full((3, 2, 2), np.log(0.5))
     for inline in (0, 1):
@@ -254,15 +336,18 @@ def extract(pages: list[Page], potentials: Potentials) -> list[str]:
     return out
 
 
-def fitted(rows: DataFrame, sample: int) -> Potentials:
-    """Potentials from about ``sample`` pages; what comes to the driver is one number for each feature and label."""
+def fitted(rows: DataFrame, sample: int, labelled: DataFrame | None = None) -> Potentials:
+    """Potentials from about ``sample`` pages; what comes to the driver is one number for each feature and label.
+
+    Pages with a known ``__truth`` (``labelled``) are counted beside those that name their article themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         counts: dict[tuple[str, str], int] = {}
         for batch in batches:
-            for html in batch.column("__text").to_pylist():
+            for html, truth in zip(batch.column("__text").to_pylist(), batch.column("__truth").to_pylist(), strict=True):
                 page = parse(html)
-                known = labels(page)
+                known = labels(page) if truth is None else aligned(page, truth)
                 if known is None:
                     continue
                 for i, own in enumerate(features(page)):
@@ -272,26 +357,37 @@ def fitted(rows: DataFrame, sample: int) -> Potentials:
                         # Class and id words are unbounded; only those with a meaning known beforehand are counted.
                         if not f.startswith("name=") or _named(f):
                             counts[f, y] = counts.get((f, y), 0) + 1
+        # Names of made-up elements are unbounded too: those above 15 letters, more than any of HTML, have no potential of their own.
         keys = [k for k in counts if not k[0].startswith("tag=") or len(k[0]) < 20]
         yield pa.record_batch({"feature": pa.array([k[0] for k in keys], pa.string()), "label": pa.array([k[1] for k in keys], pa.string()), "n": pa.array([counts[k] for k in keys], pa.int64())})
 
-    n = rows.count()
-    picked = F.pmod(F.xxhash64("__text"), F.lit(1 << 30)) < min(1.0, sample / max(n, 1)) * (1 << 30)
-    seen = rows.select("__text").filter(picked).mapInArrow(run, "feature string, label string, n long")
+    def picked(pages: DataFrame, truth):
+        part = min(1.0, sample / max(pages.count(), 1)) * (1 << 30)
+        return pages.filter(F.pmod(F.xxhash64("__text"), F.lit(1 << 30)) < part).select("__text", truth.alias("__truth"))
+
+    seen = picked(rows, F.lit(None).cast("string"))
+    if labelled is not None:
+        seen = seen.unionByName(picked(labelled, F.coalesce("__truth", F.lit(""))))
+    seen = seen.mapInArrow(run, "feature string, label string, n long")
     return fit({(r["feature"], r["label"]): r["n"] for r in seen.groupBy("feature", "label").agg(F.sum("n").alias("n")).collect()})
 
 
-def main_text(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", sample: int = SAMPLE_PAGES) -> DataFrame:
+def main_text(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", sample: int = SAMPLE_PAGES, labelled: DataFrame | None = None) -> DataFrame:
     """One row for each row of ``pages``: ``__id``, ``url`` (if there is one), ``text`` and ``n_chars``, its code points.
 
     Character references are decoded, white space inside a block becomes one blank, blocks follow each other in page
     order with one blank between them. Null and empty pages, and pages without content, give an empty text. Repeated rows are
     extracted each; an empty table gives no rows; other columns are not read. A page whose labels are equally likely is not
     content. Without labelled pages the potentials are those that tags and class words have by their meaning.
+
+    ``labelled`` holds pages whose main text is known, in ``html_column`` and ``text``, for sites that use names in their own
+    way: what they show weighs against the meaning of a name by its sightings. At most about ``sample`` of them are taken. A
+    page whose pieces do not make up its text teaches nothing; a null text is an empty one.
     """
     url = pages["url"] if "url" in pages.columns else F.lit(None).cast("string")
     rows = texts(pages, id_column, html_column, url=url)
-    potentials = fitted(rows, sample)
+    taught = None if labelled is None else texts(labelled, labelled.columns[0], html_column, __truth=labelled["text"])
+    potentials = fitted(rows, sample, taught)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

@@ -1,11 +1,12 @@
 import itertools
 import re
+import time
 from html import unescape
 
 import numpy as np
 import pytest
 
-from shelfscope.llm.html_extract import extract, fit, main_text, marginals, parse
+from shelfscope.llm.html_extract import aligned, extract, fit, main_text, marginals, parse
 
 ARTICLE = "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav><header>Top</header>%s<aside>side</aside><form>Name <input></form><footer>&copy; x</footer></body></html>"
 
@@ -55,3 +56,36 @@ def test_odd_pages(corpus_session):
     got = sorted((str(r["__id"]), len(r["text"])) for r in main_text(pages).collect())
     assert got == [("1", 0), ("1", 0), ("2", 0), ("3", 499_999), ("None", 1)]
     assert main_text(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<b>", "</i>", "<div>", "<li>", '<a b="> "', '<a "> "', "<a b='", "<svg/>", "<", "</script ", "<b><div></div>", "<!-"])
+def test_parser_is_linear(unit):
+    for before in ("", "<script>", "<ul>" + "<div>" * 20_000, "<b>" * 20_000):
+        began = time.process_time()
+        parse(before + unit * ((1 << 20) // len(unit)) + "</p>" * 1000)
+        assert time.process_time() - began < 6
+
+
+def test_quotes_left_open():
+    page = '<article><p title="a>b">one</p><p title="c>two</p><p>three</p></article>'
+    assert text_of(page) == "one two three"
+    assert text_of("<article><p it's>it's</p><p>x</p></article>") == "it's x"
+
+
+def test_pages_without_an_article_element():
+    paragraphs = "".join(f"<p>Some sentence number {i} with enough words in it to be read.</p>" for i in range(5))
+    page = f"<body><nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav><div><h1>Head</h1>{paragraphs}</div><footer>foot</footer></body>"
+    pages = [parse(page)]
+    known = aligned(pages[0], "Head" + re.sub("<[^>]+>", " ", paragraphs))
+    assert known is not None and [t for t, k in zip(pages[0].tag, known, strict=True) if k and t not in ("body", "#root")] == ["div", "h1"] + ["p"] * 5
+    assert aligned(pages[0], "other text") is None
+
+
+def test_labelled_pages_overrule_a_listed_word(corpus_session):
+    text = "A body of text that stands in a block of this name"
+    site = [f"<body><nav>menu</nav><div class='related work'><p>{text} {i}</p></div><div class='ad'>buy {i}</div></body>" for i in range(1500)]
+    pages = corpus_session.createDataFrame([(i, h) for i, h in enumerate(site[:5])], "page_id long, html string")
+    assert {r["text"] for r in main_text(pages).collect()} == {""}
+    labelled = corpus_session.createDataFrame([(h, f"{text} {i}") for i, h in enumerate(site)], "html string, text string")
+    got = {r["__id"]: r["text"] for r in main_text(pages, labelled=labelled).collect()}
+    assert got == {i: f"{text} {i}" for i in range(5)}
