@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from catalogue.registry import bind
 from catalogue.tables import SEARCH
-from shelfscope.functions.language import FUNCTION_WORDS, detect_language
 from shelfscope.operators.nearest import similar_topk as nearest
 from shelfscope.plans import keywords as K
 from shelfscope.plans import language as L
@@ -108,16 +107,25 @@ def keyword_map(t):
 
 # --- languages
 
-_HITS = ",\n  ".join(
-    f"len(list_filter(w, lambda x: x IN ({', '.join(repr(word) for word in listed)}))) AS {lang}"
-    for lang, listed in FUNCTION_WORDS.items()
-)
-_BEST = "greatest(" + ", ".join(FUNCTION_WORDS) + ")"
-_LANGUAGE = f"""words AS (SELECT *, string_split_regex(lower(text), '[^\\p{{L}}]+') AS w FROM documents),
-  hits AS (SELECT doc_id, text, source, lang AS declared, {_HITS.replace(" AS ", " AS s_")} FROM words),
-  spoken AS (SELECT doc_id, text, source, declared, CASE WHEN {_BEST.replace("(", "(s_").replace(", ", ", s_")} = 0
-    THEN 'und' {" ".join(f"WHEN s_{lang} = {_BEST.replace('(', '(s_').replace(', ', ', s_')} THEN '{lang}'"
-    for lang in FUNCTION_WORDS)} END AS language FROM hits)"""
+_TAGS = ["de", "en", "es", "fr"]
+# The gain of a trigram is 0 where a profile lacks it; the earlier tag wins on equal scores.
+_LANGUAGE = r"""words AS (SELECT doc_id, lower(regexp_extract(lang, '^[^-_]*')) AS tag,
+    unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM documents),
+  grams AS (SELECT doc_id, tag, unnest(list_transform(range(1, length(word) + 1),
+    lambda i: substring(' ' || word || ' ', i, 3))) AS gram FROM words),
+  counted AS (SELECT tag, gram, count(*) AS n FROM grams WHERE tag IN ('de', 'en', 'es', 'fr') GROUP BY 1, 2),
+  placed AS (SELECT *, sum(n) OVER (PARTITION BY tag)::BIGINT AS total FROM counted),
+  gains AS (SELECT tag AS language, gram, round(ln(n * 1e5 / total) * 1000)::BIGINT AS gain FROM placed
+    WHERE n * 100000 >= total),
+  scores AS (SELECT doc_id, language, sum(gain) AS score FROM grams JOIN gains USING (gram) GROUP BY 1, 2),
+  best AS (SELECT doc_id, language FROM scores WHERE score > 0
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, language) = 1),
+  spoken AS (SELECT doc_id, text, source, lang AS declared, coalesce(language, 'und') AS language
+    FROM documents LEFT JOIN best USING (doc_id))"""
+
+
+def _profiles(t):
+    return L.language_profiles(t.documents, "text", "lang", _TAGS)
 
 
 _SEARCH_COLUMNS = ["doc_id", "text", "source"]
@@ -125,7 +133,7 @@ _SEARCH_COLUMNS = ["doc_id", "text", "source"]
 
 @bind("language_frequency", f"WITH {_LANGUAGE} SELECT language, count(*) AS n_searches FROM spoken GROUP BY 1")
 def language_frequency(t):
-    return L.language_frequency(t.documents, _SEARCH_COLUMNS, "text")
+    return L.language_frequency(t.documents, _SEARCH_COLUMNS, "text", _profiles(t))
 
 
 @bind(
@@ -133,7 +141,7 @@ def language_frequency(t):
     f"WITH {_LANGUAGE} SELECT language, text, count(*) AS n_searches FROM spoken GROUP BY 1, 2",
 )
 def language_text_frequency(t):
-    return L.language_text_frequency(L.search_texts(t.documents, _SEARCH_COLUMNS, "text"), "text")
+    return L.language_text_frequency(L.search_texts(t.documents, _SEARCH_COLUMNS, "text"), "text", _profiles(t))
 
 
 @bind(
@@ -141,5 +149,4 @@ def language_text_frequency(t):
     f"WITH {_LANGUAGE} SELECT declared, language, count(*) AS n_texts FROM spoken GROUP BY 1, 2",
 )
 def language_agreement(t):
-    detected = t.documents.select(c("lang").alias("declared"), detect_language(c("text")).alias("language"))
-    return detected.groupBy("declared", "language").agg(F.count(F.lit(1)).alias("n_texts"))
+    return L.language_agreement(t.documents, "text", "lang", _profiles(t))

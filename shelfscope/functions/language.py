@@ -1,4 +1,4 @@
-"""Language of a text from its function words."""
+"""Letter trigrams of a text and the tag of a declared language."""
 
 from __future__ import annotations
 
@@ -7,42 +7,17 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 
-# Frequent function words; on equal scores the earlier language wins.
-FUNCTION_WORDS: dict[str, tuple[str, ...]] = {
-    "en": ("the", "of", "and", "to", "in", "is", "that", "for", "it", "with", "as", "was", "on", "by", "are", "this"),
-    "de": ("der", "die", "und", "das", "den", "von", "zu", "mit", "ist", "des", "im", "nicht", "ein", "eine", "auf"),
-    "es": ("el", "los", "las", "del", "que", "por", "con", "para", "una", "su", "al", "como", "más", "pero", "sus"),
-    "fr": ("le", "les", "et", "des", "est", "dans", "que", "pour", "qui", "sur", "au", "une", "par", "pas", "plus"),
-}
-
 NOT_A_LETTER = r"[^\p{L}]+"
+# Three characters around a letter, found at every place: blanks stand for both ends of a word, none spans two words.
+AROUND_A_LETTER = r"(?=(.\p{L}.))"
 
 
-def words(text: Column) -> Column:
-    """Lower-cased words of a whole text."""
-    return F.split(F.lower(text), NOT_A_LETTER)
-
-
-def _is_one_of(listed: tuple[str, ...]):
-    return lambda word: word.isin(*listed)
-
-
-def _best(found: Column) -> Column:
-    """The (score, place, language) struct with the highest score for one array of words.
-
-    On equal scores the greater place wins: languages in their order, and before them ``und``, which scores nothing.
-    """
-    scores = {UNKNOWN: F.lit(0)} | {lang: F.size(F.filter(found, _is_one_of(w))) for lang, w in FUNCTION_WORDS.items()}
-    candidates = [
-        F.struct(score.alias("score"), F.lit(-place).alias("place"), F.lit(lang).alias("lang"))
-        for place, (lang, score) in enumerate(scores.items())
-    ]
-    return F.array_max(F.array(*candidates))
+def trigrams(text: Column) -> Column:
+    """All letter trigrams of the lower-cased words of a whole text, with a blank at both ends of a word."""
+    spaced = F.regexp_replace(F.lower(text), NOT_A_LETTER, " ")
+    return F.regexp_extract_all(F.concat(F.lit(" "), spaced, F.lit(" ")), F.lit(AROUND_A_LETTER), F.lit(1))
 
 
-def detect_language(text: Column) -> Column:
-    """The language with most function words, counted with repetition; ``und`` if there are none."""
-    # The one-element transform prepares the words once for all languages; most words belong to none. The result is
-    # referred to once, as these functions are evaluated at every reference.
-    listed = tuple(sorted(set().union(*FUNCTION_WORDS.values())))
-    return F.get(F.transform(F.array(F.filter(words(text), _is_one_of(listed))), _best), 0)["lang"]
+def primary_tag(declared: Column) -> Column:
+    """The first part of a language tag in small letters: ``en`` of ``en-US`` and ``EN_gb``."""
+    return F.lower(F.regexp_extract(declared, "^[^-_]*", 0))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.functions.columns import ratio
+from shelfscope.operators.digests import split_by_difference
 
 # The sensitivity classes and the texts for a name that one catalogue lacks.
 NOT_SENSITIVE, SENSITIVE, UNCLEAR = "0", "1", "UNKNOWN"
@@ -67,12 +68,15 @@ def reconcile(left: DataFrame, right: DataFrame, sensitive: DataFrame, name: str
 
     Names of the left catalogue that are matched, not sensitive and without an amount are left out. ``status`` says
     which side is missing; ``impact`` is the amount of a matched sensitive name and 0 for a matched other one, null
-    where a side is missing.
+    where a side is missing. Names are joined only where digests of the catalogues differ; elsewhere all names are matched
+    and the rows of ``right`` stay where they were read.
     """
-    ours = left.select(name).distinct().withColumn("__left", F.lit(True))
-    theirs = right.select(name, amount).withColumn("__right", F.lit(True))
     listed = sensitive.select(name).withColumn("__listed", F.lit(1))
-    joined = ours.join(theirs, name, "full").join(listed, name, "left")
+    our_changes, their_changes, unchanged = split_by_difference(left.select(name), right.select(name, amount), name)
+    ours = our_changes.distinct().withColumn("__left", F.lit(True))
+    theirs = their_changes.withColumn("__right", F.lit(True))
+    unchanged = unchanged.withColumns({"__left": F.lit(True), "__right": F.lit(True)})
+    joined = ours.join(theirs, name, "full").unionByName(unchanged).join(listed, name, "left")
     in_left, in_right = F.col("__left").isNotNull(), F.col("__right").isNotNull()
     level = F.when(in_left & F.col("__listed").isNull(), 0).otherwise(F.col("__listed"))
     graded = joined.withColumn("sensitive", level)

@@ -10,7 +10,7 @@ from shelfscope.functions import arrays as A
 from shelfscope.functions import columns as C
 from shelfscope.functions import taxonomy as T
 from shelfscope.functions.inversions import inversions
-from shelfscope.functions.language import FUNCTION_WORDS, detect_language
+from shelfscope.functions.language import primary_tag, trigrams
 
 
 def one(spark, column, *values, schema):
@@ -99,12 +99,13 @@ def test_arrays(spark):
     assert tuple(got) == (True, False, ["a", "c"], 0, 2, ["b", "c", "a"])
 
 
-def test_language(spark):
-    texts = ["The cat is on the mat", "der Hund und die Katze", "el perro de los vecinos", "le chat et les chiens", "7 up", "", None, "que"]
+def test_trigrams_and_tags(spark):
+    texts = ["It's a CAT, 7", "", None, "--", "Ünï"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    found = [r[0] for r in df.select(detect_language(F.col("t"))).collect()]
-    assert found == ["en", "de", "es", "fr", "und", "und", "und", "es"]
-    assert sum(map(len, FUNCTION_WORDS.values())) < 200
+    found = [r[0] for r in df.select(trigrams(F.col("t"))).collect()]
+    assert found == [[" it", "it ", " s ", " a ", " ca", "cat", "at "], [], None, [], [" ün", "ünï", "nï "]]
+    tags = spark.createDataFrame([("en-US",), ("FR_ca",), ("de",), ("",), (None,)], "t string").select(primary_tag(F.col("t")))
+    assert [r[0] for r in tags.collect()] == ["en", "fr", "de", "", None]
 
 
 @pytest.mark.parametrize("seed", range(4))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -123,14 +124,50 @@ def test_neighbours_with_fewer_keys_than_k_and_text_keys(spark):
 
 
 def test_language_counts(spark, rows):
+    taught = spark.createDataFrame(
+        [("the milk and the bread", "en-GB"), ("le lait et le pain", "FR"), ("xyz xyz", "zz"), ("abc", None), (None, "en"), ("", "fr")],
+        "t string, lang string",
+    )
+    profiles = L.language_profiles(taught, "t", "lang", ["en", "fr"])
+    grams = {r["part"]: (r["en"], r["fr"]) for r in profiles.collect() if not r["whole"]}
+    whole = {r["part"]: (r["en"], r["fr"]) for r in profiles.collect() if r["whole"]}
+    assert set(whole) == {"the", "milk", "and", "bread", "le", "lait", "et", "pain"}
+    assert whole["lait"] == tuple(sum(grams.get(g, (0, 0))[i] for g in (" la", "lai", "ait", "it ")) for i in (0, 1))
+    # "the" stands twice among 18 trigrams of English words.
+    assert grams["the"] == (round(1000 * math.log(2 * 100_000 / 18)), 0) and "xyz" not in grams and "abc" not in grams
     clicks = spark.createDataFrame(
-        [("c1", "the milk", "x"), ("c1", "the milk", "x"), ("c2", "the milk", "x"), ("c3", None, "x"), ("c4", "le lait et", "x")],
+        [("c1", "the milk", "x"), ("c1", "the milk", "x"), ("c2", "the milk", "x"), ("c3", None, "x"), ("c4", "Le lait", "x"), ("c5", "7 qqq", "x"), ("c6", "", "x")],
         "click_id string, text string, banner string",
     )
     columns = ["click_id", "text", "banner"]
     searches = L.search_texts(clicks, columns, "text")
-    assert rows(L.language_frequency(clicks, columns, "text")) == [("en", 2), ("fr", 1)]
-    assert rows(L.language_text_frequency(searches, "text")) == [("en", "the milk", 2), ("fr", "le lait et", 1)]
+    assert rows(L.language_frequency(clicks, columns, "text", profiles)) == [("en", 2), ("fr", 1), ("und", 2)]
+    assert rows(L.language_text_frequency(searches, "text", profiles)) == [("en", "the milk", 2), ("fr", "Le lait", 1), ("und", "", 1), ("und", "7 qqq", 1)]
+    assert rows(L.language_frequency(clicks, columns, "text", profiles.filter("not whole"))) == [("en", 2), ("fr", 1), ("und", 2)]
+    assert rows(L.language_frequency(clicks, columns, "text", profiles.filter(F.lit(False)))) == [("und", 5)]
+    assert rows(L.language_frequency(clicks.limit(0), columns, "text", profiles)) == []
+
+
+def test_language_scores_shuffle_no_word(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    profiles = spark.createDataFrame([("the", False, 5, 0), ("the", True, 9, 0)], "part string, whole boolean, en bigint, fr bigint")
+    plan = L.spoken_languages(docs, "text", profiles)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 1 and "text_digest" in exchanges[0] and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize(("n_words", "least"), [(None, 0.98), (5, 0.9)])
+def test_language_of_texts_that_were_not_taught(spark, n_words, least):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(F.col("lang").isNotNull() & (F.length("text") > 0))
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+    profiles = L.language_profiles(docs.filter(rest != 0), "text", "lang", ["de", "en", "es", "fr"])
+    asked = docs.filter(rest == 0)
+    if n_words:
+        asked = asked.withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, n_words), " "))
+    found = L.language_agreement(asked, "text", "lang", profiles).collect()
+    right = sum(r["n_texts"] for r in found if r["declared"] == r["language"]) / sum(r["n_texts"] for r in found)
+    print("accuracy", n_words, right)
+    assert right >= least
 
 
 def test_few_queries_move_no_vector(spark):

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from shelfscope.operators.digests import split_by_difference
 from shelfscope.plans import attribution as A
 from shelfscope.plans import exposure as E
 from shelfscope.plans import impact as I
@@ -123,6 +124,33 @@ def test_reconciliation(spark, rows):
     ]
 
 
+def test_reconciliation_of_many_names(spark, rows):
+    ours = spark.range(20_000).select(F.concat(F.lit("n"), "id").alias("name"))
+    theirs = spark.range(20_000).select(F.concat(F.lit("n"), "id").alias("name"), (F.col("id") % 3).cast("double").alias("prints"))
+    lost, added = F.col("name").isin("n7", "n19999"), spark.createDataFrame([("new", 4.0), (None, 1.0), ("n5", 8.0)], "name string, prints double")
+    changed = theirs.filter(~lost).unionByName(added)
+    ours = ours.unionByName(spark.createDataFrame([(None,), ("n5",)], "name string"))
+    listed = spark.createDataFrame([("n9",), ("n7",), ("new",)], "name string")
+    want = [(f"n{i}", float(i % 3), int(i == 9), I.MATCHED, float(i % 3) if i == 9 else 0.0) for i in range(20_000) if i not in (7, 19_999) and (i == 9 or i % 3)]
+    want += [("n7", None, 1, I.MISSING_RIGHT, None), ("new", 4.0, 1, I.MISSING_LEFT, None), ("n5", 8.0, 0, I.MATCHED, 0.0), (None, 1.0, None, I.MISSING_LEFT, None)]
+    got = rows(I.reconcile(ours, changed, listed, "name", "prints"))
+    assert got == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+def test_equal_catalogues_are_not_joined(spark):
+    names = spark.range(50_000).select(F.concat(F.lit("n"), "id").alias("name"))
+    backwards = names.orderBy(F.desc("name")).repartition(3)
+    ours, theirs, unchanged = split_by_difference(names, backwards, "name")
+    assert (ours.count(), theirs.count(), unchanged.count()) == (0, 0, 50_000)
+    # The names stay where they were read: what is exchanged are the digests of buckets and leaves.
+    plan = split_by_difference(names, names, "name")[2]._jdf.queryExecution().executedPlan().toString()
+    assert all("__bucket" in line or "__leaf" in line for line in plan.splitlines() if "Exchange hash" in line)
+    one_less = names.filter("name != 'n77'")
+    ours, theirs, unchanged = split_by_difference(names, one_less, "name")
+    leaf = ours.count()
+    assert 1 <= leaf < 20 and theirs.count() == leaf - 1 and unchanged.count() == 50_000 - leaf
+
+
 def test_totals(spark, rows):
     campaigns = spark.createDataFrame(
         [("a", 5.0, "LIVE"), ("b", 1.0, "LIVE"), ("c", 9.0, "DRAFT"), ("d", None, "LIVE"), ("e", 2.0, "DONE")], "id string, budget double, status string"
