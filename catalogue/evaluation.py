@@ -10,6 +10,9 @@ from shelfscope.functions import arrays as A
 from shelfscope.operators.ordered import equal_width_histogram, share_of_total
 from shelfscope.operators.selection import exact_median
 from shelfscope.plans import rank_eval as E
+from shelfscope.session import scratch_path
+from shelfscope.sources.keyed import key_space
+from shelfscope.sources.writers import materialize
 
 c = F.col
 
@@ -184,9 +187,8 @@ def _lists_sql(prefix, rank, columns):
 _LISTED = ["sku", "click", "p_brand"]
 
 
-@_bind_both(
-    "pler_enriched",
-    lambda rows: f"""WITH {_PLER}, listed AS (SELECT * FROM ranked LEFT JOIN part ON sku = p_partkey),
+def _pler_enriched_sql(rows):
+    return f"""WITH {_PLER}, listed AS (SELECT * FROM ranked LEFT JOIN part ON sku = p_partkey),
     ours AS (SELECT rid, {_segment("champ", rows)}, string_agg(CAST(chal AS VARCHAR), ',' ORDER BY champ) AS corresp_chal_rank,
       {_lists_sql("champ", "champ", _LISTED)} FROM listed GROUP BY 1, 2),
     theirs AS (SELECT rid, {_segment("chal", rows)}, {_lists_sql("chal", "chal", _LISTED)} FROM listed GROUP BY 1, 2),
@@ -194,8 +196,10 @@ _LISTED = ["sku", "click", "p_brand"]
     places AS (SELECT rid, sku AS item, {_segment("champ", rows)} FROM ranked)
     SELECT rid, segment, result_type, item, p_name, p_brand, p_type, corresp_chal_rank, champ_sku, champ_click, champ_p_brand,
       chal_sku, chal_click, chal_p_brand FROM pler LEFT JOIN part ON item = p_partkey JOIN places USING (rid, item)
-      JOIN lists USING (rid, segment)""",
-)
+      JOIN lists USING (rid, segment)"""
+
+
+@_bind_both("pler_enriched", _pler_enriched_sql)
 def pler_enriched(t, rows):
     items = t.ranked.join(t.part, c("sku") == c("p_partkey"), "left")
     lists = E.evaluation_lists(items, "rid", "champ", "chal", _LISTED, rows)
@@ -205,6 +209,18 @@ def pler_enriched(t, rows):
     return _enriched(t).join(places, ["rid", "item"]).join(shown, ["rid", "segment"])
 
 
+@_bind_both("pler_enriched_staged", _pler_enriched_sql)
+def pler_enriched_staged(t, rows):
+    items = t.ranked.join(t.part, c("sku") == c("p_partkey"), "left").withColumnRenamed("sku", "item")
+    items = materialize(items.select("rid", "item", c("item").alias("sku"), "champ", "chal", "click", "p_brand"), scratch_path(t.spark, "items"))
+    errors = materialize(_enriched(t), scratch_path(t.spark, "errors"))
+    space = key_space([items, errors], ["rid"])
+    found = E.enrich_in_place(space.stage(errors), space.stage(items), "item", "champ", "chal", _LISTED, rows).rows()
+    names = ["corresp_chal_rank", *[f"{side}_{n}" for side in ("champ", "chal") for n in _LISTED]]
+    kept = ["rid", "segment", "result_type", "item", "p_name", "p_brand", "p_type"]
+    return found.select(*kept, *[_text_lists(n, c(n)) for n in names])
+
+
 # --- overlap and rank correlation
 
 _RBO = f"""{RANKED}, depth AS (SELECT unnest([1, 2, 3, 4]) AS d),

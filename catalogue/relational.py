@@ -14,6 +14,7 @@ from shelfscope.plans.attribution import campaign_impressions, drill_down, produ
 from shelfscope.plans.exposure import households_by_state
 from shelfscope.plans.inventory import active_entities, cross_platform_total, inventory_by, live_campaigns, period_from_daily, store_daily
 from shelfscope.session import scratch_path
+from shelfscope.sources.keyed import key_space
 from shelfscope.sources.readers import literal_column, scan, scan_csv
 from shelfscope.sources.workspace import Dimension, Log, Workspace
 from shelfscope.sources.writers import dated_path, export_csv, export_pipe, materialize
@@ -402,12 +403,12 @@ def join_broadcast(t):
     return R.broadcast_join(t.lineitem, suppliers, ["l_suppkey"]).select("l_orderkey", "l_suppkey", "s_name")
 
 
-@bind(
-    "join_star_chain",
-    """SELECT l_orderkey, l_partkey, p_brand, s_name, n_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+_STAR_CHAIN = """SELECT l_orderkey, l_partkey, p_brand, s_name, n_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey
     JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey
-    JOIN nation ON c_nationkey = n_nationkey""",
-)
+    JOIN nation ON c_nationkey = n_nationkey"""
+
+
+@bind("join_star_chain", _STAR_CHAIN)
 def join_star_chain(t):
     chain = [
         (t.orders, "l_orderkey", "o_orderkey"),
@@ -419,6 +420,46 @@ def join_star_chain(t):
     return R.star_join(t.lineitem, chain).select("l_orderkey", "l_partkey", "p_brand", "s_name", "n_name")
 
 
+@bind("join_star_staged", _STAR_CHAIN)
+def join_star_staged(t):
+    buyers = t.orders.join(t.customer, c("o_custkey") == c("c_custkey")).join(t.nation, c("c_nationkey") == c("n_nationkey"))
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey")
+    buyers = buyers.select(c("o_orderkey").alias("l_orderkey"), "n_name")
+    space = key_space([lines, buyers], ["l_orderkey"])
+    placed = space.stage(lines).join(space.stage(buyers))
+    parts, suppliers = t.part.select(c("p_partkey").alias("l_partkey"), "p_brand"), t.supplier.select(c("s_suppkey").alias("l_suppkey"), "s_name")
+    named = placed.map(lambda df: R.broadcast_join(R.broadcast_join(df, parts, ["l_partkey"]), suppliers, ["l_suppkey"]))
+    return named.rows().select("l_orderkey", "l_partkey", "p_brand", "s_name", "n_name")
+
+
+_ORDER_PROFILE = """WITH lines AS (SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1),
+    late AS (SELECT l_orderkey, count(*) AS n_returned FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+    SELECT l_orderkey, l_partkey, l_quantity, o_custkey, n_lines, quantity, n_returned FROM lineitem
+    JOIN orders ON l_orderkey = o_orderkey JOIN lines USING (l_orderkey) LEFT JOIN late USING (l_orderkey)"""
+
+
+# The same joins by one key, with room for every key in a bucket and with most keys counted as hot.
+@bind("join_one_key_staged", _ORDER_PROFILE)
+def join_one_key_staged(t):
+    return order_profile(t)
+
+
+@bind("join_one_key_hot", _ORDER_PROFILE)
+def join_one_key_hot(t):
+    return order_profile(t, hot_rows=4)
+
+
+def order_profile(t, **settings):
+    facts = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
+    orders = t.orders.select(c("o_orderkey").alias("l_orderkey"), "o_custkey")
+    space = key_space([facts, orders], ["l_orderkey"], **settings)
+    lines, heads = space.stage(facts), space.stage(orders)
+    totals = lines.map(lambda df: df.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("quantity")))
+    returned = lines.map(lambda df: df.filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_returned")))
+    joined = lines.join(heads).join(totals).join(returned, how="left").rows()
+    return joined.select("l_orderkey", "l_partkey", "l_quantity", "o_custkey", "n_lines", "quantity", "n_returned")
+
+
 @bind(
     "explode_join",
     """WITH words AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part),

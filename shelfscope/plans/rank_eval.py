@@ -21,6 +21,7 @@ from shelfscope.functions.arrays import common_in_first, same_set, select_where
 from shelfscope.functions.inversions import COUNTS, count_list_batches
 from shelfscope.operators.ordered import rank_rows, rank_rows_by, top_k_per_group
 from shelfscope.session import cut_lineage, input_bytes
+from shelfscope.sources.keyed import KeyedStage
 
 # Lists longer than this are counted in blocks, see kendall_tau.
 BLOCK = 1 << 16
@@ -222,6 +223,38 @@ def enrich_errors(errors: DataFrame, items: DataFrame, item: str, attributes: Se
     return errors.join(known, "item", "left")
 
 
+def enrich_in_place(
+    errors: KeyedStage,
+    items: KeyedStage,
+    item: str,
+    champion_rank: str,
+    challenger_rank: str,
+    columns: Sequence[str],
+    segment_rows: int = 10_000,
+) -> KeyedStage:
+    """Classified items (``item``) with both ranked lists of their request, as :func:`evaluation_lists` names them.
+
+    Both sides are staged by the request, so lists, places and all three joins stay in its bucket. An item outside
+    ``items`` drops out; where one model has no list for its segment, that model's columns are null.
+    """
+    (request,) = items.keys
+
+    def listed(prefix: str, rank: str, others: Sequence[str], names: Sequence[str]):
+        def step(df: DataFrame) -> DataFrame:
+            lists = ranked_lists(df.filter(F.col(rank).isNotNull()), request, rank, [*others, *columns], segment_rows)
+            named = [F.col(c).alias(f"{prefix}_{c}") for c in columns]
+            return lists.select(request, "segment", *[F.col(c).alias(n) for c, n in zip([rank, *others], names, strict=True)], *named)
+
+        return step
+
+    ours = items.map(listed("champ", champion_rank, [challenger_rank], ["champ_rank", "corresp_chal_rank"]))
+    theirs = items.map(listed("chal", challenger_rank, [], ["chal_rank"]))
+    ranks = [champion_rank, challenger_rank]
+    # A request that asks for an item twice would fan out; places are distinct.
+    places = items.map(lambda df: item_segments(df, request, item, ranks, segment_rows).filter("segment IS NOT NULL").distinct())
+    return errors.join(places, [item]).join(ours, ["segment"], "left").join(theirs, ["segment"], "left")
+
+
 def rbo_top_k(top: DataFrame, request: str, k: int = 4, p: float = 0.78) -> DataFrame:
     """Rank-biased overlap of the first k places per request, not extrapolated.
 

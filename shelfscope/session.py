@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+# Sources without statistics report the largest long, unless the session sets another default.
+UNKNOWN_BYTES = 1 << 60
 
 
 def local_session(cores: str = "*", app: str = "shelfscope", **settings: str) -> SparkSession:
@@ -67,9 +69,21 @@ def input_bytes(df: DataFrame) -> int | None:
     if plan is None:
         return None
     optimized = plan.queryExecution().optimizedPlan()
+    return max(sum(_leaf_bytes(optimized)), int(optimized.stats().sizeInBytes()))
+
+
+def _leaf_bytes(optimized) -> list[int]:
     leaves = optimized.collectLeaves()
-    read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    return max(read, int(optimized.stats().sizeInBytes()))
+    return [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+
+
+def read_bytes(df: DataFrame) -> int | None:
+    """Size of all that ``df`` reads, by the optimizer's statistics; None where a source does not know its own."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return None
+    sizes = _leaf_bytes(plan.queryExecution().optimizedPlan())
+    return None if any(size >= UNKNOWN_BYTES for size in sizes) else sum(sizes)
 
 
 def prepare(spark: SparkSession) -> None:
