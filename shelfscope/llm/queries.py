@@ -101,11 +101,10 @@ def op4(table):
     return decontamination.contamination(table("documents"), table("benchmark")).withColumnRenamed("__id", "doc_id")
 
 
-@bind(
-    "op5_chat_format",
-    r"""
-    WITH RECURSIVE raw AS (SELECT row_number() OVER () AS m, conv_id, turn, coalesce(trim(role), 'unknown') AS role,
-                        string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM conversations),
+# Messages, and the recursive form of the chats over them.
+_CHATS = r"""
+    WITH RECURSIVE quoted AS (%s), raw AS (SELECT row_number() OVER () AS m, conv_id, turn, coalesce(trim(role), 'unknown') AS role,
+                        string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM quoted),
     lines AS (SELECT m, conv_id, turn, role, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM raw),
     marked AS (SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)*)', 1), '[^>]', '', 'g')) AS level,
                       regexp_replace(line, '^[ \t]*((?:>[ \t]?)*)', '') AS body FROM lines),
@@ -128,12 +127,43 @@ def op4(table):
                       c.n_quoted, c.content FROM content c LEFT JOIN replies r USING (conv_id, turn) LEFT JOIN top t USING (conv_id, turn))
     SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY thread_turn NULLS FIRST, turn NULLS FIRST, role, content, n_quoted) AS position,
            '<|' || role || '|>' || chr(10) || content || chr(10) || '<|end|>' AS formatted FROM placed
-    """,
-)
+    """
+
+
+@bind("op5_chat_format", _CHATS % "SELECT * FROM conversations")
 def op5(table):
     return chat_format.format_chats(table("conversations"))
 
 
+# The test table has no quotes: here every message quotes, as mail programs do, the one it answers and what that one quoted.
+_ANSWERED = "turn - 1 - turn % 2"
+_QUOTE = """coalesce(p_role, 'someone') || ' wrote:' || chr(10)
+    || coalesce('> ' || coalesce(g_role, 'someone') || ' wrote:' || chr(10) || '> > ' || replace(g_text, chr(10), chr(10) || '> > ') || chr(10), '')
+    || '> ' || replace(p_text, chr(10), chr(10) || '> ') || chr(10)"""
+_QUOTED = f"""WITH one AS (SELECT conv_id, turn, min(role) AS role, min(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY ALL)
+    SELECT c.conv_id, c.turn, c.role, coalesce({_QUOTE}, '') || coalesce(c.text, '') AS text FROM conversations c
+    LEFT JOIN (SELECT conv_id, turn AS p_turn, role AS p_role, text AS p_text FROM one) p ON c.conv_id = p.conv_id AND {_ANSWERED.replace("turn", "c.turn")} = p_turn
+    LEFT JOIN (SELECT conv_id, turn AS g_turn, role AS g_role, text AS g_text FROM one) g ON c.conv_id = g.conv_id AND {_ANSWERED.replace("turn", "p_turn")} = g_turn"""
+
+
+def quoting(messages: DataFrame) -> DataFrame:
+    """Messages with the quotes above: a message of turn t answers turn t - 1 - t % 2, if there is one."""
+    one = messages.filter("text IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("text"))
+
+    def answered(prefix: str) -> DataFrame:
+        return one.select("conv_id", *[F.col(c).alias(f"{prefix}_{c}") for c in ("turn", "role", "text")])
+
+    asked = messages.select("conv_id", "turn", "role", "text", F.expr(_ANSWERED).alias("p_turn")).join(answered("p"), ["conv_id", "p_turn"], "left")
+    before = F.when(F.col("p_text").isNotNull(), F.expr(_ANSWERED.replace("turn", "p_turn")))
+    asked = asked.withColumn("g_turn", before).join(answered("g"), ["conv_id", "g_turn"], "left")
+    return asked.select("conv_id", "turn", "role", F.concat(F.coalesce(F.expr(_QUOTE), F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@bind("op5_chat_format_quoted", _CHATS % _QUOTED)
+def op5_quoted(table):
+    return chat_format.format_chats(quoting(table("conversations")))
+
+
 @bind("op6_near_dedup")
 def op6(table):
     return near_dedup.near_duplicates(table("documents")).withColumnRenamed("__id", "doc_id")

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 from shelfscope.llm.chat_format import format_chats
-from shelfscope.llm.queries import SQL
+from shelfscope.llm.queries import SQL, quoting
 
 ROWS = [
     (1, 0, "user", "Hello there.\n\nHow  are you?"), (1, 1, "assistant", "Fine."), (1, 2, "user", "On Monday bob wrote:\n> hello THERE.\nthanks"),
@@ -42,3 +42,17 @@ def test_long_chain_and_empty_table(corpus_session):
     messages = corpus_session.createDataFrame(chain, "conv_id long, turn long, role string, text string")
     assert [r.depth for r in format_chats(messages).orderBy("turn").collect()] == list(range(40))
     assert format_chats(messages.limit(0)).collect() == []
+
+
+def test_quoted_form_is_read_back(corpus_session):
+    rows = [(1, t, f"r{t}", f"text of turn {t}\nand more") for t in range(6)] + [(1, 1, "again", None), (2, 0, None, None), (2, 1, "u", "alone"), (None, 1, "u", "x"), (3, None, "u", "y")]
+    messages = corpus_session.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    asked = quoting(messages)
+    text = {(r.conv_id, r.turn, r.role): r.text for r in asked.collect()}
+    assert len(text) == len(rows) == asked.count()
+    assert text[1, 2, "r2"] == "r1 wrote:\n> text of turn 1\n> and more\ntext of turn 2\nand more" and text[1, 1, "again"] == text[2, 0, None] == ""
+    assert text[1, 5, "r5"].startswith("r3 wrote:\n> r1 wrote:\n> > text of turn 1\n> > and more\n> text of turn 3\n") and text[2, 1, "u"] == "alone" and text[3, None, "u"] == "y"
+    got = {(r.conv_id, r.turn, r.role): r for r in format_chats(asked).collect()}
+    assert {k[1:]: r.parent_turn for k, r in got.items() if k[0] == 1} == {(0, "r0"): None, (1, "r1"): None, (1, "again"): None, (2, "r2"): 1, (3, "r3"): 1, (4, "r4"): 3, (5, "r5"): 3}
+    assert all(got[1, t, f"r{t}"].content == f"text of turn {t}\nand more" for t in range(6)) and got[1, 4, "r4"].depth == 2
+    assert quoting(messages.limit(0)).collect() == []
