@@ -23,7 +23,7 @@ from shelfscope.llm import (
     token_counts,
     toxicity,
 )
-from shelfscope.llm.common import begin
+from shelfscope.llm.common import begin, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # Operators of documents that run on web pages too: their rows have a page_id.
@@ -161,7 +161,7 @@ def quoting(messages: DataFrame) -> DataFrame:
 
 @bind("op5_chat_format_quoted", _CHATS % _QUOTED)
 def op5_quoted(table):
-    return chat_format.format_chats(quoting(table("conversations")))
+    return chat_format.format_chats(stage(quoting(table("conversations")), "quoted"))
 
 
 @bind("op6_near_dedup")
