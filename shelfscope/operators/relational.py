@@ -54,6 +54,7 @@ def join_within_range(
     A period is cut into buckets of ``bucket`` days (or whole units, for numbers), and rows meet the periods of their own
     bucket only. So a key with many periods costs the pairs that share a bucket, not all of them. Periods are clipped to
     the time that ``df`` covers first: an open end has no more buckets than there are rows for. Null ends contain nothing.
+    Both sides are shuffled: the planner's estimate leaves out that a period becomes many rows, so it would broadcast them.
     """
     slot = lambda frame, column: F.floor(_units(frame, column) / bucket)
     covered = df.agg(F.min(slot(df, at)).alias("first"), F.max(slot(df, at)).alias("last"))
@@ -62,7 +63,7 @@ def join_within_range(
     # greatest and least pass over nulls.
     known = span.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col("__first") <= F.col("__last")))
     cut = known.withColumn("__bucket", F.explode(F.sequence("__first", "__last"))).drop("__first", "__last")
-    joined = df.withColumn("__bucket", slot(df, at)).join(cut, [*keys, "__bucket"])
+    joined = df.withColumn("__bucket", slot(df, at)).join(cut.hint("merge"), [*keys, "__bucket"])
     return joined.filter(F.col(at).between(F.col(start), F.col(end))).drop("__bucket")
 
 

@@ -100,6 +100,14 @@ def test_a_hot_key_meets_periods_of_its_own_bucket_only(spark):
     assert facts.selectExpr("k", "at DIV 10 AS b").join(bucketed, ["k", "b"]).count() == 4000 * 5
 
 
+def test_cut_periods_are_not_broadcast_by_an_estimate_of_whole_ones(spark):
+    facts = spark.range(3000).selectExpr("id % 30 AS k", "id AS at")
+    periods = spark.range(30).selectExpr("id AS k", "0 AS s", "3000 AS e")
+    joined = R.join_within_range(facts, periods, ["k"], "at", "s", "e", bucket=1)
+    assert joined.count() == 3000
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_range_join_of_nothing(spark):
     facts, periods = spark.range(3).selectExpr("'a' AS k", "id AS at"), spark.range(3).selectExpr("'a' AS k", "id AS s", "id AS e")
     assert R.join_within_range(facts.limit(0), periods, ["k"], "at", "s", "e").count() == 0
