@@ -27,6 +27,12 @@ def test_sliced_row_number_equals_window(skewed, rows, hot_rows):
     assert sliced.schema["r"].dataType.simpleString() == "bigint"
 
 
+def test_slices_follow_rows_not_the_limit_of_a_group():
+    # Small slices up to the tasks of a shuffle, then as many as the rows need.
+    assert [O._slices(n, 2000, 16) for n in (2001, 20_000, 600_000, 36_000_000, 216_000_000)] == [2, 10, 16, 72, 432]
+    assert O._slices(216_000_000, O.HOT_GROUP_ROWS, 16) == 11 and O._slices(10**12, 2000, 16) == O.MOST_SLICES
+
+
 def test_sliced_rank_keeps_ties(skewed, rows):
     for keys in (["key"], []):
         plain = O.rank_with_ties(skewed, keys, "value", "r", ascending=False, hot_rows=10**9)
