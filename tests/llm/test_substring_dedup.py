@@ -1,9 +1,12 @@
 import hashlib
 import re
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from shelfscope.llm import common
 from shelfscope.llm.substring_dedup import remove_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -38,3 +41,23 @@ def test_texts_and_empty_table(odd_documents):
     kept = {r["__id"]: r["kept"] for r in remove_repeats(odd_documents.filter("doc_id IN (6, 7)"), with_text=True).collect()}
     assert kept == {6: "one", 7: "One two"}
     assert remove_repeats(odd_documents.limit(0)).collect() == []
+
+
+def test_a_written_stage_leaves_no_shuffle_files(corpus_session):
+    spark = corpus_session
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    setting = spark.conf.get(common.DROP_SHUFFLES, "false")
+    known = shuffled()
+    staged = common.stage(spark.range(1000).withColumn("k", F.col("id") % 7).groupBy("k").count(), "counts")
+    for _ in range(50):
+        if not shuffled() - known:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - known
+    assert staged.agg(F.sum("count")).first()[0] == 1000
+    assert spark.conf.get(common.DROP_SHUFFLES, "false") == setting
