@@ -134,8 +134,8 @@ _PLER = f"""{RANKED}, per AS (
     SELECT rid, 'Correct-Inserted item', sku FROM ranked WHERE champ > 4 AND chal <= 4 AND click = 1)"""
 
 
-def pler(t):
-    return E.classify_errors(E.top_lists(t.listing, "rid", "sku", t.champion, t.challenger, "click"), "rid")
+def pler(t, listing=None):
+    return E.classify_errors(E.top_lists(t.listing if listing is None else listing, "rid", "sku", t.champion, t.challenger, "click"), "rid")
 
 
 @bind("pler_classify", f"WITH {_PLER} SELECT * FROM pler")
@@ -153,8 +153,8 @@ def pler_breakdown(t):
     return E.error_breakdown(pler(t), "rid")
 
 
-def _enriched(t):
-    return E.enrich_errors(pler(t), t.part, "p_partkey", ["p_name", "p_brand", "p_type"])
+def _enriched(t, listing=None):
+    return E.enrich_errors(pler(t, listing), t.part, "p_partkey", ["p_name", "p_brand", "p_type"])
 
 
 def _share(t, by):
@@ -201,12 +201,14 @@ def _pler_enriched_sql(rows):
 
 @_bind_both("pler_enriched", _pler_enriched_sql)
 def pler_enriched(t, rows):
-    items = t.ranked.join(t.part, c("sku") == c("p_partkey"), "left")
+    # Lists, places and error classes all read the ranked listings: they are built once.
+    ranked = materialize(t.ranked.select("rid", "sku", "click", "pos", "score", "champ", "chal"), scratch_path(t.spark, "ranked"))
+    items = ranked.join(t.part, c("sku") == c("p_partkey"), "left")
     lists = E.evaluation_lists(items, "rid", "champ", "chal", _LISTED, rows)
     names = ["corresp_chal_rank", *[f"{side}_{n}" for side in ("champ", "chal") for n in _LISTED]]
-    places = E.item_segments(t.ranked, "rid", "sku", ["champ", "chal"], rows).withColumnRenamed("sku", "item")
+    places = E.item_segments(ranked, "rid", "sku", ["champ", "chal"], rows).withColumnRenamed("sku", "item")
     shown = lists.select("rid", "segment", *[_text_lists(n, c(n)) for n in names])
-    return _enriched(t).join(places, ["rid", "item"]).join(shown, ["rid", "segment"])
+    return _enriched(t, ranked).join(places, ["rid", "item"]).join(shown, ["rid", "segment"])
 
 
 @_bind_both("pler_enriched_staged", _pler_enriched_sql)

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from catalogue import QUERIES
 from shelfscope.plans import rank_eval as E
 
 
@@ -250,3 +251,15 @@ def test_normal_p_values_on_request(spark):
     assert E.kendall_tau(df, "rid", "x", "y").first().p_value != row.p_value
     with pytest.raises(ValueError):
         E.kendall_tau(df, "rid", "x", "y", p_method="other")
+
+
+@pytest.mark.parametrize("name", ["pler_enriched", "pler_enriched_segments"])
+def test_enriched_errors_build_the_ranked_listings_once(spark, rows, tmp_path, name):
+    line = "id DIV 6 AS l_orderkey, id % 5 AS l_partkey, int(id % 6) AS l_linenumber, double(id * 7 % 10) AS l_extendedprice, double(id % 3 + 1) AS l_quantity"
+    flags = "IF(id % 4 = 0, 'R', 'N') AS l_returnflag, IF(id % 2 = 0, 'O', 'F') AS l_linestatus"
+    spark.sql(f"SELECT {line}, {flags} FROM range(120)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT id AS p_partkey, concat('n', id) AS p_name, concat('b', id) AS p_brand, concat('t', id) AS p_type FROM range(4)").write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    assert not any("lineitem" in file for file in found.inputFiles())
+    staged = QUERIES[name.replace("enriched", "enriched_staged")](spark, str(tmp_path))
+    assert rows(found.select(*sorted(found.columns))) == rows(staged.select(*sorted(found.columns))) != []
