@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.functions.columns import MICROS_PER_DOLLAR, pad_code
-from shelfscope.operators.ordered import rank_rows_by
+from shelfscope.operators.ordered import deal, rank_rows_by
 
 
 class Tables:
@@ -26,7 +26,8 @@ class Tables:
     @cached_property
     def listing(self) -> DataFrame:
         """One row per order and part: an order is a result page, a part a listed product."""
-        return self.lineitem.groupBy(F.col("l_orderkey").alias("rid"), F.col("l_partkey").alias("sku")).agg(
+        lines = deal(self.lineitem, ["l_orderkey", "l_partkey"])
+        return lines.groupBy(F.col("l_orderkey").alias("rid"), F.col("l_partkey").alias("sku")).agg(
             F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("click"),
             F.max(F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).alias("monetized"),
             F.min("l_linenumber").alias("pos"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.functions.columns import ratio
-from shelfscope.operators.ordered import largest_so_far, rank_rows_by, rank_with_ties
+from shelfscope.operators.ordered import deal, largest_so_far, rank_rows_by, rank_with_ties
 from shelfscope.operators.relational import drop_groups_with
 
 # Scenarios and the component of a clickstream.
@@ -42,7 +42,7 @@ def rank_displacement(
     makes the difference as small as it can be. All listings of a page take part in the ranks; the paid ones are
     picked afterwards.
     """
-    complete = complete_groups(listings, page, score)
+    complete = complete_groups(deal(listings, [page]), page, score)
     shown_order = [F.col(position).asc(), *[F.col(c).asc() for c in tie_break]]
     by_score = [F.col(score).desc(), F.col("shown_rank").asc()]
     ranked = rank_rows_by(complete, [page], {"shown_rank": shown_order, "relevance_rank": by_score}, hot_rows)
@@ -59,7 +59,7 @@ def rank_displacement_by_raw_position(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """The early variant: a rank with ties by ascending score, minus the position as logged."""
-    complete = complete_groups(listings, page, score)
+    complete = complete_groups(deal(listings, [page]), page, score)
     ranked = rank_with_ties(complete, [page], score, "relevance_rank", hot_rows=hot_rows)
     with_diff = ranked.withColumn("rank_diff", F.col("relevance_rank") - F.col(position))
     return with_diff.filter(F.col(monetized))
@@ -137,7 +137,7 @@ def displacement_metrics(
     per_key = displaced.groupBy(*keys).agg(
         F.count_if(F.col("rank_diff") < 0).alias("lower"), F.count_if(F.col("rank_diff") >= 0).alias("higher")
     )
-    viewed = views.groupBy(*keys).agg(F.count(F.lit(1)).alias("views"))
+    viewed = deal(views, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("views"))
     joined = per_key.join(viewed, keys, "left").withColumn("views", F.coalesce(F.col("views"), F.lit(0)))
     zero = F.lit(0).cast("bigint")
     ranked = joined.agg(

@@ -4,8 +4,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from shelfscope.operators import ordered as O
 from shelfscope.plans import displacement as D
 from shelfscope.schemas import schema_of
+from shelfscope.session import cut_lineage
 
 SCHEMA = "session string, click_id string, upc string, item_index int, monetized boolean, relevance_score double"
 
@@ -113,3 +115,18 @@ def test_views_take_one_shuffle(spark):
     views = D.views_in_order(df)
     plan = views._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Join" not in plan and views.count() == 0
+
+
+def test_tasks_follow_the_files_not_the_shuffles_of_the_session(spark, rows, tmp_path, monkeypatch):
+    made = spark.range(900).selectExpr("id % 90 AS page", "id AS sku", "id % 7 AS pos", "double(id * 13 % 11) AS score", "id % 2 = 0 AS paid")
+    made.withColumn("score", F.when(F.col("sku") != 5, F.col("score"))).write.parquet(f"{tmp_path}/listings")
+    listings = spark.read.parquet(f"{tmp_path}/listings")
+    ranked = lambda df: D.rank_displacement(df, "page", "pos", "score", "paid", ["sku"])
+    views = listings.select("page", "sku")
+    want = rows(ranked(listings)), rows(D.displacement_metrics(listings, ranked(listings), views, "paid", ["page", "sku"]))
+    monkeypatch.setattr(O, "TASK_BYTES", 1 << 10)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for df in (listings, cut_lineage(listings)):
+        assert O.deal(df, ["page"]).rdd.getNumPartitions() > tasks
+        assert (rows(ranked(df)), rows(D.displacement_metrics(df, ranked(df), views, "paid", ["page", "sku"]))) == want
+    assert O.deal(spark.range(3), ["id"]).columns == ["id"]
