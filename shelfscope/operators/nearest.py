@@ -30,8 +30,8 @@ MOST_LEAVES = 1 << 16
 PIVOT_BYTES = 32 << 20
 BLOCK_ROWS = 2048
 # Bytes of the vectors of a group of leaves, and of the queries that one task compares with it.
-GROUP_BYTES = 32 << 20
-QUERY_BYTES = 64 << 20
+GROUP_BYTES = 16 << 20
+QUERY_BYTES = 16 << 20
 # Similarities are compared at this many decimals, so that equal vectors tie exactly.
 DECIMALS = 9
 # Visited groups that leave a task in one batch, which bounds its memory.

@@ -221,3 +221,8 @@ def test_two_levels_of_pivots():
     assert ((leaf >= tree.first[head]) & (leaf < tree.first[head + 1])).all()
     assert np.allclose(gap, np.linalg.norm(units - tree.pivots[leaf], axis=1), atol=1e-6)
     assert np.allclose(head_gap, np.linalg.norm(units - tree.heads[head], axis=1), atol=1e-6)
+
+
+def test_a_task_holds_a_few_megabytes_of_vectors():
+    # Four workers of an executor hold several copies of both and the best matches so far.
+    assert nearest.GROUP_BYTES + nearest.QUERY_BYTES <= 32 << 20
