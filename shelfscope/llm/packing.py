@@ -9,74 +9,110 @@ Tasks then look up the place of every piece by its rank among pieces of its leng
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
-from struct import pack as pack_ids
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import Memory, hinted, stage, texts
+from shelfscope.llm.common import hinted, stage, texts
+from shelfscope.llm.ragged import slices
 
 REMEMBERED = 250_000
+# Texts are encoded together up to this many bytes, new words up to this many pre-tokens.
+TOGETHER = 4 << 20
+IN_A_CALL = 1000
+# Words that the tokenizer only folds to lower case, and how it then splits them; a line end parts words.
+LETTERS = "a-zªµºß-öø-ÿ"
+PLAIN = re.compile(f"[!-~¡§«°»¿À-ÖØ-Þ{LETTERS}]+")
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\n0-9{LETTERS}]+|\n")
+SAMPLE = ["Größe", "it's", "ÉTÉ1984.,", "«¿qué?»", "''re-d'", "x", "naïveté"]
 # Pieces of one length are ranked in groups of about this many.
 RANK_GROUP = 2000
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian bytes, word by word with a memory of bounded size.
+    """Token ids of whole texts as little-endian bytes, from a memory of words of bounded size.
 
     No token of the vocabulary spans a blank or a line end, so words between them are encoded alone. Texts within
-    Latin-1 are folded to lower case first, as the tokenizer does itself, which makes fewer distinct words.
+    Latin-1 are folded to lower case first, as the tokenizer does itself, which makes fewer distinct words. The distinct
+    words of a list of texts are looked up once, and those not remembered are encoded many in a call.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
-        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.spelled = {i: as_bytes(chr(i))[0][0] for i in range(0x80, 0x100) if chr(i).isalpha()}
-        self.tokenizer, self.memory = Tokenizer.from_file(path), Memory(REMEMBERED, {"": b""})
-        alone, joined = (self._encode([t])[0] for t in ("Ab cd", "ab\ncd"))
-        if alone != joined or alone != b"".join(self._encode(["ab", "cd"])):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.marked, self.ends = _marked(self.tokenizer)
+        # Remembered words, their ids one behind the other, and where each word's begin.
+        self.words, self.flat, self.starts = pa.array([""], pa.large_string()), np.zeros(0, "<u4"), np.zeros(2, np.int64)
+        alone, joined, *both = [e.ids for e in self.tokenizer.encode_batch_fast(["Ab cd", "ab\ncd", "ab", "cd"], add_special_tokens=False)]
+        if alone != joined or alone != sum(both, []):
             raise ValueError("needs a vocabulary of words in lower case, without white space")
-
-    def _encode(self, column: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(column, add_special_tokens=False)
-        return [pack_ids(f"<{len(e.ids)}I", *e.ids) for e in encoded]
-
-    def _alone(self, word: str) -> bytes | None:
-        """Ids of a word of Latin letters in lower case, which normalising and splitting leave as it is, by the model alone."""
-        if not word.isalpha() or not word.islower():
-            return None
-        if not word.isascii():
-            if max(word) > "ÿ":
-                return None
-            word = word.translate(self.spelled)
-        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
-        return pack_ids(f"<{len(ids)}I", *ids)
-
-    def _learned(self, new: list[str]) -> list[bytes]:
-        """Ids of new words. A full stop or comma behind a letter or digit is a token of its own, so it is split off first."""
-        bare = [w[:-1] if w[-1] in ".," and w[:-1].isalnum() else w for w in new]
-        ask = list({w for w in bare if w not in self.memory} | {".", ","} - self.memory.keys())
-        found = {w: self._alone(w) for w in ask}
-        rest = [w for w, ids in found.items() if ids is None]
-        found.update(zip(rest, self._encode(rest), strict=True))
-        of = lambda w: found[w] if w in found else self.memory[w]
-        return [of(b) if b is w else of(b) + of(w[-1]) for w, b in zip(new, bare, strict=True)]
+        if any((x != y).any() for x, y in zip(self._by_model(SAMPLE), self._by_library(SAMPLE), strict=True)):
+            raise ValueError("needs a byte-level model of letters, digits, the short English endings and the rest")
+
+    def _by_library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one behind the other, and how many each has."""
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for ids in encoded for i in ids], "<u4"), np.array([len(ids) for ids in encoded], np.int64)
+
+    def _by_model(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of ``PLAIN`` characters, which normalising and splitting treat in a known way, by the model alone."""
+        found = SPLIT.findall("\n".join(words).lower() + "\n")
+        pretokens = [p for p in found if p != "\n"]
+        last = np.flatnonzero(np.fromiter(map("\n".__eq__, found), bool, len(found))) - np.arange(1, len(words) + 1)
+        calls = ["\n".join(pretokens[at : at + IN_A_CALL]) + "\n" for at in range(0, len(pretokens), IN_A_CALL)]
+        encoded = self.marked.encode_batch_fast([c.encode().decode("latin-1") for c in calls], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in encoded])
+        return ids, np.diff(np.flatnonzero(self.ends[ids])[last], prepend=-1)
+
+    def _learned(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of new words, where each word's begin, and how many it has."""
+        words = new.to_pylist()
+        plain = np.array([PLAIN.fullmatch(w) is not None and "<|" not in w for w in words], bool)
+        order, begin, count, parts = np.argsort(~plain, kind="stable"), np.empty(len(words), np.int64), np.empty(len(words), np.int64), []
+        for method, of in ((self._by_model, plain), (self._by_library, ~plain)):
+            if of.any():
+                ids, count[of] = method(list(compress(words, of)))
+                parts.append(ids)
+        begin[order] = np.cumsum(count[order]) - count[order]
+        return np.concatenate(parts), begin, count
 
     def ids(self, column: list[str]) -> list[bytes]:
-        known = [list(map(self.memory.__getitem__, _folded(t).replace("\n", " ").split(" "))) for t in column]
-        fresh = self.memory.learn(self._learned)
-        return [b"".join([v if v.__class__ is bytes else fresh[v] for v in values]) for values in known]
+        if not column:
+            return []
+        texts = pa.array([_folded(t).replace("\n", " ") for t in column], pa.large_string())
+        split = pa.compute.split_pattern(texts, " ")
+        # Remembered words come first, so that a word's code is its place among them or among the new ones behind them.
+        coded = pa.chunked_array([self.words, split.flatten()]).dictionary_encode().chunk(1)
+        flat, begin, count, known = self.flat, self.starts[:-1], np.diff(self.starts), len(self.words)
+        if len(coded.dictionary) > known:
+            ids, at, n = self._learned(coded.dictionary.slice(known))
+            flat, begin, count = np.concatenate([flat, ids]), np.concatenate([begin, at + len(flat)]), np.concatenate([count, n])
+            if known < REMEMBERED:
+                self.words = coded.dictionary.take(pa.array(np.arange(min(REMEMBERED, len(begin)))))
+                self.flat, self.starts = _strung(flat, begin[:REMEMBERED], count[:REMEMBERED])
+        code = coded.indices.to_numpy()
+        out, starts = _strung(flat, begin[code], count[code])
+        return [out[a:b].tobytes() for a, b in pairwise(starts[split.offsets.to_numpy()].tolist())]
+
+
+def _strung(flat: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``flat`` one behind the other, and where each begins and the last one ends."""
+    starts = np.zeros(len(begin) + 1, np.int64)
+    np.cumsum(count, out=starts[1:])
+    return flat[np.repeat(begin - starts[:-1], count) + np.arange(starts[-1])], starts
 
 
 def _folded(text: str) -> str:
@@ -93,6 +129,38 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _marked(tokenizer) -> tuple:
+    """The model of a tokenizer over words each followed by a line end, and which of its tokens end a word.
+
+    The line end joins the byte before it ahead of all other merges, which gives what the model itself begins a word's end
+    with, and nothing joins on behind it: so the ids of many words in one text are those of each word alone.
+    """
+    from tokenizers import Tokenizer
+    from tokenizers.models import BPE
+
+    model = json.loads(tokenizer.to_str())["model"]
+    suffix = model["end_of_word_suffix"]
+    if model["type"] != "BPE" or not suffix or any(model[k] for k in ("dropout", "continuing_subword_prefix", "ignore_merges")):
+        raise ValueError("needs a byte-pair model with a mark at word ends")
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(0x100) if b not in shown]
+    # Bytes as characters of the same number; a line end inside a word, which only the whole library meets, as one beyond.
+    byte = {0x100 + n: chr(b) if b != 0x0A else chr(0x100) for n, b in enumerate(hidden)}
+    spelled = {t: t.removesuffix(suffix).translate(byte) + ("\n" if t.endswith(suffix) else "") for t in model["vocab"]}
+    vocabulary = {spelled[t]: i for t, i in model["vocab"].items()}
+    singles = [t for t in vocabulary if len(t) == 1]
+    if len(vocabulary) != len(spelled) or "\n" in vocabulary or any(t + "\n" not in vocabulary for t in singles):
+        raise ValueError("needs a byte-level vocabulary with each byte inside and at the end of a word")
+    merges = [(spelled[a], spelled[b]) for a, b in model["merges"]]
+    if any("\n" in a for a, _ in merges):
+        raise ValueError("a merge goes on behind a word end")
+    ends = np.zeros(max(vocabulary.values()) + 2, bool)
+    ends[[i for t, i in vocabulary.items() if t[-1] == "\n"]] = True
+    vocabulary["\n"] = len(ends) - 1
+    # Calls are too long to be met again: no cache.
+    return Tokenizer(BPE(vocabulary, [(t, "\n") for t in singles] + merges, cache_capacity=0)), ends
+
+
 @dataclass
 class Plan:
     """Where pieces go: (length, first rank, pieces per window, first window, offset), and what is left of each length."""
@@ -204,9 +272,8 @@ def _measure(vocabulary: str, separator: int, window: int):
         encode = encoder(vocabulary)
         for batch in batches:
             tokens, whole, tails = [], [], []
-            column = batch.column("__text")
-            for at in range(0, len(column), 100):
-                for ids in encode.ids(column.slice(at, 100).to_pylist()):
+            for part in slices(batch, "__text", TOGETHER):
+                for ids in encode.ids(part.column("__text").to_pylist()):
                     ids = memoryview(ids + mark)
                     n, step = len(ids) // 4, window * 4
                     tokens.append(n)
@@ -228,11 +295,13 @@ def _cut_crcs(vocabulary: str, separator: int):
         encode = encoder(vocabulary)
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                ids = memoryview(encode.ids([row["__text"]])[0] + mark)
-                for p in row["pieces"]:
-                    a = p["start"] * 4
-                    out.append({"__id": row["__id"], **p, "ids_crc32": zlib.crc32(ids[a : a + p["length"] * 4])})
+            for part in slices(batch, "__text", TOGETHER):
+                rows = part.drop_columns(["__text"]).to_pylist()
+                for row, ids in zip(rows, encode.ids(part.column("__text").to_pylist()), strict=True):
+                    ids = memoryview(ids + mark)
+                    for p in row["pieces"]:
+                        a = p["start"] * 4
+                        out.append({"__id": row["__id"], **p, "ids_crc32": zlib.crc32(ids[a : a + p["length"] * 4])})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("__id", batch.schema.field("__id").type), *[(c, pa.int64()) for c in PIECE]]))
 
     return run

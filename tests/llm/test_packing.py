@@ -1,5 +1,7 @@
+import random
 import zlib
 from collections import defaultdict
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -8,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from shelfscope.llm import packing
 from shelfscope.llm.packing import Encoder, Places, fill, make_plan, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -74,3 +77,53 @@ def test_pieces(odd_documents, window):
         empty += 0 if ends[-1] & (ends[-1] - 1) == 0 else window - ends[-1]
     assert empty <= 0.02 * sum(p["length"] for p in pieces) + window
     assert pack(odd_documents.limit(0), PATH, separator=2).collect() == []
+
+
+class Counted:
+    """A tokenizer that counts the texts and words it is asked for."""
+
+    def __init__(self, inner):
+        self.inner, self.model, self.asked = inner, self, 0
+
+    def tokenize(self, word):
+        self.asked += 1
+        return self.inner.model.tokenize(word)
+
+    def encode_batch_fast(self, column, **options):
+        self.asked += len(column)
+        return self.inner.encode_batch_fast(column, **options)
+
+
+def test_words_not_remembered_share_calls(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 100)
+    text = " ".join("".join(c) + end for c, end in zip(product("bdgklmnoétu", repeat=4), ["", ".", "", "!!", "'s", ""] * 1000))
+    encoder = Encoder(PATH)
+    counted = {k: Counted(v) for k, v in vars(encoder).items() if isinstance(v, Tokenizer)}
+    vars(encoder).update(counted)
+    assert np.frombuffer(encoder.ids([text])[0], "<u4").tolist() == library_ids(text)
+    assert sum(c.asked for c in counted.values()) < 6000 / 100
+
+
+def test_ids_with_a_full_memory_are_the_librarys(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    draw, encoder = random.Random(7), Encoder(PATH)
+    parts = ["the", "ing", "É", "größe", "st", "'s", "''", "'RE", "-", "42", "«", "?»", "°", "×", "²", "\t", "<|", "<|endoftext|>", "”", "слово", "ΣΑΣ", "e\u0301", " ", "\n", "  "]
+    for _ in range(40):
+        texts = ["".join(draw.choices(parts, k=draw.randrange(30))) for _ in range(20)]
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.ids(texts)] == [library_ids(t) for t in texts]
+    assert len(encoder.words) == 50 and encoder.ids([]) == []
+
+
+def test_cut_pieces_of_many_documents(spark):
+    """Documents of one length, no two of which share a window, are strung together and cut at most window ends."""
+    rows = [(i, " ".join(["bird", "stone", "river", "cloud"][(i >> 2 * k) % 4] for k in range(39))) for i in range(200)]
+    pieces = pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH, separator=2, window=64).collect()
+    ids, covered = {i: library_ids(t) + [2] for i, t in rows}, defaultdict(list)
+    for p in pieces:
+        part = ids[p["__id"]][p["start"] : p["start"] + p["length"]]
+        assert p["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes()) and p["doc_tokens"] == len(ids[p["__id"]])
+        covered[p["__id"]].append((p["start"], p["length"]))
+    assert len(pieces) > 250 and covered.keys() == ids.keys()
+    for i, spans in covered.items():
+        ends = np.cumsum([n for _, n in sorted(spans)])
+        assert [a for a, _ in sorted(spans)] == [0, *ends[:-1]] and ends[-1] == len(ids[i])
