@@ -30,6 +30,8 @@ REMEMBERED = 250_000
 # Texts are encoded together up to this many bytes, new words up to this many pre-tokens.
 TOGETHER = 4 << 20
 IN_A_CALL = 1000
+# New words are encoded, and ids of texts put together, this many words at a time, so that what is only needed meanwhile stays small.
+WORDS_AT_A_TIME = 1 << 14
 # Words that the tokenizer only folds to lower case, and how it then splits them; a line end parts words.
 LETTERS = "a-zªµºß-öø-ÿ"
 PLAIN = re.compile(f"[!-~¡§«°»¿À-ÖØ-Þ{LETTERS}]+")
@@ -79,7 +81,12 @@ class Encoder:
 
     def _learned(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of new words, where each word's begin, and how many it has."""
-        words = new.to_pylist()
+        flat, begin, count = zip(*[self._encoded(new.slice(at, WORDS_AT_A_TIME).to_pylist()) for at in range(0, len(new), WORDS_AT_A_TIME)], strict=True)
+        before = np.cumsum([0] + [len(x) for x in flat[:-1]])
+        return np.concatenate(flat), np.concatenate([b + n for b, n in zip(begin, before, strict=True)]), np.concatenate(count)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for some words."""
         plain = np.array([PLAIN.fullmatch(w) is not None and "<|" not in w for w in words], bool)
         order, begin, count, parts = np.argsort(~plain, kind="stable"), np.empty(len(words), np.int64), np.empty(len(words), np.int64), []
         for method, of in ((self._by_model, plain), (self._by_library, ~plain)):
@@ -90,12 +97,16 @@ class Encoder:
         return np.concatenate(parts), begin, count
 
     def ids(self, column: list[str]) -> list[bytes]:
-        if not column:
-            return []
-        texts = pa.array([_folded(t).replace("\n", " ") for t in column], pa.large_string())
-        split = pa.compute.split_pattern(texts, " ")
+        out = self._ids(column) if column else []
+        # Arrow keeps what it freed for later, in each worker of an executor and beyond the end of the query.
+        pa.default_memory_pool().release_unused()
+        return out
+
+    def _ids(self, column: list[str]) -> list[bytes]:
+        split = pa.compute.split_pattern(pa.array([_folded(t).replace("\n", " ") for t in column], pa.large_string()), " ")
         # Remembered words come first, so that a word's code is its place among them or among the new ones behind them.
-        coded = pa.chunked_array([self.words, split.flatten()]).dictionary_encode().chunk(1)
+        coded, first = pa.chunked_array([self.words, split.flatten()]).dictionary_encode().chunk(1), split.offsets.to_numpy()
+        del split
         flat, begin, count, known = self.flat, self.starts[:-1], np.diff(self.starts), len(self.words)
         if len(coded.dictionary) > known:
             ids, at, n = self._learned(coded.dictionary.slice(known))
@@ -103,9 +114,15 @@ class Encoder:
             if known < REMEMBERED:
                 self.words = coded.dictionary.take(pa.array(np.arange(min(REMEMBERED, len(begin)))))
                 self.flat, self.starts = _strung(flat, begin[:REMEMBERED], count[:REMEMBERED])
-        code = coded.indices.to_numpy()
-        out, starts = _strung(flat, begin[code], count[code])
-        return [out[a:b].tobytes() for a, b in pairwise(starts[split.offsets.to_numpy()].tolist())]
+        code, out, row = coded.indices.to_numpy(), [], 0
+        while row < len(column):
+            # As many texts as have so many words together, one at least.
+            stop = max(row + 1, int(np.searchsorted(first, first[row] + WORDS_AT_A_TIME, "right")) - 1)
+            some = code[first[row] : first[stop]]
+            ids, starts = _strung(flat, begin[some], count[some])
+            out += [ids[a:b].tobytes() for a, b in pairwise(starts[first[row : stop + 1] - first[row]].tolist())]
+            row = stop
+        return out
 
 
 def _strung(flat: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,10 +327,13 @@ def _cut_crcs(vocabulary: str, separator: int):
 PIECE = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def _ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """Pieces with their rank among those of the same length; a frequent length is ranked in many groups."""
-    spark = pieces.sparkSession
-    groups = spark.createDataFrame([(k, -(-v // RANK_GROUP)) for k, v in counts.items()], "length long, groups long")
+def _ranked(pieces: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Pieces with their rank among those of the same length; a frequent length is ranked in many groups.
+
+    ``lengths`` has ``n``, the number of pieces of each ``length``.
+    """
+    # Not a table made of rows on the driver: Spark reads that through further Python workers, which executors keep.
+    groups = lengths.select("length", F.ceil(F.col("n") / RANK_GROUP).alias("groups"))
     hashed = F.xxhash64("__id", "text_hash", "start")
     keyed = pieces.join(F.broadcast(groups), "length").withColumn("slice", F.pmod(hashed, "groups")).drop("groups")
     per_group = keyed.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
@@ -345,7 +365,8 @@ def pack(
     whole = whole.select("__id", "text_hash", "doc_tokens", (F.col("k") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32")
     tails = measured.filter(tail > 0).select("__id", "text_hash", "doc_tokens", (F.col("doc_tokens") - tail).alias("start"), tail.alias("length"), F.col("tail_crc").alias("ids_crc32"))
     pieces = whole.unionByName(tails)
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lengths = stage(pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    counts = {r["length"]: r["n"] for r in lengths.collect()}
     plan = make_plan({k: v for k, v in counts.items() if k < window}, window, slack)
     full_base = plan.windows + plan.stream_tokens // window + plan.stream_tokens.bit_length()
 
@@ -361,7 +382,7 @@ def pack(
             crc = pa.compute.if_else(pa.compute.equal(length, out.column("length")), out.column("ids_crc32"), pa.scalar(None, pa.int64()))
             yield pa.record_batch({"__id": out.column("__id"), "text_hash": out.column("text_hash"), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": out.column("doc_tokens"), "sequence_id": sequence, "offset": offset})
 
-    ranked = _ranked(pieces, counts).select("__id", "text_hash", "start", "length", "ids_crc32", "doc_tokens", "rank")
+    ranked = _ranked(pieces, lengths).select("__id", "text_hash", "start", "length", "ids_crc32", "doc_tokens", "rank")
     columns = ", ".join(f"{c} long" for c in PIECE)
     placed = stage(ranked.mapInArrow(place, f"__id {kind}, text_hash long, {columns}"), "placed")
 

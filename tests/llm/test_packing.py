@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 from itertools import product
@@ -114,6 +116,38 @@ def test_ids_with_a_full_memory_are_the_librarys(monkeypatch):
     assert len(encoder.words) == 50 and encoder.ids([]) == []
 
 
+KEPT = """
+import random, re, sys
+from shelfscope.llm.packing import Encoder
+draw, encoder = random.Random(7), Encoder(sys.argv[1])
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+words = ["".join(draw.choices("bdgklmnoetu", k=7)) for _ in range(30_000)]
+texts = [" ".join(draw.choices(words, k=500)) for _ in range(1000)]
+before = held()
+for _ in range(4):
+    encoder.ids(texts)
+print(held() - before)
+"""
+
+
+def test_an_encoder_keeps_little_between_calls():
+    """Workers outlive a query, so what they keep adds to what an executor holds in all later ones."""
+    done = subprocess.run([sys.executable, "-c", KEPT, PATH], env={"PYTHONPATH": ":".join(sys.path)}, capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 25
+
+
+def test_pack_makes_no_table_of_rows_on_the_driver(spark, monkeypatch):
+    """Such a table is read through Python workers of its own, which executors then hold besides the encoding ones."""
+    docs = spark.createDataFrame([(i, "bird " * (i % 7)) for i in range(50)], "doc_id long, text string")
+
+    def refused(*_, **__):
+        raise AssertionError("rows sent from the driver")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    pieces = pack(docs, PATH, separator=2, window=64).collect()
+    assert sorted((p["__id"], p["length"]) for p in pieces if p["start"] == 0) and sum(p["length"] for p in pieces) == sum(i % 7 + 1 for i in range(50))
+
+
 def test_cut_pieces_of_many_documents(spark):
     """Documents of one length, no two of which share a window, are strung together and cut at most window ends."""
     rows = [(i, " ".join(["bird", "stone", "river", "cloud"][(i >> 2 * k) % 4] for k in range(39))) for i in range(200)]
